@@ -1,0 +1,438 @@
+"""Exact k nearest neighbours without comparing every pair.
+
+Taxis lie in a tree of square cells whose sides are powers of two, so that cell arithmetic is exact and a parent cell
+is a bit shift away. A tree node is a row: its cell, the number of taxis in it and the box around them; a taxi is the
+special case of a node with one taxi and a box that is a point. For one client, any set of nodes gives
+
+* an upper bound on the k-th distance: go through the nodes by farthest spot until k taxis are counted;
+* a reason to drop a node: its closest spot is farther than that bound.
+
+First all clients look at the 3 x 3 block of cells around them, at the level where a cell holds about k taxis. Whoever
+finds k taxis closer than the rim of the block is done. The others start from the top of the tree, and clients next to
+crowded cells continue below them; both go down one level per join, dropping nodes on the way. Every step is an
+equi-join on a cell, each node has a bounded number of children, and no result depends on the choice of levels.
+"""
+
+from __future__ import annotations
+
+import math
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from curbside.functions.plane import box_far, box_near, distance, is_finite
+from curbside.operators.spread import KEY_ROWS, skew_join
+from curbside.operators.within import around
+from curbside.session import stage
+
+STEP = 2  # a node has up to 4**STEP children
+EDGE = 2.0**30  # cell numbers at the first level end here; what lies farther out shares the outermost cells
+DEPTH = 30  # levels below the first one
+TOP_ROWS = 16  # the tree is high enough once this many nodes per group are left
+DONE, OPEN, CLIMB, ODD = 0, 1, 2, 3  # states of a client after the first look
+
+CELL = ["_cx", "_cy"]
+BOX = ["_x0", "_x1", "_y0", "_y1"]
+
+
+@dataclass(frozen=True)
+class _Task:
+    """Names and limits of one call."""
+
+    client: str
+    taxi: str
+    by: list[str]
+    k: int
+    radius: float | None
+    leaf: int
+    piece: int
+
+    @property
+    def who(self) -> list[str]:
+        return [*self.by, self.client]
+
+    @property
+    def cell(self) -> list[str]:
+        return [*self.by, *CELL]
+
+
+def nearest(
+    clients: DataFrame, taxis: DataFrame, *, k: int = 4, max_distance: float | None = None, by: tuple[str, ...] = (),
+    keep_empty: bool = False, client_id: str = "client_id", taxi_id: str = "taxi_id", x: str = "lon", y: str = "lat",
+    first_look: bool = True, leaf_rows: int | None = None, piece_rows: int = KEY_ROWS,
+) -> DataFrame:
+    """The ``k`` nearest taxis of each client as ``*by, client_id, taxi_id, rk, dist``, nearest first.
+
+    Ties go to the smaller ``taxi_id``. With ``max_distance`` only taxis strictly closer count. With ``by`` a client
+    row is matched to the taxis that agree with it on these columns. ``keep_empty`` keeps a client without any taxi as
+    one row of NULLs. Rows are expected to be unique by ``(by, id)`` on both sides. NaN distances sort last and rows
+    with a missing coordinate match nothing.
+
+    ``first_look=False`` starts at the top of the tree at once, which saves work when most clients are known to be far
+    from the taxis they may take. ``leaf_rows`` and ``piece_rows`` tune the size of cells and tasks, never the result.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    if max_distance is not None and not max_distance > 0:
+        raise ValueError("max_distance must be positive")
+    if max_distance is not None and math.isinf(max_distance):
+        raise ValueError("leave max_distance out instead of passing infinity")
+    task = _Task(client_id, taxi_id, list(by), k, max_distance, leaf_rows or max(64, 16 * k), piece_rows)
+
+    riders = clients.select(*task.who, F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py"))
+    riders = stage(riders, "clients")
+    tree = _Tree(task, taxis.select(*task.by, taxi_id, F.col(x).cast("double").alias("_x"),
+                                    F.col(y).cast("double").alias("_y")))
+    if tree.size == 0 and tree.odd_size == 0:
+        seen = riders.select(*task.who, F.lit(None).cast(tree.id_type).alias(taxi_id),
+                             F.lit(None).cast("int").alias("rk"), F.lit(None).cast("double").alias("dist"))
+        return seen if keep_empty else seen.limit(0)
+
+    look = _first_look if first_look and tree.size else _no_look
+    looked = stage(look(task, riders, tree).withColumn("_root", F.lit(0)), "looked")
+    states = {row["_state"]: row["n"] for row in looked.groupBy("_state").agg(F.count("*").alias("n")).collect()}
+    result = looked.where(F.col("_state") == DONE)
+    if not states.keys() <= {DONE}:
+        # the clients that go on, one way or another
+        parts = [result.select(*_answer(task))]
+        if OPEN in states or CLIMB in states:
+            parts.append(_descend(task, looked, tree, states.get(CLIMB, 0), states.get(OPEN, 0)))
+        if ODD in states:
+            parts.append(_odd_clients(task, looked.where(F.col("_state") == ODD), tree))
+        result = reduce(DataFrame.unionByName, parts)
+        if keep_empty:
+            everyone = looked.where(F.col("_state") != DONE).select(*task.who).distinct()
+            done = parts[0]
+            rest = reduce(DataFrame.unionByName, parts[1:])
+            result = done.unionByName(everyone.join(rest, task.who, "left"))
+    result = result.select(*_answer(task))
+    return result if keep_empty else result.where(F.col(taxi_id).isNotNull())
+
+
+def merge_lists(
+    lists: DataFrame, *, k: int = 4, client_id: str = "client_id", taxi_id: str = "taxi_id", keep_empty: bool = False
+) -> DataFrame:
+    """One list of ``k`` per client out of several partial lists, e.g. one per cell or part.
+
+    The group limit trims each client before the shuffle.
+    """
+    order = Window.partitionBy(client_id).orderBy(F.col("dist").asc_nulls_last(), taxi_id)
+    merged = (
+        lists.select(client_id, taxi_id, "dist").withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k)
+    )
+    found = F.col(taxi_id).isNotNull()
+    if not keep_empty:
+        merged = merged.where(found)
+    else:
+        merged = merged.where(found | (F.col("rk") == 1))
+    return merged.select(client_id, taxi_id, F.when(found, F.col("rk")).alias("rk"), "dist")
+
+
+class _Tree:
+    """The taxis as rows, and the levels of nodes above and below the first level, made when needed."""
+
+    def __init__(self, task: _Task, taxis: DataFrame):
+        self.task = task
+        self.id_type = taxis.schema[task.taxi].dataType
+        # of the taxis at one spot only the k smallest ids can be in a list; the group limit drops the others early
+        spot = Window.partitionBy(*task.by, "_x", "_y").orderBy(task.taxi)
+        kept = taxis.dropna(subset=["_x", "_y"]).withColumn("_at", F.row_number().over(spot))
+        self.rows = stage(kept.where(F.col("_at") <= task.k).drop("_at"), "taxis")
+        normal = ~(F.isnan("_x") | F.isnan("_y"))
+        groups = F.approx_count_distinct(F.struct(*task.by)) if task.by else F.lit(1)
+        tails = [F.percentile_approx(F.when(normal, F.col(c)), [0.05, 0.95], 1000).alias(c) for c in ("_x", "_y")]
+        stats = self.rows.agg(F.count(F.when(normal, 1)).alias("n"), F.count("*").alias("all"),
+                              groups.alias("groups"), *tails).first()
+        self.size, self.odd_size, self.groups = stats["n"], stats["all"] - stats["n"], max(1, stats["groups"])
+        self.first = self._first_exponent(stats) if self.size else 0
+        self.points = self.rows.where(normal).withColumns(self.cells("_x", "_y", self.first))
+        self._crowded: DataFrame | None = None
+        self._looked_for_crowds = False
+
+    def _first_exponent(self, stats) -> int:
+        """Exponent of the cell side at which a cell of the populated area holds k/2 to 2k taxis of a group.
+
+        The area is judged between percentiles, so a few far outliers do not matter.
+        """
+        spans = [max(0.0, stats[c][1] - stats[c][0]) for c in ("_x", "_y")]
+        spans = [s if math.isfinite(s) else 0.0 for s in spans]
+        cells = max(1.0, self.size / self.groups / (2.0 * self.task.k))
+        side = math.sqrt(spans[0] * spans[1] / cells) or max(spans) / cells
+        if not side:
+            return 0
+        return max(-500, min(500, math.floor(math.log2(side))))
+
+    def cells(self, x: str, y: str, exponent: int) -> dict[str, Column]:
+        """Cell numbers at a level. Scaling by a power of two does not round, so levels nest exactly."""
+        edge = EDGE * 2.0 ** (self.first - exponent)
+
+        def index(name: str) -> Column:
+            scaled = F.col(name) * F.lit(2.0**-exponent)
+            return F.floor(F.greatest(F.least(scaled, F.lit(edge)), F.lit(-edge)))
+
+        return {"_cx": index(x), "_cy": index(y)}
+
+    def _as_nodes(self, points: DataFrame) -> DataFrame:
+        return points.groupBy(*self.task.cell).agg(
+            F.count("*").alias("_n"), F.min("_x").alias("_x0"), F.max("_x").alias("_x1"),
+            F.min("_y").alias("_y0"), F.max("_y").alias("_y1"),
+        )
+
+    def as_entries(self, points: DataFrame) -> DataFrame:
+        """Taxis in the shape of nodes."""
+        return points.select(
+            *self.task.cell, F.lit(1).cast("long").alias("_n"), F.col("_x").alias("_x0"), F.col("_x").alias("_x1"),
+            F.col("_y").alias("_y0"), F.col("_y").alias("_y1"), self.task.taxi,
+        )
+
+    def node_entries(self, nodes: DataFrame) -> DataFrame:
+        return nodes.withColumn(self.task.taxi, F.lit(None).cast(self.id_type))
+
+    @property
+    def crowded(self) -> DataFrame | None:
+        """Nodes of the first level with too many taxis to look at one by one; ``None`` if there are none."""
+        if not self._looked_for_crowds:
+            self._looked_for_crowds = True
+            if self.size > self.task.leaf:
+                self._crowded = self._too_many(self._as_nodes(self.points))
+        return self._crowded
+
+    def _too_many(self, nodes: DataFrame) -> DataFrame | None:
+        found = stage(nodes.where(F.col("_n") > self.task.leaf), "crowded")
+        return None if found.isEmpty() else found
+
+    def first_level(self) -> DataFrame:
+        """What the cells of the first level hold: their taxis, or themselves if crowded."""
+        if self.crowded is None:
+            return self.as_entries(self.points)
+        calm = self.points.join(self.crowded.select(*self.task.cell), self.task.cell, "left_anti")
+        return self.as_entries(calm).unionByName(self.node_entries(self.crowded))
+
+    def upper_levels(self) -> list[tuple[int, DataFrame]]:
+        """``(exponent, nodes)`` from the top down to the first level."""
+        nodes = stage(self._as_nodes(self.points), "nodes")
+        levels = [(self.first, nodes)]
+        while nodes.count() > TOP_ROWS * self.groups and len(levels) <= DEPTH:
+            up = {c: F.shiftright(c, STEP) for c in CELL}
+            nodes = stage(
+                nodes.withColumns(up).groupBy(*self.task.cell).agg(
+                    F.sum("_n").alias("_n"), F.min("_x0").alias("_x0"), F.max("_x1").alias("_x1"),
+                    F.min("_y0").alias("_y0"), F.max("_y1").alias("_y1"),
+                ),
+                "nodes",
+            )
+            levels.append((levels[-1][0] + STEP, nodes))
+        return levels[::-1]
+
+    def lower_contents(self):
+        """For the first level and each one below: what its nodes hold, taxis for a leaf and child nodes else."""
+        points, crowded, exponent = self.points, self.crowded, self.first
+        while crowded is not None:
+            keys = crowded.select(*self.task.cell)
+            calm = points.join(keys, self.task.cell, "left_anti")
+            exponent -= STEP
+            inner = points.join(keys, self.task.cell, "left_semi").withColumns(self.cells("_x", "_y", exponent))
+            points = stage(inner, "points")
+            nodes = stage(self._as_nodes(points), "nodes")
+            yield self._as_content(self.as_entries(calm)).unionByName(self.children(nodes))
+            crowded = self._too_many(nodes) if exponent - STEP >= self.first - DEPTH else None
+        yield self._as_content(self.as_entries(points))
+
+    def children(self, nodes: DataFrame) -> DataFrame:
+        """Nodes under the cell of their parent; their own cell moves to ``_in_*``."""
+        return self._as_content(self.node_entries(nodes)).withColumns({c: F.shiftright(c, STEP) for c in CELL})
+
+    @staticmethod
+    def _as_content(entries: DataFrame) -> DataFrame:
+        return entries.withColumns({f"_in{c}": F.col(c) for c in CELL})
+
+
+def _answer(task: _Task) -> list[str]:
+    return [*task.who, task.taxi, "rk", "dist"]
+
+
+def _usable(name: str) -> Column:
+    return F.coalesce(is_finite(F.col(name)), F.lit(False))
+
+
+def _state_of_position() -> Column:
+    """What the position of a client alone says; NULL for an ordinary one."""
+    missing = F.col("_px").isNull() | F.col("_py").isNull()
+    return F.when(missing, F.lit(DONE)).when(~(_usable("_px") & _usable("_py")), F.lit(ODD))
+
+
+def _no_look(task: _Task, riders: DataFrame, tree: _Tree) -> DataFrame:
+    """All clients in the shape ``_first_look`` gives, as if none had found anything."""
+    empty = {"_bound": "double", task.taxi: tree.id_type, "rk": "int", "dist": "double", "_n": "long", "_lo": "double",
+             "_cx": "long", "_cy": "long"}
+    return riders.withColumn("_state", F.coalesce(_state_of_position(), F.lit(CLIMB))).select(
+        *task.who, "_px", "_py", "_state", *[F.lit(None).cast(t).alias(c) for c, t in empty.items()]
+    )
+
+
+def _first_look(task: _Task, riders: DataFrame, tree: _Tree) -> DataFrame:
+    """Match every client with the block of cells around it.
+
+    The taxis are copied to the blocks they belong to rather than the clients, so that all candidates of a client meet
+    it in one partition and its list is made there, without a shuffle of the pairs.
+    """
+    n_riders = riders.count()
+    side = 2.0**tree.first
+    ordinary = _state_of_position().isNull()
+    # clients without an ordinary position get cells that hold nothing, many of them to avoid a hot one
+    nowhere = F.pmod(F.xxhash64(task.client), F.lit(1 << 20)) + F.lit(int(EDGE) * 2)
+    cells = {c: F.when(ordinary, at).otherwise(nowhere) for c, at in tree.cells("_px", "_py", tree.first).items()}
+    riders = riders.withColumns(cells)
+
+    held = tree.first_level()
+    if tree.size > 8 * n_riders:
+        near = around(riders.select(*task.cell).distinct()).distinct()
+        held = held.join(near, task.cell, "left_semi")
+    if tree.crowded is None:
+        held = held.drop("_n", "_x1", "_y1")
+    pairs = skew_join(riders, around(held), task.cell, [task.client], "left", task.piece, keep_piece=True,
+                      check=n_riders > task.piece)
+    if tree.crowded is None:
+        pairs = pairs.withColumns({"_n": F.when(F.col("_x0").isNotNull(), F.lit(1).cast("long")),
+                                   "_x1": F.col("_x0"), "_y1": F.col("_y0")})
+
+    # distance up to which the block has everything; outermost cells have no rim to rely on
+    rims = [F.col("_px") - (F.col("_cx") - 1) * F.lit(side), (F.col("_cx") + 2) * F.lit(side) - F.col("_px"),
+            F.col("_py") - (F.col("_cy") - 1) * F.lit(side), (F.col("_cy") + 2) * F.lit(side) - F.col("_py")]
+    rim = F.least(*rims)
+    inner = (F.abs("_cx") < F.lit(int(EDGE))) & (F.abs("_cy") < F.lit(int(EDGE)))
+    pairs = _measured(task, pairs).withColumn("_rim", F.when(inner, F.sqrt(rim * rim)).otherwise(F.lit(0.0)))
+
+    ranked = _ranked(task, pairs, [*task.cell, "_piece", task.client])
+    settled = F.coalesce(F.col("_bound") < F.col("_rim"), F.lit(False))
+    if task.radius is not None:
+        settled = settled | (F.lit(task.radius) <= F.col("_rim"))
+    group = Window.partitionBy(*task.cell, "_piece", task.client)
+    is_node = F.col("_keep") & F.col(task.taxi).isNull()
+    state = F.coalesce(
+        _state_of_position(),
+        F.when(~settled, F.lit(CLIMB)).when(F.max(is_node).over(group), F.lit(OPEN)).otherwise(F.lit(DONE)),
+    )
+    nothing = (F.col("_at") == 1) & F.col("_n").isNull()
+    kept = ranked.withColumn("_state", state).where(
+        F.when(F.col("_state").isin(CLIMB, ODD), F.col("_at") == 1).otherwise(F.col("_keep") | nothing)
+    )
+    # the cell of a kept node, found again from its box
+    return kept.withColumns(tree.cells("_x0", "_y0", tree.first)).select(
+        *task.who, "_px", "_py", "_state", "_bound", task.taxi, "rk", "dist", "_n", "_lo", *CELL
+    )
+
+
+def _measured(task: _Task, pairs: DataFrame) -> DataFrame:
+    """Add closest and farthest distance of the entry; one that lies outside the radius is emptied."""
+    spots = [F.col(c) for c in ("_px", "_py", *BOX)]
+    pairs = pairs.withColumns({"_lo": box_near(*spots), "_hi": box_far(*spots)})
+    if task.radius is None:
+        return pairs
+    inside = F.col("_lo") < F.lit(task.radius)
+    return pairs.withColumns({c: F.when(inside, F.col(c)) for c in ("_n", task.taxi, "_lo", "_hi")})
+
+
+def _ranked(task: _Task, entries: DataFrame, group: list[str]) -> DataFrame:
+    """Bound on the k-th distance per client (``_bound``), and which entries it leaves (``_keep``).
+
+    ``rk`` is the final rank of a taxi once no node is left.
+    """
+    node_last = F.col(task.taxi).isNull()
+    in_order = (
+        Window.partitionBy(*group).orderBy(F.col("_hi").asc_nulls_last(), node_last, task.taxi)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    counted = entries.withColumns({
+        "_count": F.sum(F.coalesce("_n", F.lit(0))).over(in_order),
+        "_at": F.row_number().over(in_order),
+    })
+    bound = F.min(F.when(F.col("_count") >= task.k, F.col("_hi"))).over(Window.partitionBy(*group))
+    if "_bound" in entries.columns:
+        bound = F.least(bound, F.col("_bound"))
+    is_taxi = F.col(task.taxi).isNotNull()
+    keep = F.when(is_taxi, F.col("_count") <= task.k).otherwise(
+        F.col("_n").isNotNull() & (F.col("_bound").isNull() | (F.col("_lo") <= F.col("_bound")))
+    )
+    return counted.withColumn("_bound", bound).withColumns({
+        "_keep": keep, "rk": F.when(is_taxi, F.col("_count").cast("int")), "dist": F.when(is_taxi, F.col("_hi")),
+    })
+
+
+def _descend(task: _Task, looked: DataFrame, tree: _Tree, n_climb: int, n_open: int) -> DataFrame:
+    """Lists of the clients the first look did not finish, by going down the tree one level per join."""
+    frontier = None
+    if n_climb:
+        riders = looked.where(F.col("_state") == CLIMB).select("_root", *task.who, "_px", "_py", "_bound")
+        levels = tree.upper_levels()
+        top = stage(tree.node_entries(levels[0][1]).withColumn("_root", F.lit(0)), "top")
+        pairs = riders.join(top, ["_root", *task.by])
+        entries = _measured(task, pairs)
+        if tree.odd_size and task.radius is None:
+            entries = entries.unionByName(_measured(task, riders.join(_odd_taxis(tree), ["_root", *task.by])))
+        frontier = _pruned(task, entries)
+        for _, nodes in levels[1:]:
+            frontier = _expand(task, frontier, tree.children(nodes))
+    if n_open:
+        near = looked.where(F.col("_state") == OPEN).withColumn("_hi", F.col("dist"))
+        near = near.select(*_frontier_columns(task))
+        frontier = near if frontier is None else frontier.unionByName(near)
+    for content in tree.lower_contents():
+        frontier = _expand(task, frontier, content)
+    return frontier.select(*_answer(task))
+
+
+def _frontier_columns(task: _Task) -> list[str]:
+    return [*task.who, "_px", "_py", "_bound", task.taxi, "rk", "dist", "_n", "_lo", "_hi", *CELL]
+
+
+def _pruned(task: _Task, entries: DataFrame) -> DataFrame:
+    ranked = _ranked(task, entries, task.who).where("_keep")
+    return stage(ranked.select(*_frontier_columns(task)), "frontier")
+
+
+def _expand(task: _Task, frontier: DataFrame, content: DataFrame) -> DataFrame:
+    """Replace the nodes of every client by what they hold."""
+    is_taxi = F.col(task.taxi).isNotNull()
+    carried = [*task.who, "_px", "_py", "_bound"]
+    nodes = frontier.where(~is_taxi).select(*carried, *CELL)
+    found = frontier.where(is_taxi).select(*carried, task.taxi, "_n", "_lo", "_hi", *CELL)
+    pairs = skew_join(nodes, content, task.cell, [task.client], "inner", task.piece,
+                      check=nodes.count() > task.piece)
+    pairs = _measured(task, pairs.drop(*CELL).withColumnsRenamed({f"_in{c}": c for c in CELL}))
+    return _pruned(task, pairs.select(*found.columns).unionByName(found))
+
+
+def _odd_taxis(tree: _Tree) -> DataFrame:
+    """The taxis at NaN that can fill up a list that is too short: the first k of each group."""
+    task = tree.task
+    first = Window.partitionBy(*task.by).orderBy(task.taxi) if task.by else Window.orderBy(task.taxi)
+    odd = tree.rows.where(F.isnan("_x") | F.isnan("_y")).withColumn("_at", F.row_number().over(first))
+    odd = odd.where(F.col("_at") <= task.k).withColumns({c: F.lit(None).cast("long") for c in CELL})
+    return stage(tree.as_entries(odd).withColumn("_root", F.lit(0)), "odd")
+
+
+def _odd_clients(task: _Task, riders: DataFrame, tree: _Tree) -> DataFrame:
+    """Lists of clients at infinity or NaN.
+
+    Their distances depend only on whether a taxi coordinate is finite, infinite or NaN, so the first k taxis of each
+    of these kinds are all that can be listed.
+    """
+
+    def kind(name: str) -> Column:
+        value = F.col(name)
+        return F.when(F.isnan(value), 3).when(value == float("inf"), 2).when(value == -float("inf"), 1).otherwise(0)
+
+    rows = tree.rows.withColumns({"_kx": kind("_x"), "_ky": kind("_y")})
+    first = Window.partitionBy(*task.by, "_kx", "_ky").orderBy(task.taxi)
+    rows = rows.withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= task.k)
+    rows = stage(rows.select(*task.by, task.taxi, "_x", "_y", F.lit(0).alias("_root")), "kinds")
+    dist = distance(F.col("_px"), F.col("_py"), F.col("_x"), F.col("_y"))
+    pairs = riders.select("_root", *task.who, "_px", "_py").join(rows, ["_root", *task.by])
+    pairs = pairs.withColumn("dist", dist)
+    if task.radius is not None:
+        pairs = pairs.where(F.col("dist") < F.lit(task.radius))
+    order = Window.partitionBy(*task.who).orderBy("dist", task.taxi)
+    return pairs.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= task.k).select(*_answer(task))
