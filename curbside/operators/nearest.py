@@ -408,9 +408,13 @@ def _expand(task: _Task, frontier: DataFrame, content: DataFrame) -> DataFrame:
 def _odd_taxis(tree: _Tree) -> DataFrame:
     """The taxis at NaN that can fill up a list that is too short: the first k of each group."""
     task = tree.task
-    first = Window.partitionBy(*task.by).orderBy(task.taxi) if task.by else Window.orderBy(task.taxi)
-    odd = tree.rows.where(F.isnan("_x") | F.isnan("_y")).withColumn("_at", F.row_number().over(first))
-    odd = odd.where(F.col("_at") <= task.k).withColumns({c: F.lit(None).cast("long") for c in CELL})
+    odd = tree.rows.where(F.isnan("_x") | F.isnan("_y"))
+    if task.by:
+        first = Window.partitionBy(*task.by).orderBy(task.taxi)
+        odd = odd.withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= task.k)
+    else:
+        odd = odd.orderBy(task.taxi).limit(task.k)
+    odd = odd.withColumns({c: F.lit(None).cast("long") for c in CELL})
     return stage(tree.as_entries(odd).withColumn("_root", F.lit(0)), "odd")
 
 
