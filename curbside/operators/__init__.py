@@ -6,9 +6,9 @@ from curbside.operators.movement import (
     transitions,
     with_moved_flag,
 )
-from curbside.operators.nearest import merge_lists, nearest
+from curbside.operators.neighbours import merge_lists, nearest
 from curbside.operators.state import latest, with_previous
-from curbside.operators.within import within
+from curbside.operators.radius import within
 
 __all__ = [
     "cell_deltas", "cell_members", "cell_stats", "latest", "merge_lists", "moved_taxis", "nearest", "transitions",

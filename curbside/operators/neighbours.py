@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from curbside.functions.plane import box_far, box_near, distance, is_finite
 from curbside.operators.spread import KEY_ROWS, skew_join
-from curbside.operators.within import around
+from curbside.operators.radius import around
 from curbside.session import stage
 
 STEP = 2  # a node has up to 4**STEP children
@@ -138,7 +138,8 @@ class _Tree:
         self.id_type = taxis.schema[task.taxi].dataType
         # of the taxis at one spot only the k smallest ids can be in a list; the group limit drops the others early
         spot = Window.partitionBy(*task.by, "_x", "_y").orderBy(task.taxi)
-        kept = taxis.dropna(subset=["_x", "_y"]).withColumn("_at", F.row_number().over(spot))
+        placed = taxis.where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
+        kept = placed.withColumn("_at", F.row_number().over(spot))
         self.rows = stage(kept.where(F.col("_at") <= task.k).drop("_at"), "taxis")
         normal = ~(F.isnan("_x") | F.isnan("_y"))
         groups = F.approx_count_distinct(F.struct(*task.by)) if task.by else F.lit(1)
@@ -210,20 +211,16 @@ class _Tree:
         calm = self.points.join(self.crowded.select(*self.task.cell), self.task.cell, "left_anti")
         return self.as_entries(calm).unionByName(self.node_entries(self.crowded))
 
-    def upper_levels(self) -> list[tuple[int, DataFrame]]:
-        """``(exponent, nodes)`` from the top down to the first level."""
-        nodes = stage(self._as_nodes(self.points), "nodes")
-        levels = [(self.first, nodes)]
-        while nodes.count() > TOP_ROWS * self.groups and len(levels) <= DEPTH:
-            up = {c: F.shiftright(c, STEP) for c in CELL}
-            nodes = stage(
-                nodes.withColumns(up).groupBy(*self.task.cell).agg(
-                    F.sum("_n").alias("_n"), F.min("_x0").alias("_x0"), F.max("_x1").alias("_x1"),
-                    F.min("_y0").alias("_y0"), F.max("_y1").alias("_y1"),
-                ),
-                "nodes",
+    def upper_levels(self) -> list[DataFrame]:
+        """The nodes of each level, from the top down to the first one. ``_root`` is the key all of them share."""
+        levels = [stage(self._as_nodes(self.points).withColumn("_root", F.lit(0)), "nodes")]
+        while levels[-1].count() > TOP_ROWS * self.groups and len(levels) <= DEPTH:
+            above = levels[-1].withColumns({c: F.shiftright(c, STEP) for c in CELL})
+            merged = above.groupBy("_root", *self.task.cell).agg(
+                F.sum("_n").alias("_n"), F.min("_x0").alias("_x0"), F.max("_x1").alias("_x1"),
+                F.min("_y0").alias("_y0"), F.max("_y1").alias("_y1"),
             )
-            levels.append((levels[-1][0] + STEP, nodes))
+            levels.append(stage(merged, "nodes"))
         return levels[::-1]
 
     def lower_contents(self):
@@ -366,43 +363,45 @@ def _descend(task: _Task, looked: DataFrame, tree: _Tree, n_climb: int, n_open:
     frontier = None
     if n_climb:
         riders = looked.where(F.col("_state") == CLIMB).select("_root", *task.who, "_px", "_py", "_bound")
-        levels = tree.upper_levels()
-        top = stage(tree.node_entries(levels[0][1]).withColumn("_root", F.lit(0)), "top")
-        pairs = riders.join(top, ["_root", *task.by])
-        entries = _measured(task, pairs)
+        top, *levels = tree.upper_levels()
+        entries = _measured(task, riders.join(tree.node_entries(top), ["_root", *task.by]))
+        for nodes in levels:
+            entries = _measured(task, _below(task, _pruned(task, entries), tree.children(nodes)))
         if tree.odd_size and task.radius is None:
-            entries = entries.unionByName(_measured(task, riders.join(_odd_taxis(tree), ["_root", *task.by])))
+            entries = entries.select(*_frontier_columns(task)).unionByName(
+                _measured(task, riders.join(_odd_taxis(tree), ["_root", *task.by])).select(*_frontier_columns(task))
+            )
         frontier = _pruned(task, entries)
-        for _, nodes in levels[1:]:
-            frontier = _expand(task, frontier, tree.children(nodes))
     if n_open:
-        near = looked.where(F.col("_state") == OPEN).withColumn("_hi", F.col("dist"))
-        near = near.select(*_frontier_columns(task))
+        near = looked.where(F.col("_state") == OPEN).withColumn("_hi", F.col("dist")).select(
+            *_frontier_columns(task), "rk", "dist"
+        )
         frontier = near if frontier is None else frontier.unionByName(near)
     for content in tree.lower_contents():
-        frontier = _expand(task, frontier, content)
+        # read twice below, and its real size decides between a broadcast and a shuffle of the content
+        frontier = stage(frontier, "frontier")
+        nodes, found = frontier.where(F.col(task.taxi).isNull()), frontier.where(F.col(task.taxi).isNotNull())
+        found = found.select(*_frontier_columns(task))
+        pairs = _measured(task, _below(task, nodes, content, check=nodes.count() > task.piece))
+        frontier = _pruned(task, pairs.select(*_frontier_columns(task)).unionByName(found))
     return frontier.select(*_answer(task))
 
 
 def _frontier_columns(task: _Task) -> list[str]:
-    return [*task.who, "_px", "_py", "_bound", task.taxi, "rk", "dist", "_n", "_lo", "_hi", *CELL]
+    return [*task.who, "_px", "_py", "_bound", task.taxi, "_n", "_lo", "_hi", *CELL]
 
 
 def _pruned(task: _Task, entries: DataFrame) -> DataFrame:
+    """The entries that can still matter, per client."""
     ranked = _ranked(task, entries, task.who).where("_keep")
-    return stage(ranked.select(*_frontier_columns(task)), "frontier")
+    return ranked.select(*_frontier_columns(task), "rk", "dist")
 
 
-def _expand(task: _Task, frontier: DataFrame, content: DataFrame) -> DataFrame:
-    """Replace the nodes of every client by what they hold."""
-    is_taxi = F.col(task.taxi).isNotNull()
-    carried = [*task.who, "_px", "_py", "_bound"]
-    nodes = frontier.where(~is_taxi).select(*carried, *CELL)
-    found = frontier.where(is_taxi).select(*carried, task.taxi, "_n", "_lo", "_hi", *CELL)
-    pairs = skew_join(nodes, content, task.cell, [task.client], "inner", task.piece,
-                      check=nodes.count() > task.piece)
-    pairs = _measured(task, pairs.drop(*CELL).withColumnsRenamed({f"_in{c}": c for c in CELL}))
-    return _pruned(task, pairs.select(*found.columns).unionByName(found))
+def _below(task: _Task, nodes: DataFrame, content: DataFrame, check: bool = False) -> DataFrame:
+    """The nodes of every client replaced by what they hold."""
+    nodes = nodes.select(*task.who, "_px", "_py", "_bound", *CELL)
+    pairs = skew_join(nodes, content, task.cell, [task.client], "inner", task.piece, check=check)
+    return pairs.drop(*CELL).withColumnsRenamed({f"_in{c}": c for c in CELL})
 
 
 def _odd_taxis(tree: _Tree) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from curbside.functions.grid import Grid
 from curbside.operators.movement import with_cell
-from curbside.operators.nearest import merge_lists, nearest
+from curbside.operators.neighbours import merge_lists, nearest
 
 # fixed values: list length, number of taxi parts, search radius
 K = 4

@@ -9,10 +9,10 @@ from curbside.functions import decode as D
 from curbside.functions.grid import Grid
 from curbside.functions.plane import distance, normalize_lon
 from curbside.operators import movement as M
-from curbside.operators.nearest import nearest
+from curbside.operators.neighbours import nearest
 from curbside.operators.spread import skew_join
 from curbside.operators.state import latest
-from curbside.operators.within import within
+from curbside.operators.radius import within
 from curbside.plans.matching import match_all, match_cells, match_parts, part_lists
 from curbside.session import new_folder, tune
 from curbside.sources import tables as S
