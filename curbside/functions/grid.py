@@ -42,7 +42,7 @@ class Grid:
         return self.overflow + 1
 
     def _offsets(self, x: Column, y: Column) -> tuple[Column, Column]:
-        return (x - F.lit(self.left)) / F.lit(self.size_x), (y - F.lit(self.bottom)) / F.lit(self.size_y)
+        return (x - F.lit(float(self.left))) / F.lit(self.size_x), (y - F.lit(float(self.bottom))) / F.lit(self.size_y)
 
     def cell(self, x: Column, y: Column) -> Column:
         """Cell of a point; each axis is checked, so every point outside the extent is in the overflow cell."""
@@ -67,6 +67,6 @@ class Grid:
         column, row = F.col("cell") % self.cells_x, F.floor(F.col("cell") / self.cells_x)
         return spark.range(self.overflow).select(F.col("id").cast("int").alias("cell")).select(
             "cell",
-            (F.lit(self.left) + (column + F.lit(0.5)) * F.lit(self.size_x)).alias("lon"),
-            (F.lit(self.bottom) + (row + F.lit(0.5)) * F.lit(self.size_y)).alias("lat"),
+            (F.lit(float(self.left)) + (column + F.lit(0.5)) * F.lit(self.size_x)).alias("lon"),
+            (F.lit(float(self.bottom)) + (row + F.lit(0.5)) * F.lit(self.size_y)).alias("lat"),
         )

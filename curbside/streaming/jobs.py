@@ -41,11 +41,12 @@ def rocksdb(spark: SparkSession):
 
 def start_matching(
     taxis: DataFrame, clients: DataFrame, out: str, checkpoint: str, *, method: str = "all",
-    trigger: str | None = INTERVAL, **options,
+    trigger: str | None = INTERVAL, then: Callable[[DataFrame, int], None] | None = None, **options,
 ) -> StreamingQuery:
     """Match all current clients with all current taxis in every micro-batch.
 
-    Each batch gives ``out/state`` (the current tables) and ``out/matches`` (the result of the strategy).
+    Each batch gives ``out/state`` (the current tables) and ``out/matches`` (the result of the strategy), which is then
+    handed to ``then``, e.g. ``print_batches()``.
     """
 
     def run(current: DataFrame, batch_id: int) -> None:
@@ -56,7 +57,10 @@ def start_matching(
         with scratch_scope(spark):
             table = spark.read.schema(current.schema).parquet(state)
             found = match(*split(table), method=method, **options)
-            found.write.mode("overwrite").parquet(batch_path(f"{out}/matches", batch_id))
+            matches = batch_path(f"{out}/matches", batch_id)
+            found.write.mode("overwrite").parquet(matches)
+            if then:
+                then(spark.read.schema(found.schema).parquet(matches), batch_id)
 
     return _start(current_table(tagged(taxis, clients)), run, checkpoint, "complete", trigger)
 

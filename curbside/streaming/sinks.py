@@ -23,11 +23,14 @@ def write_batches(out: str) -> Callable[[DataFrame, int], None]:
 
 
 def print_batches(rows: int = 10) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function: show the first rows of each batch."""
+    """``foreachBatch`` function: show the first rows of each batch.
+
+    The order makes every task run, which a stateful batch needs; a plain ``show`` would stop after a few.
+    """
 
     def show(batch: DataFrame, batch_id: int) -> None:
         print(f"batch {batch_id}")
-        batch.show(rows, truncate=False)
+        batch.orderBy(*batch.columns).show(rows, truncate=False)
 
     return show
 
