@@ -1,21 +1,26 @@
 """Exact k nearest neighbours without comparing every pair.
 
-Taxis lie in a tree of square cells whose sides are powers of two, so that cell arithmetic is exact and a parent cell
-is a bit shift away. A tree node is a row: its cell, the number of taxis in it and the box around them; a taxi is the
-special case of a node with one taxi and a box that is a point. For one client, any set of nodes gives
+Taxis lie in square cells whose sides are powers of two, so that cell arithmetic is exact and a larger cell is a bit
+shift away. A node is a row: a cell, the number of taxis in it and the box around them; a taxi is the special case of
+a node with one taxi and a box that is a point. For one client, any set of nodes gives
 
 * an upper bound on the k-th distance: go through the nodes by farthest spot until k taxis are counted;
 * a reason to drop a node: its closest spot is farther than that bound.
 
-First all clients look at the 3 x 3 block of cells around them, at the level where a cell holds about k taxis. Whoever
-finds k taxis closer than the rim of the block is done. The others start from the top of the tree, and clients next to
-crowded cells continue below them; both go down one level per join, dropping nodes on the way. Every step is an
-equi-join on a cell, each node has a bounded number of children, and no result depends on the choice of levels.
+1. All clients look at the 3 x 3 block of cells around them, with cells that hold about k taxis. Whoever finds k taxis
+   closer than the rim of the block is done.
+2. The others go down a tree of ever smaller cells, one equi-join per level, dropping nodes on the way.
+3. Crowded cells enter both steps as single nodes. Clients that may have partners in them repeat the search on the
+   taxis of these cells alone, with cells as small as the crowd needs.
+
+Nodes have a bounded number of children and blocks a bounded number of taxis, whatever the data looks like, and no
+result depends on the choice of cells.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -28,9 +33,12 @@ from curbside.operators.radius import around
 from curbside.session import stage
 
 STEP = 2  # a node has up to 4**STEP children
-EDGE = 2.0**30  # cell numbers at the first level end here; what lies farther out shares the outermost cells
-DEPTH = 30  # levels below the first one
+EDGE = 2.0**50  # cell numbers end here; what lies farther out shares the outermost cells
+HEIGHT = 40  # levels above the first one
+DEPTH = 12  # searches within crowds within crowds, after which crowds are read row by row
+LEAST = 0.6  # taxis around a taxi, in lists, for which cells are large enough
 TOP_ROWS = 16  # the tree is high enough once this many nodes per group are left
+LIMIT = 500  # exponents of cell sides
 DONE, OPEN, CLIMB, ODD = 0, 1, 2, 3  # states of a client after the first look
 
 CELL = ["_cx", "_cy"]
@@ -79,95 +87,104 @@ def nearest(
         raise ValueError("max_distance must be positive")
     if max_distance is not None and math.isinf(max_distance):
         raise ValueError("leave max_distance out instead of passing infinity")
-    task = _Task(client_id, taxi_id, list(by), k, max_distance, leaf_rows or max(64, 16 * k), piece_rows)
+    leaf = max(k, leaf_rows or max(64, 16 * k))
+    task = _Task(client_id, taxi_id, list(by), k, max_distance, leaf, piece_rows)
 
     riders = clients.select(*task.who, F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py"))
-    riders = stage(riders, "clients")
-    tree = _Tree(task, taxis.select(*task.by, taxi_id, F.col(x).cast("double").alias("_x"),
-                                    F.col(y).cast("double").alias("_y")))
-    if tree.size == 0 and tree.odd_size == 0:
-        seen = riders.select(*task.who, F.lit(None).cast(tree.id_type).alias(taxi_id),
-                             F.lit(None).cast("int").alias("rk"), F.lit(None).cast("double").alias("dist"))
-        return seen if keep_empty else seen.limit(0)
-
-    look = _first_look if first_look and tree.size else _no_look
-    looked = stage(look(task, riders, tree).withColumn("_root", F.lit(0)), "looked")
-    states = {row["_state"]: row["n"] for row in looked.groupBy("_state").agg(F.count("*").alias("n")).collect()}
-    result = looked.where(F.col("_state") == DONE)
-    if not states.keys() <= {DONE}:
-        # the clients that go on, one way or another
-        parts = [result.select(*_answer(task))]
-        if OPEN in states or CLIMB in states:
-            parts.append(_descend(task, looked, tree, states.get(CLIMB, 0), states.get(OPEN, 0)))
-        if ODD in states:
-            parts.append(_odd_clients(task, looked.where(F.col("_state") == ODD), tree))
-        result = reduce(DataFrame.unionByName, parts)
-        if keep_empty:
-            everyone = looked.where(F.col("_state") != DONE).select(*task.who).distinct()
-            done = parts[0]
-            rest = reduce(DataFrame.unionByName, parts[1:])
-            result = done.unionByName(everyone.join(rest, task.who, "left"))
-    result = result.select(*_answer(task))
-    return result if keep_empty else result.where(F.col(taxi_id).isNotNull())
+    riders = stage(riders, "clients").withColumn("_bound", F.lit(None).cast("double"))
+    taxis = taxis.select(*task.by, taxi_id, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    rows = stage(taxis.where(F.col("_x").isNotNull() & F.col("_y").isNotNull()), "taxis")
+    tree = _plant(task, rows)
+
+    looked, states = _look(task, riders, tree, first_look)
+    hits = F.posexplode_outer("_best").alias("_at", "_hit") if keep_empty else F.posexplode("_best").alias("_at", "_hit")
+    done = looked.where(F.col("_state") == DONE).select(*task.who, hits)
+    done = done.select(*task.who, f"_hit.{taxi_id}", (F.col("_at") + 1).alias("rk"), "_hit.dist")
+    if states.keys() <= {DONE}:
+        return done
+    lists = _go_on(task, looked, states, tree, _odd_taxis(task, rows) if tree.has_odd else None)
+    if ODD in states:
+        lists.append(_odd_clients(task, looked.where(F.col("_state") == ODD), rows))
+    if keep_empty:
+        nobody = (F.lit(None).cast(tree.id_type).alias(taxi_id), F.lit(None).cast("double").alias("dist"))
+        lists.append(looked.where(F.col("_state") != DONE).select(*task.who, *nobody))
+    rest = merge_lists(reduce(DataFrame.unionByName, lists), k=k, client_id=client_id, taxi_id=taxi_id, by=task.by,
+                       keep_empty=keep_empty)
+    return done.unionByName(rest)
 
 
 def merge_lists(
-    lists: DataFrame, *, k: int = 4, client_id: str = "client_id", taxi_id: str = "taxi_id", keep_empty: bool = False
+    lists: DataFrame, *, k: int = 4, client_id: str = "client_id", taxi_id: str = "taxi_id", by: Sequence[str] = (),
+    keep_empty: bool = False,
 ) -> DataFrame:
-    """One list of ``k`` per client out of several partial lists, e.g. one per cell or part.
+    """One list of ``k`` per client (and ``by``) out of several partial lists, e.g. one per cell or part.
 
-    The group limit trims each client before the shuffle.
+    Rows without a taxi say that the client exists. The group limit trims each client before the shuffle.
     """
-    order = Window.partitionBy(client_id).orderBy(F.col("dist").asc_nulls_last(), taxi_id)
-    merged = (
-        lists.select(client_id, taxi_id, "dist").withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k)
-    )
+    order = Window.partitionBy(client_id, *by).orderBy(F.col("dist").asc_nulls_last(), F.col(taxi_id).asc_nulls_last())
+    ranked = lists.select(*by, client_id, taxi_id, "dist").withColumn("rk", F.row_number().over(order))
     found = F.col(taxi_id).isNotNull()
-    if not keep_empty:
-        merged = merged.where(found)
-    else:
-        merged = merged.where(found | (F.col("rk") == 1))
-    return merged.select(client_id, taxi_id, F.when(found, F.col("rk")).alias("rk"), "dist")
+    kept = ranked.where((F.col("rk") <= k) & (found | (F.col("rk") == 1) if keep_empty else found))
+    return kept.select(*by, client_id, taxi_id, F.when(found, F.col("rk")).alias("rk"), "dist")
 
 
-class _Tree:
-    """The taxis as rows, and the levels of nodes above and below the first level, made when needed."""
-
-    def __init__(self, task: _Task, taxis: DataFrame):
-        self.task = task
-        self.id_type = taxis.schema[task.taxi].dataType
-        # of the taxis at one spot only the k smallest ids can be in a list; the group limit drops the others early
-        spot = Window.partitionBy(*task.by, "_x", "_y").orderBy(task.taxi)
-        placed = taxis.where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
-        kept = placed.withColumn("_at", F.row_number().over(spot))
-        self.rows = stage(kept.where(F.col("_at") <= task.k).drop("_at"), "taxis")
-        normal = ~(F.isnan("_x") | F.isnan("_y"))
-        groups = F.approx_count_distinct(F.struct(*task.by)) if task.by else F.lit(1)
-        tails = [F.percentile_approx(F.when(normal, F.col(c)), [0.05, 0.95], 1000).alias(c) for c in ("_x", "_y")]
-        stats = self.rows.agg(F.count(F.when(normal, 1)).alias("n"), F.count("*").alias("all"),
-                              groups.alias("groups"), *tails).first()
-        self.size, self.odd_size, self.groups = stats["n"], stats["all"] - stats["n"], max(1, stats["groups"])
-        self.first = self._first_exponent(stats) if self.size else 0
-        self.points = self.rows.where(normal).withColumns(self.cells("_x", "_y", self.first))
-        self._crowded: DataFrame | None = None
-        self._looked_for_crowds = False
-
-    def _first_exponent(self, stats) -> int:
-        """Exponent of the cell side at which a cell of the populated area holds k/2 to 2k taxis of a group.
-
-        The area is judged between percentiles, so a few far outliers do not matter.
-        """
+def _plant(task: _Task, rows: DataFrame) -> _Tree:
+    """The tree of all taxis, guessing the cell side for k/2 to 2k taxis of a group in a cell of the populated area.
+
+    The area is judged between percentiles, so a few far outliers do not matter.
+    """
+    normal = ~(F.isnan("_x") | F.isnan("_y"))
+    groups = F.approx_count_distinct(F.struct(*task.by)) if task.by else F.lit(1)
+    tails = [F.percentile_approx(F.when(normal, F.col(c)), [0.05, 0.95], 1000).alias(c) for c in ("_x", "_y")]
+    stats = rows.agg(F.count(F.when(normal, 1)).alias("n"), F.count("*").alias("all"), groups.alias("groups"),
+                     *tails).first()
+    side = 0.0
+    if stats["n"]:
         spans = [max(0.0, stats[c][1] - stats[c][0]) for c in ("_x", "_y")]
         spans = [s if math.isfinite(s) else 0.0 for s in spans]
-        cells = max(1.0, self.size / self.groups / (2.0 * self.task.k))
+        cells = max(1.0, stats["n"] / max(1, stats["groups"]) / (2.0 * task.k))
         side = math.sqrt(spans[0] * spans[1] / cells) or max(spans) / cells
-        if not side:
-            return 0
-        return max(-500, min(500, math.floor(math.log2(side))))
+    exponent = max(-LIMIT, min(LIMIT, math.floor(math.log2(side)))) if side else 0
+    return _Tree(task, rows.where(normal), stats["n"], exponent, max(1, stats["groups"]), has_odd=stats["all"] > stats["n"])
+
+
+class _Tree:
+    """Taxis in cells of one size, told apart by whether their cell is crowded, and the larger cells above."""
+
+    def __init__(self, task: _Task, points: DataFrame, size: int, guess: int, groups: int, *, depth: int = 0,
+                 has_odd: bool = False):
+        self.task, self.size, self.groups, self.depth, self.has_odd = task, size, groups, depth, has_odd
+        self.id_type = points.schema[task.taxi].dataType
+        self.outermost = EDGE * 2.0**guess  # coordinates beyond it share a cell
+        # exponent of the cell side, cells as nodes, taxis of ordinary and of crowded cells, and the crowded cells
+        self.first, self.nodes, busy = self._settle(points, guess, guess if depth else LIMIT)
+        self.calm = points.withColumns(self.cells("_x", "_y", self.first))
+        self.dense: DataFrame | None = None
+        self.crowded: DataFrame | None = None
+        if busy and depth < DEPTH:
+            self._part()
+
+    def _settle(self, points: DataFrame, exponent: int, highest: int) -> tuple[int, DataFrame, bool]:
+        """Exponent of the cell side, the cells as nodes, and whether some are crowded.
+
+        A guess with too few taxis around the average taxi of an ordinary cell (one place with most taxis can mislead
+        it) is corrected by merging cells.
+        """
+        nodes = stage(self._as_nodes(points.withColumns(self.cells("_x", "_y", exponent))), "nodes")
+        while True:
+            n = F.when(F.col("_n") <= self.task.leaf, F.col("_n").cast("double"))
+            seen = nodes.agg(F.sum(n).alias("n"), F.sum(n * n).alias("square"), F.count("*").alias("cells"),
+                             F.count(n).alias("calm")).first()
+            others = (seen["square"] or 0.0) / (seen["n"] or 1.0) - 1.0
+            enough = others >= LEAST * self.task.k or seen["cells"] <= TOP_ROWS * self.groups
+            if enough or not seen["calm"] or exponent >= highest:
+                return exponent, nodes, seen["cells"] > seen["calm"]
+            exponent += 1
+            nodes = stage(self._merged(nodes, 1), "nodes")
 
     def cells(self, x: str, y: str, exponent: int) -> dict[str, Column]:
         """Cell numbers at a level. Scaling by a power of two does not round, so levels nest exactly."""
-        edge = EDGE * 2.0 ** (self.first - exponent)
+        edge = self.outermost * 2.0**-exponent
 
         def index(name: str) -> Column:
             scaled = F.col(name) * F.lit(2.0**-exponent)
@@ -175,12 +192,55 @@ class _Tree:
 
         return {"_cx": index(x), "_cy": index(y)}
 
+    def _part(self) -> None:
+        """Tell crowded cells from the others."""
+        task = self.task
+        self.crowded = stage(self.nodes.where(F.col("_n") > task.leaf), "crowded")
+        self.nodes = self.nodes.where(F.col("_n") <= task.leaf)
+        inside = self.calm.join(self.crowded.select(*task.cell), task.cell, "left_semi")
+        outside = self.calm.join(self.crowded.select(*task.cell), task.cell, "left_anti")
+        if self.depth == 0:
+            # of the taxis at one spot only the k smallest ids can be in a list; the group limit drops the others early
+            spot = Window.partitionBy(*task.by, "_x", "_y").orderBy(task.taxi)
+            inside = inside.withColumn("_at", F.row_number().over(spot)).where(F.col("_at") <= task.k).drop("_at")
+            inside = stage(inside, "inside")
+            nodes = stage(self._as_nodes(inside), "nodes")
+            self.nodes = self.nodes.unionByName(nodes.where(F.col("_n") <= task.leaf))
+            self.crowded = nodes.where(F.col("_n") > task.leaf)
+            if self.crowded.isEmpty():
+                self.crowded = None
+                self.calm = stage(outside.unionByName(inside), "calm")
+                return
+            thin = inside.join(self.crowded.select(*task.cell), task.cell, "left_anti")
+            inside = inside.join(self.crowded.select(*task.cell), task.cell, "left_semi")
+            outside = outside.unionByName(thin)
+        self.calm, self.dense = stage(outside, "calm"), stage(inside, "dense")
+
+    def crowd(self) -> _Tree:
+        """The tree of the taxis in crowded cells, with smaller cells that suit their typical box."""
+        wide, high = F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")
+        share = F.lit(2.0 * self.task.k) / F.col("_n")
+        side = F.when((wide > 0) & (high > 0), F.sqrt(wide * high * share)).otherwise(F.greatest(wide, high) * share)
+        n = F.when(is_finite(side), F.col("_n"))
+        level = F.sum(F.log2(side) * n) / F.sum(n)
+        stats = self.crowded.agg(F.sum("_n").alias("n"), level.alias("level")).first()
+        finer = self.first - 1 if stats["level"] is None else min(self.first - 1, math.floor(stats["level"]))
+        return _Tree(self.task, self.dense.drop(*CELL), stats["n"], max(-LIMIT, finer), self.groups, depth=self.depth + 1)
+
     def _as_nodes(self, points: DataFrame) -> DataFrame:
         return points.groupBy(*self.task.cell).agg(
             F.count("*").alias("_n"), F.min("_x").alias("_x0"), F.max("_x").alias("_x1"),
             F.min("_y").alias("_y0"), F.max("_y").alias("_y1"),
         )
 
+    def _merged(self, nodes: DataFrame, bits: int) -> DataFrame:
+        """The nodes of the cells that are ``2**bits`` times as wide."""
+        above = nodes.withColumns({c: F.shiftright(c, bits) for c in CELL})
+        return above.groupBy(*self.task.cell).agg(
+            F.sum("_n").alias("_n"), F.min("_x0").alias("_x0"), F.max("_x1").alias("_x1"),
+            F.min("_y0").alias("_y0"), F.max("_y1").alias("_y1"),
+        )
+
     def as_entries(self, points: DataFrame) -> DataFrame:
         """Taxis in the shape of nodes."""
         return points.select(
@@ -191,51 +251,39 @@ class _Tree:
     def node_entries(self, nodes: DataFrame) -> DataFrame:
         return nodes.withColumn(self.task.taxi, F.lit(None).cast(self.id_type))
 
-    @property
-    def crowded(self) -> DataFrame | None:
-        """Nodes of the first level with too many taxis to look at one by one; ``None`` if there are none."""
-        if not self._looked_for_crowds:
-            self._looked_for_crowds = True
-            if self.size > self.task.leaf:
-                self._crowded = self._too_many(self._as_nodes(self.points))
-        return self._crowded
-
-    def _too_many(self, nodes: DataFrame) -> DataFrame | None:
-        found = stage(nodes.where(F.col("_n") > self.task.leaf), "crowded")
-        return None if found.isEmpty() else found
-
-    def first_level(self) -> DataFrame:
-        """What the cells of the first level hold: their taxis, or themselves if crowded."""
-        if self.crowded is None:
-            return self.as_entries(self.points)
-        calm = self.points.join(self.crowded.select(*self.task.cell), self.task.cell, "left_anti")
-        return self.as_entries(calm).unionByName(self.node_entries(self.crowded))
-
-    def upper_levels(self) -> list[DataFrame]:
-        """The nodes of each level, from the top down to the first one. ``_root`` is the key all of them share."""
-        levels = [stage(self._as_nodes(self.points).withColumn("_root", F.lit(0)), "nodes")]
-        while levels[-1].count() > TOP_ROWS * self.groups and len(levels) <= DEPTH:
-            above = levels[-1].withColumns({c: F.shiftright(c, STEP) for c in CELL})
-            merged = above.groupBy("_root", *self.task.cell).agg(
-                F.sum("_n").alias("_n"), F.min("_x0").alias("_x0"), F.max("_x1").alias("_x1"),
-                F.min("_y0").alias("_y0"), F.max("_y1").alias("_y1"),
-            )
-            levels.append(stage(merged, "nodes"))
+    def blocks(self, near: DataFrame | None) -> DataFrame:
+        """Per cell, what the 3 x 3 block around it holds: ``_held``, the taxis of ordinary cells, and ``_crowds``.
+
+        A cell adds ``leaf`` taxis at most, or itself if crowded, so a block stays small. ``near`` restricts the cells
+        that are copied to blocks.
+        """
+        held = F.collect_list(F.struct("_x", "_y", self.task.taxi)).alias("_held")
+        cells = self.calm.groupBy(*self.task.cell).agg(held)
+        crowd = F.struct(*BOX).alias("_crowd")
+        if self.crowded is not None:
+            crowds = self.crowded.select(*self.task.cell, crowd)
+            cells = cells.unionByName(crowds, allowMissingColumns=True)
+        if near is not None:
+            cells = cells.join(near, self.task.cell, "left_semi")
+        lists = [F.flatten(F.collect_list("_held")).alias("_held")]
+        if self.crowded is not None:
+            lists.append(F.collect_list("_crowd").alias("_crowds"))
+        return around(cells).groupBy(*self.task.cell).agg(*lists)
+
+    def upper_levels(self, crowds: bool) -> list[DataFrame]:
+        """The nodes of each level, from the top down to the first one; the topmost ones have a key in common."""
+        nodes = self.nodes.unionByName(self.crowded) if crowds and self.crowded is not None else self.nodes
+        levels = [nodes]
+        while nodes.count() > TOP_ROWS * self.groups and len(levels) <= HEIGHT:
+            nodes = stage(self._merged(nodes, STEP), "nodes")
+            levels.append(nodes)
+        # the clients join the topmost nodes on this key
+        levels[-1] = stage(levels[-1].withColumn("_root", F.lit(0)), "top")
         return levels[::-1]
 
-    def lower_contents(self):
-        """For the first level and each one below: what its nodes hold, taxis for a leaf and child nodes else."""
-        points, crowded, exponent = self.points, self.crowded, self.first
-        while crowded is not None:
-            keys = crowded.select(*self.task.cell)
-            calm = points.join(keys, self.task.cell, "left_anti")
-            exponent -= STEP
-            inner = points.join(keys, self.task.cell, "left_semi").withColumns(self.cells("_x", "_y", exponent))
-            points = stage(inner, "points")
-            nodes = stage(self._as_nodes(points), "nodes")
-            yield self._as_content(self.as_entries(calm)).unionByName(self.children(nodes))
-            crowded = self._too_many(nodes) if exponent - STEP >= self.first - DEPTH else None
-        yield self._as_content(self.as_entries(points))
+    def contents(self) -> DataFrame:
+        """The taxis of ordinary cells under their cell."""
+        return self._as_content(self.as_entries(self.calm))
 
     def children(self, nodes: DataFrame) -> DataFrame:
         """Nodes under the cell of their parent; their own cell moves to ``_in_*``."""
@@ -246,10 +294,6 @@ class _Tree:
         return entries.withColumns({f"_in{c}": F.col(c) for c in CELL})
 
 
-def _answer(task: _Task) -> list[str]:
-    return [*task.who, task.taxi, "rk", "dist"]
-
-
 def _usable(name: str) -> Column:
     return F.coalesce(is_finite(F.col(name)), F.lit(False))
 
@@ -260,143 +304,176 @@ def _state_of_position() -> Column:
     return F.when(missing, F.lit(DONE)).when(~(_usable("_px") & _usable("_py")), F.lit(ODD))
 
 
-def _no_look(task: _Task, riders: DataFrame, tree: _Tree) -> DataFrame:
-    """All clients in the shape ``_first_look`` gives, as if none had found anything."""
-    empty = {"_bound": "double", task.taxi: tree.id_type, "rk": "int", "dist": "double", "_n": "long", "_lo": "double",
-             "_cx": "long", "_cy": "long"}
-    return riders.withColumn("_state", F.coalesce(_state_of_position(), F.lit(CLIMB))).select(
-        *task.who, "_px", "_py", "_state", *[F.lit(None).cast(t).alias(c) for c, t in empty.items()]
-    )
+def _look(task: _Task, riders: DataFrame, tree: _Tree, first_look: bool) -> tuple[DataFrame, dict[int, int]]:
+    """What each client found around it, and how many clients there are of each state."""
+    if first_look and tree.size and tree.depth < DEPTH:
+        looked = _first_look(task, riders, tree)
+    else:
+        looked = riders.select(
+            *task.who, "_px", "_py", F.coalesce(_state_of_position(), F.lit(CLIMB)).alias("_state"), "_bound",
+            F.lit(0.0).alias("_rim"), F.lit(None).cast(f"array<struct<dist:double,{task.taxi}:{tree.id_type.simpleString()}>>").alias("_best"),
+        )
+    looked = stage(looked.withColumn("_root", F.lit(0)), "looked")
+    counts = looked.groupBy("_state").agg(F.count("*").alias("n")).collect()
+    return looked, {row["_state"]: row["n"] for row in counts}
 
 
 def _first_look(task: _Task, riders: DataFrame, tree: _Tree) -> DataFrame:
     """Match every client with the block of cells around it.
 
-    The taxis are copied to the blocks they belong to rather than the clients, so that all candidates of a client meet
-    it in one partition and its list is made there, without a shuffle of the pairs.
+    Every client meets one row that holds all its candidates, so its list is made in place: no pair becomes a row, and
+    nothing is shuffled after the join.
     """
     n_riders = riders.count()
-    side = 2.0**tree.first
     ordinary = _state_of_position().isNull()
     # clients without an ordinary position get cells that hold nothing, many of them to avoid a hot one
     nowhere = F.pmod(F.xxhash64(task.client), F.lit(1 << 20)) + F.lit(int(EDGE) * 2)
     cells = {c: F.when(ordinary, at).otherwise(nowhere) for c, at in tree.cells("_px", "_py", tree.first).items()}
     riders = riders.withColumns(cells)
-
-    held = tree.first_level()
+    near = None
     if tree.size > 8 * n_riders:
         near = around(riders.select(*task.cell).distinct()).distinct()
-        held = held.join(near, task.cell, "left_semi")
-    if tree.crowded is None:
-        held = held.drop("_n", "_x1", "_y1")
-    pairs = skew_join(riders, around(held), task.cell, [task.client], "left", task.piece, keep_piece=True,
+    looks = skew_join(riders, tree.blocks(near), task.cell, [task.client], "left", task.piece,
                       check=n_riders > task.piece)
-    if tree.crowded is None:
-        pairs = pairs.withColumns({"_n": F.when(F.col("_x0").isNotNull(), F.lit(1).cast("long")),
-                                   "_x1": F.col("_x0"), "_y1": F.col("_y0")})
 
-    # distance up to which the block has everything; outermost cells have no rim to rely on
-    rims = [F.col("_px") - (F.col("_cx") - 1) * F.lit(side), (F.col("_cx") + 2) * F.lit(side) - F.col("_px"),
-            F.col("_py") - (F.col("_cy") - 1) * F.lit(side), (F.col("_cy") + 2) * F.lit(side) - F.col("_py")]
-    rim = F.least(*rims)
-    inner = (F.abs("_cx") < F.lit(int(EDGE))) & (F.abs("_cy") < F.lit(int(EDGE)))
-    pairs = _measured(task, pairs).withColumn("_rim", F.when(inner, F.sqrt(rim * rim)).otherwise(F.lit(0.0)))
-
-    ranked = _ranked(task, pairs, [*task.cell, "_piece", task.client])
-    settled = F.coalesce(F.col("_bound") < F.col("_rim"), F.lit(False))
+    here = (F.col("_px"), F.col("_py"))
+
+    def hit(taxi: Column) -> Column:
+        return F.struct(distance(*here, taxi["_x"], taxi["_y"]).alias("dist"), taxi[task.taxi].alias(task.taxi))
+
+    def node(crowd: Column) -> Column:
+        box = [crowd[c] for c in BOX]
+        return F.struct(box_near(*here, *box).alias("_lo"), box_far(*here, *box).alias("_hi"))
+
+    hits = F.slice(F.sort_array(F.transform("_held", hit)), 1, task.k)
+    looks = looks.withColumn("_best", hits).drop("_held")
+    kth = F.when(F.size("_best") >= task.k, F.try_element_at("_best", F.lit(task.k))["dist"])
+    open_nodes = F.lit(False)
+    if tree.crowded is not None:
+        # a crowded cell alone has k taxis, none of them beyond its farthest spot
+        looks = looks.withColumn("_nodes", F.transform("_crowds", node))
+        kth = F.least(kth, F.array_min(F.transform("_nodes", lambda n: n["_hi"])))
+        reach = F.lit(float("inf")) if task.radius is None else F.lit(task.radius)
+        near = F.exists("_nodes", lambda n: (n["_lo"] <= F.col("_bound")) & (n["_lo"] <= reach))
+        open_nodes = F.coalesce(near, F.lit(False))
+    looks = looks.withColumn("_bound", F.least(F.col("_bound"), kth))
     if task.radius is not None:
-        settled = settled | (F.lit(task.radius) <= F.col("_rim"))
-    group = Window.partitionBy(*task.cell, "_piece", task.client)
-    is_node = F.col("_keep") & F.col(task.taxi).isNull()
-    state = F.coalesce(
-        _state_of_position(),
-        F.when(~settled, F.lit(CLIMB)).when(F.max(is_node).over(group), F.lit(OPEN)).otherwise(F.lit(DONE)),
-    )
-    nothing = (F.col("_at") == 1) & F.col("_n").isNull()
-    kept = ranked.withColumn("_state", state).where(
-        F.when(F.col("_state").isin(CLIMB, ODD), F.col("_at") == 1).otherwise(F.col("_keep") | nothing)
-    )
-    # the cell of a kept node, found again from its box
-    return kept.withColumns(tree.cells("_x0", "_y0", tree.first)).select(
-        *task.who, "_px", "_py", "_state", "_bound", task.taxi, "rk", "dist", "_n", "_lo", *CELL
-    )
+        looks = looks.withColumn("_best", F.filter("_best", lambda h: h["dist"] < F.lit(task.radius)))
+
+    # distance up to which the block has everything; outermost cells have no rim to rely on
+    side = F.lit(2.0**tree.first)
+    rim = F.least(F.col("_px") - (F.col("_cx") - 1) * side, (F.col("_cx") + 2) * side - F.col("_px"),
+                  F.col("_py") - (F.col("_cy") - 1) * side, (F.col("_cy") + 2) * side - F.col("_py"))
+    edge = F.lit(int(tree.outermost / 2.0**tree.first))
+    inner = (F.abs("_cx") < edge) & (F.abs("_cy") < edge)
+    looks = looks.withColumn("_rim", F.when(inner, F.sqrt(rim * rim)).otherwise(F.lit(0.0)))
+    settled = _settled(task, F.col("_bound"))
+    state = F.when(open_nodes, F.lit(OPEN)).when(~settled, F.lit(CLIMB)).otherwise(F.lit(DONE))
+    looks = looks.withColumn("_state", F.coalesce(_state_of_position(), state))
+    best = F.when(F.col("_state").isin(DONE, OPEN), F.col("_best")).alias("_best")
+    return looks.select(*task.who, "_px", "_py", "_state", "_bound", "_rim", best)
+
+
+def _settled(task: _Task, bound: Column) -> Column:
+    """Whether nothing beyond the rim can be in the list. A taxi right on it could win a tie."""
+    settled = F.coalesce(bound < F.col("_rim"), F.lit(False))
+    return settled if task.radius is None else settled | (F.lit(task.radius) <= F.col("_rim"))
 
 
 def _measured(task: _Task, pairs: DataFrame) -> DataFrame:
-    """Add closest and farthest distance of the entry; one that lies outside the radius is emptied."""
+    """Add closest and farthest distance of the entry and drop those outside the radius."""
     spots = [F.col(c) for c in ("_px", "_py", *BOX)]
     pairs = pairs.withColumns({"_lo": box_near(*spots), "_hi": box_far(*spots)})
-    if task.radius is None:
-        return pairs
-    inside = F.col("_lo") < F.lit(task.radius)
-    return pairs.withColumns({c: F.when(inside, F.col(c)) for c in ("_n", task.taxi, "_lo", "_hi")})
+    return pairs if task.radius is None else pairs.where(F.col("_lo") < F.lit(task.radius))
 
 
-def _ranked(task: _Task, entries: DataFrame, group: list[str]) -> DataFrame:
-    """Bound on the k-th distance per client (``_bound``), and which entries it leaves (``_keep``).
-
-    ``rk`` is the final rank of a taxi once no node is left.
-    """
-    node_last = F.col(task.taxi).isNull()
-    in_order = (
-        Window.partitionBy(*group).orderBy(F.col("_hi").asc_nulls_last(), node_last, task.taxi)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    counted = entries.withColumns({
-        "_count": F.sum(F.coalesce("_n", F.lit(0))).over(in_order),
-        "_at": F.row_number().over(in_order),
-    })
-    bound = F.min(F.when(F.col("_count") >= task.k, F.col("_hi"))).over(Window.partitionBy(*group))
-    if "_bound" in entries.columns:
-        bound = F.least(bound, F.col("_bound"))
+def _pruned(task: _Task, entries: DataFrame) -> DataFrame:
+    """The entries that can still matter, per client, after tightening the bound on its k-th distance (``_bound``)."""
     is_taxi = F.col(task.taxi).isNotNull()
-    keep = F.when(is_taxi, F.col("_count") <= task.k).otherwise(
-        F.col("_n").isNotNull() & (F.col("_bound").isNull() | (F.col("_lo") <= F.col("_bound")))
-    )
-    return counted.withColumn("_bound", bound).withColumns({
-        "_keep": keep, "rk": F.when(is_taxi, F.col("_count").cast("int")), "dist": F.when(is_taxi, F.col("_hi")),
-    })
-
-
-def _descend(task: _Task, looked: DataFrame, tree: _Tree, n_climb: int, n_open: int) -> DataFrame:
-    """Lists of the clients the first look did not finish, by going down the tree one level per join."""
-    frontier = None
-    if n_climb:
-        riders = looked.where(F.col("_state") == CLIMB).select("_root", *task.who, "_px", "_py", "_bound")
-        top, *levels = tree.upper_levels()
-        entries = _measured(task, riders.join(tree.node_entries(top), ["_root", *task.by]))
-        for nodes in levels:
-            entries = _measured(task, _below(task, _pruned(task, entries), tree.children(nodes)))
-        if tree.odd_size and task.radius is None:
-            entries = entries.select(*_frontier_columns(task)).unionByName(
-                _measured(task, riders.join(_odd_taxis(tree), ["_root", *task.by])).select(*_frontier_columns(task))
-            )
-        frontier = _pruned(task, entries)
-    if n_open:
-        near = looked.where(F.col("_state") == OPEN).withColumn("_hi", F.col("dist")).select(
-            *_frontier_columns(task), "rk", "dist"
-        )
-        frontier = near if frontier is None else frontier.unionByName(near)
-    for content in tree.lower_contents():
-        # read twice below, and its real size decides between a broadcast and a shuffle of the content
-        frontier = stage(frontier, "frontier")
-        nodes, found = frontier.where(F.col(task.taxi).isNull()), frontier.where(F.col(task.taxi).isNotNull())
-        found = found.select(*_frontier_columns(task))
-        pairs = _measured(task, _below(task, nodes, content, check=nodes.count() > task.piece))
-        frontier = _pruned(task, pairs.select(*_frontier_columns(task)).unionByName(found))
-    return frontier.select(*_answer(task))
+    group = Window.partitionBy(task.client, *task.by)
+    in_order = group.orderBy("_hi", ~is_taxi, task.taxi).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = entries.withColumn("_count", F.sum("_n").over(in_order))
+    reached = F.min(F.when(F.col("_count") >= task.k, F.col("_hi"))).over(group)
+    bounded = counted.withColumn("_bound", F.least(reached, F.col("_bound")))
+    near = F.col("_bound").isNull() | (F.col("_lo") <= F.col("_bound"))
+    kept = bounded.where(F.when(is_taxi, F.col("_count") <= task.k).otherwise(near))
+    return kept.select(*_frontier_columns(task))
+
+
+def _go_on(
+    task: _Task, looked: DataFrame, states: dict[int, int], tree: _Tree, odd: DataFrame | None = None
+) -> list[DataFrame]:
+    """Candidates ``(who, taxi, dist)`` for the clients the look did not finish; the best k of each are its list."""
+    lists, riders = [], []
+    who = [*task.who, "_px", "_py", "_bound"]
+    if CLIMB in states:
+        climbing = looked.where(F.col("_state") == CLIMB).select("_root", *who)
+        found = _descend(task, climbing, tree, tree.crowded is not None, odd)
+        lists.append(_taxis_of(task, found))
+        riders.append(found.where(F.col(task.taxi).isNull()).select(*who).distinct())
+    near = looked.where(F.col("_state") == OPEN)
+    if OPEN in states:
+        riders.append(near.select(*who))
+    if tree.crowded is None or not riders:
+        return lists
+    riders = stage(reduce(DataFrame.unionByName, riders), "clients")
+    if riders.isEmpty():
+        return lists
+    crowd = tree.crowd()
+    inner, inner_states = _look(task, riders, crowd, True)
+    in_crowd = _go_on(task, inner, inner_states, crowd)
+    if DONE in inner_states:
+        in_crowd.append(_best_of(task, inner.where(F.col("_state") == DONE)))
+    lists += in_crowd
+    if OPEN in states:
+        # with the crowds looked through, is the rest of the block still enough?
+        known = merge_lists(reduce(DataFrame.unionByName, [*in_crowd, _best_of(task, near)]), k=task.k, by=task.by,
+                            client_id=task.client, taxi_id=task.taxi)
+        kth = known.where(F.col("rk") == task.k).select(*task.who, F.col("dist").alias("_kth"))
+        near = near.drop("_bound").join(kth, task.who, "left").withColumnRenamed("_kth", "_bound")
+        near = stage(near.withColumn("_late", ~_settled(task, F.col("_bound"))), "near")
+        late = near.where("_late").select("_root", *who)
+        lists.append(_best_of(task, near.where(~F.col("_late"))))
+        if not late.isEmpty():
+            lists.append(_taxis_of(task, _descend(task, late, tree, False)))
+    return lists
+
+
+def _best_of(task: _Task, looked: DataFrame) -> DataFrame:
+    return looked.select(*task.who, F.inline("_best")).select(*task.who, task.taxi, "dist")
+
+
+def _taxis_of(task: _Task, found: DataFrame) -> DataFrame:
+    return found.where(F.col(task.taxi).isNotNull()).select(*task.who, task.taxi, F.col("_hi").alias("dist"))
+
+
+def _descend(
+    task: _Task, riders: DataFrame, tree: _Tree, crowds: bool, odd: DataFrame | None = None
+) -> DataFrame:
+    """Taxis and, with ``crowds``, crowded cells near each client, found by going down one level per join."""
+    top, *levels = tree.upper_levels(crowds)
+    entries = _measured(task, riders.join(tree.node_entries(top), ["_root", *task.by]))
+    for nodes in levels:
+        entries = _measured(task, _below(task, _pruned(task, entries), tree.children(nodes)))
+    entries = entries.select(*_frontier_columns(task))
+    if odd is not None and task.radius is None:
+        others = _measured(task, riders.join(odd, ["_root", *task.by]))
+        entries = entries.unionByName(others.select(*_frontier_columns(task)))
+    # read twice, and its real size decides between a broadcast and a shuffle of the taxis
+    frontier = stage(_pruned(task, entries), "frontier")
+    final = F.col(task.taxi).isNotNull()
+    if crowds:
+        final = final | (F.col("_n") > task.leaf)
+    nodes = frontier.where(~final)
+    pairs = _below(task, nodes, tree.contents(), check=nodes.count() > task.piece)
+    pairs = _measured(task, pairs).select(*_frontier_columns(task))
+    return stage(_pruned(task, pairs.unionByName(frontier.where(final))), "found")
 
 
 def _frontier_columns(task: _Task) -> list[str]:
     return [*task.who, "_px", "_py", "_bound", task.taxi, "_n", "_lo", "_hi", *CELL]
 
 
-def _pruned(task: _Task, entries: DataFrame) -> DataFrame:
-    """The entries that can still matter, per client."""
-    ranked = _ranked(task, entries, task.who).where("_keep")
-    return ranked.select(*_frontier_columns(task), "rk", "dist")
-
-
 def _below(task: _Task, nodes: DataFrame, content: DataFrame, check: bool = False) -> DataFrame:
     """The nodes of every client replaced by what they hold."""
     nodes = nodes.select(*task.who, "_px", "_py", "_bound", *CELL)
@@ -404,21 +481,22 @@ def _below(task: _Task, nodes: DataFrame, content: DataFrame, check: bool = Fals
     return pairs.drop(*CELL).withColumnsRenamed({f"_in{c}": c for c in CELL})
 
 
-def _odd_taxis(tree: _Tree) -> DataFrame:
+def _odd_taxis(task: _Task, rows: DataFrame) -> DataFrame:
     """The taxis at NaN that can fill up a list that is too short: the first k of each group."""
-    task = tree.task
-    odd = tree.rows.where(F.isnan("_x") | F.isnan("_y"))
+    odd = rows.where(F.isnan("_x") | F.isnan("_y"))
     if task.by:
         first = Window.partitionBy(*task.by).orderBy(task.taxi)
         odd = odd.withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= task.k)
     else:
         odd = odd.orderBy(task.taxi).limit(task.k)
+    boxes = {box: F.col(box[:2]) for box in BOX}
+    odd = odd.withColumns({**boxes, "_n": F.lit(1).cast("long"), "_root": F.lit(0)})
     odd = odd.withColumns({c: F.lit(None).cast("long") for c in CELL})
-    return stage(tree.as_entries(odd).withColumn("_root", F.lit(0)), "odd")
+    return stage(odd.select("_root", *task.by, *CELL, "_n", *BOX, task.taxi), "odd")
 
 
-def _odd_clients(task: _Task, riders: DataFrame, tree: _Tree) -> DataFrame:
-    """Lists of clients at infinity or NaN.
+def _odd_clients(task: _Task, riders: DataFrame, rows: DataFrame) -> DataFrame:
+    """Candidates for clients at infinity or NaN.
 
     Their distances depend only on whether a taxi coordinate is finite, infinite or NaN, so the first k taxis of each
     of these kinds are all that can be listed.
@@ -428,14 +506,12 @@ def _odd_clients(task: _Task, riders: DataFrame, tree: _Tree) -> DataFrame:
         value = F.col(name)
         return F.when(F.isnan(value), 3).when(value == float("inf"), 2).when(value == -float("inf"), 1).otherwise(0)
 
-    rows = tree.rows.withColumns({"_kx": kind("_x"), "_ky": kind("_y")})
+    rows = rows.withColumns({"_kx": kind("_x"), "_ky": kind("_y")})
     first = Window.partitionBy(*task.by, "_kx", "_ky").orderBy(task.taxi)
     rows = rows.withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= task.k)
     rows = stage(rows.select(*task.by, task.taxi, "_x", "_y", F.lit(0).alias("_root")), "kinds")
     dist = distance(F.col("_px"), F.col("_py"), F.col("_x"), F.col("_y"))
-    pairs = riders.select("_root", *task.who, "_px", "_py").join(rows, ["_root", *task.by])
-    pairs = pairs.withColumn("dist", dist)
+    pairs = riders.select("_root", *task.who, "_px", "_py").join(rows, ["_root", *task.by]).withColumn("dist", dist)
     if task.radius is not None:
         pairs = pairs.where(F.col("dist") < F.lit(task.radius))
-    order = Window.partitionBy(*task.who).orderBy("dist", task.taxi)
-    return pairs.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= task.k).select(*_answer(task))
+    return pairs.select(*task.who, task.taxi, "dist")

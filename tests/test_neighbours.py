@@ -148,15 +148,24 @@ def test_the_pairs_of_the_first_look_are_not_shuffled(spark, plans):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     looked = next(plan for label, plan in plans if label == "looked")
     above_join = looked[: looked.index("SortMergeJoin")]
-    assert "Window" in above_join and "Exchange" not in above_join
+    assert not any(step in above_join for step in ("Exchange", "Window", "Generate", "Aggregate"))
 
 
 def test_spots_are_trimmed_before_the_shuffle(spark, plans):
     rng = random.Random(17)
-    run(spark, uniform(rng, 10), uniform(rng, 100))
-    taxis = next(plan for label, plan in plans if label == "taxis")
-    assert taxis.count("WindowGroupLimit") == 2
-    assert taxis.index("WindowGroupLimit") < taxis.index("Exchange") < taxis.rindex("WindowGroupLimit")
+    run(spark, uniform(rng, 10), [(i, -73.9, 40.7) for i in range(300)])
+    inside = next(plan for label, plan in plans if label == "inside")
+    assert inside.count("WindowGroupLimit") == 2
+    assert inside.index("WindowGroupLimit") < inside.index("Exchange") < inside.rindex("WindowGroupLimit")
+
+
+def test_crowds_within_crowds(spark, plans):
+    rng = random.Random(18)
+    taxis = [(i, -73.9 + rng.random() * 10.0 ** -rng.randint(0, 12), 40.7 + rng.random() * 10.0 ** -rng.randint(0, 12))
+             for i in range(1200)]
+    clients = [(i, -73.9 + rng.random() * 10.0 ** -rng.randint(0, 12), 40.7) for i in range(60)]
+    check(spark, clients, taxis, leaf_rows=4)
+    assert sum(label == "dense" for label, _ in plans) > 2
 
 
 def test_bad_arguments(spark):
