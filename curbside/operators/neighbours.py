@@ -9,7 +9,8 @@ a node with one taxi and a box that is a point. For one client, any set of nodes
 
 1. All clients look at the 3 x 3 block of cells around them, with cells that hold about k taxis. Whoever finds k taxis
    closer than the rim of the block is done.
-2. The others go down a tree of ever smaller cells, one equi-join per level, dropping nodes on the way.
+2. The others look at all cells as far away as the k-th taxi they know of. Those that know of fewer than k go down a
+   tree of ever smaller cells, one equi-join per level, dropping nodes on the way.
 3. Crowded cells enter both steps as single nodes. Clients that may have partners in them repeat the search on the
    taxis of these cells alone, with cells as small as the crowd needs.
 
@@ -33,6 +34,7 @@ from curbside.operators.radius import around
 from curbside.session import stage
 
 STEP = 2  # a node has up to 4**STEP children
+RINGS = 3  # cells on each side for the second look; k taxis of a block are never farther
 EDGE = 2.0**50  # cell numbers end here; what lies farther out shares the outermost cells
 HEIGHT = 40  # levels above the first one
 DEPTH = 12  # searches within crowds within crowds, after which crowds are read row by row
@@ -283,14 +285,14 @@ class _Tree:
 
     def contents(self) -> DataFrame:
         """The taxis of ordinary cells under their cell."""
-        return self._as_content(self.as_entries(self.calm))
+        return self.as_content(self.as_entries(self.calm))
 
     def children(self, nodes: DataFrame) -> DataFrame:
         """Nodes under the cell of their parent; their own cell moves to ``_in_*``."""
-        return self._as_content(self.node_entries(nodes)).withColumns({c: F.shiftright(c, STEP) for c in CELL})
+        return self.as_content(self.node_entries(nodes)).withColumns({c: F.shiftright(c, STEP) for c in CELL})
 
     @staticmethod
-    def _as_content(entries: DataFrame) -> DataFrame:
+    def as_content(entries: DataFrame) -> DataFrame:
         return entries.withColumns({f"_in{c}": F.col(c) for c in CELL})
 
 
@@ -407,8 +409,8 @@ def _go_on(
     lists, riders = [], []
     who = [*task.who, "_px", "_py", "_bound"]
     if CLIMB in states:
-        climbing = looked.where(F.col("_state") == CLIMB).select("_root", *who)
-        found = _descend(task, climbing, tree, tree.crowded is not None, odd)
+        climbing = looked.where(F.col("_state") == CLIMB).select("_root", "_rim", *who)
+        found = _climb(task, climbing, tree, tree.crowded is not None, odd)
         lists.append(_taxis_of(task, found))
         riders.append(found.where(F.col(task.taxi).isNull()).select(*who).distinct())
     near = looked.where(F.col("_state") == OPEN)
@@ -432,10 +434,10 @@ def _go_on(
         kth = known.where(F.col("rk") == task.k).select(*task.who, F.col("dist").alias("_kth"))
         near = near.drop("_bound").join(kth, task.who, "left").withColumnRenamed("_kth", "_bound")
         near = stage(near.withColumn("_late", ~_settled(task, F.col("_bound"))), "near")
-        late = near.where("_late").select("_root", *who)
+        late = near.where("_late").select("_root", "_rim", *who)
         lists.append(_best_of(task, near.where(~F.col("_late"))))
         if not late.isEmpty():
-            lists.append(_taxis_of(task, _descend(task, late, tree, False)))
+            lists.append(_taxis_of(task, _climb(task, late, tree, False)))
     return lists
 
 
@@ -447,10 +449,42 @@ def _taxis_of(task: _Task, found: DataFrame) -> DataFrame:
     return found.where(F.col(task.taxi).isNotNull()).select(*task.who, task.taxi, F.col("_hi").alias("dist"))
 
 
+def _climb(
+    task: _Task, riders: DataFrame, tree: _Tree, crowds: bool, odd: DataFrame | None = None
+) -> DataFrame:
+    """Taxis and, with ``crowds``, crowded cells near clients for which the block was not enough."""
+    riders = stage(riders.withColumn("_wider", (F.col("_rim") > 0) & (F.col("_bound") < F.lit(RINGS * 2.0**tree.first))),
+                   "climbing")
+    counts = {row["_wider"]: row["n"] for row in riders.groupBy("_wider").agg(F.count("*").alias("n")).collect()}
+    found = []
+    if True in counts:
+        found.append(_second_look(task, riders.where("_wider"), tree, crowds))
+    if counts.keys() - {True}:
+        rest = riders.where(~F.coalesce("_wider", F.lit(False)))
+        found.append(_descend(task, rest, tree, crowds, odd))
+    return stage(reduce(DataFrame.unionByName, found), "found")
+
+
+def _second_look(task: _Task, riders: DataFrame, tree: _Tree, crowds: bool) -> DataFrame:
+    """Look at all cells that reach into the circle within which the list is known to lie."""
+    side = 2.0**tree.first
+    steps = F.sequence(F.lit(-RINGS).cast("long"), F.lit(RINGS).cast("long"))
+    cells = riders.withColumns(tree.cells("_px", "_py", tree.first))
+    for c in CELL:
+        cells = cells.withColumn("_step", F.explode(steps)).withColumn(c, F.col(c) + F.col("_step")).drop("_step")
+    box = [(F.col(c) + i) * F.lit(side) for c in CELL for i in (0, 1)]
+    cells = cells.where(box_near(F.col("_px"), F.col("_py"), *box) <= F.col("_bound"))
+    held = tree.contents()
+    if crowds:
+        held = held.unionByName(tree.as_content(tree.node_entries(tree.crowded)))
+    pairs = _measured(task, _below(task, cells, held, check=riders.count() > task.piece))
+    return _pruned(task, pairs)
+
+
 def _descend(
     task: _Task, riders: DataFrame, tree: _Tree, crowds: bool, odd: DataFrame | None = None
 ) -> DataFrame:
-    """Taxis and, with ``crowds``, crowded cells near each client, found by going down one level per join."""
+    """Go down from the top of the tree, one level per join."""
     top, *levels = tree.upper_levels(crowds)
     entries = _measured(task, riders.join(tree.node_entries(top), ["_root", *task.by]))
     for nodes in levels:
@@ -467,7 +501,7 @@ def _descend(
     nodes = frontier.where(~final)
     pairs = _below(task, nodes, tree.contents(), check=nodes.count() > task.piece)
     pairs = _measured(task, pairs).select(*_frontier_columns(task))
-    return stage(_pruned(task, pairs.unionByName(frontier.where(final))), "found")
+    return _pruned(task, pairs.unionByName(frontier.where(final)))
 
 
 def _frontier_columns(task: _Task) -> list[str]:
