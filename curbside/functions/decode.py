@@ -52,7 +52,8 @@ def rejects(messages: DataFrame, fields: dict[str, str], *, value_col: str = "va
 def _parse(messages, fields, value_col, seq_field, coerce) -> tuple[DataFrame, Column]:
     if coerce not in ("zero", "reject"):
         raise ValueError(f"coerce must be 'zero' or 'reject', not {coerce!r}")
-    parsed = messages.withColumn("_json", F.try_parse_json(value_col))
+    # a generator keeps the filter from being merged with the parsing, which would then run once per condition
+    parsed = messages.withColumn("_json", F.explode(F.array(F.try_parse_json(value_col))))
     ok = F.lit(True)
     for name in fields:
         ok = ok & F.variant_get("_json", f"$.{name}", "variant").isNotNull()

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from curbside.functions.plane import box_far, box_near, distance, is_finite
 from curbside.operators.spread import KEY_ROWS, skew_join
-from curbside.operators.radius import around
+from curbside.operators.radius import CELL, around
 from curbside.session import stage
 
 STEP = 2  # a node has up to 4**STEP children
@@ -43,7 +43,6 @@ TOP_ROWS = 16  # the tree is high enough once this many nodes per group are left
 LIMIT = 500  # exponents of cell sides
 DONE, OPEN, CLIMB, ODD = 0, 1, 2, 3  # states of a client after the first look
 
-CELL = ["_cx", "_cy"]
 BOX = ["_x0", "_x1", "_y0", "_y1"]
 
 
@@ -71,7 +70,7 @@ class _Task:
 def nearest(
     clients: DataFrame, taxis: DataFrame, *, k: int = 4, max_distance: float | None = None, by: tuple[str, ...] = (),
     keep_empty: bool = False, client_id: str = "client_id", taxi_id: str = "taxi_id", x: str = "lon", y: str = "lat",
-    first_look: bool = True, leaf_rows: int | None = None, piece_rows: int = KEY_ROWS,
+    first_look: bool = True, copy_inputs: bool = True, leaf_rows: int | None = None, piece_rows: int = KEY_ROWS,
 ) -> DataFrame:
     """The ``k`` nearest taxis of each client as ``*by, client_id, taxi_id, rk, dist``, nearest first.
 
@@ -81,7 +80,8 @@ def nearest(
     with a missing coordinate match nothing.
 
     ``first_look=False`` starts at the top of the tree at once, which saves work when most clients are known to be far
-    from the taxis they may take. ``leaf_rows`` and ``piece_rows`` tune the size of cells and tasks, never the result.
+    from the taxis they may take, as with groups that lie in different places. Both inputs are read several times and
+    therefore written to the shared folder first; ``copy_inputs=False`` spares that for plain scans. ``leaf_rows`` and ``piece_rows`` tune the size of cells and tasks, never the result.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -93,10 +93,11 @@ def nearest(
     task = _Task(client_id, taxi_id, list(by), k, max_distance, leaf, piece_rows)
 
     riders = clients.select(*task.who, F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py"))
-    riders = stage(riders, "clients").withColumn("_bound", F.lit(None).cast("double"))
+    riders = (stage(riders, "clients") if copy_inputs else riders).withColumn("_bound", F.lit(None).cast("double"))
     taxis = taxis.select(*task.by, taxi_id, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    rows = stage(taxis.where(F.col("_x").isNotNull() & F.col("_y").isNotNull()), "taxis")
-    tree = _plant(task, rows)
+    rows = taxis.where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
+    rows = stage(rows, "taxis") if copy_inputs else rows
+    tree = _plant(task, rows, first_look)
 
     looked, states = _look(task, riders, tree, first_look)
     hits = F.posexplode_outer("_best").alias("_at", "_hit") if keep_empty else F.posexplode("_best").alias("_at", "_hit")
@@ -130,10 +131,11 @@ def merge_lists(
     return kept.select(*by, client_id, taxi_id, F.when(found, F.col("rk")).alias("rk"), "dist")
 
 
-def _plant(task: _Task, rows: DataFrame) -> _Tree:
+def _plant(task: _Task, rows: DataFrame, mixed: bool) -> _Tree:
     """The tree of all taxis, guessing the cell side for k/2 to 2k taxis of a group in a cell of the populated area.
 
-    The area is judged between percentiles, so a few far outliers do not matter.
+    The area is judged between percentiles, so a few far outliers do not matter. ``mixed`` says that the groups share
+    it rather than having parts of it to themselves.
     """
     normal = ~(F.isnan("_x") | F.isnan("_y"))
     groups = F.approx_count_distinct(F.struct(*task.by)) if task.by else F.lit(1)
@@ -144,7 +146,7 @@ def _plant(task: _Task, rows: DataFrame) -> _Tree:
     if stats["n"]:
         spans = [max(0.0, stats[c][1] - stats[c][0]) for c in ("_x", "_y")]
         spans = [s if math.isfinite(s) else 0.0 for s in spans]
-        cells = max(1.0, stats["n"] / max(1, stats["groups"]) / (2.0 * task.k))
+        cells = max(1.0, stats["n"] / (max(1, stats["groups"]) if mixed else 1) / (2.0 * task.k))
         side = math.sqrt(spans[0] * spans[1] / cells) or max(spans) / cells
     exponent = max(-LIMIT, min(LIMIT, math.floor(math.log2(side)))) if side else 0
     return _Tree(task, rows.where(normal), stats["n"], exponent, max(1, stats["groups"]), has_odd=stats["all"] > stats["n"])

@@ -11,13 +11,18 @@ from curbside.session import stage
 KEY_ROWS = 32_768
 
 
-def hot_keys(df: DataFrame, keys: list[str], limit: int, label: str = "hot") -> DataFrame | None:
+def hot_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
     """The keys with more than ``limit`` rows as ``keys, _fan``, ``_fan`` being the pieces to cut them into.
 
     At most ``rows / limit`` keys can qualify. ``None`` if there are none.
     """
-    counted = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
-    hot = stage(counted.select(*keys, F.ceil(F.col("_n") / F.lit(limit)).cast("int").alias("_fan")), label)
+    return hot_counts(df.groupBy(*keys).agg(F.count("*").alias("_n")), keys, limit)
+
+
+def hot_counts(counts: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
+    """``hot_keys`` of rows that are already counted per key in ``_n``."""
+    fan = F.ceil(F.col("_n") / F.lit(limit)).cast("int").alias("_fan")
+    hot = stage(counts.where(F.col("_n") > limit).select(*keys, fan), "hot")
     return None if hot.isEmpty() else hot
 
 
@@ -54,14 +59,14 @@ def skew_join(
 
 
 def fragment_join(
-    left: DataFrame, right: DataFrame, keys: list[str], left_by: list[str], right_by: list[str], limit: int = KEY_ROWS
+    left: DataFrame, right: DataFrame, keys: list[str], left_by: list[str], right_by: list[str],
+    hot_left: DataFrame | None, hot_right: DataFrame | None,
 ) -> DataFrame:
     """Inner equi-join in which both sides of a key may be large.
 
     Each side of a hot key is cut into pieces and copied to the pieces of the other side, so that every pair of pieces
-    meets in exactly one task.
+    meets in exactly one task. ``hot_left`` and ``hot_right`` are the ``hot_keys`` of the sides.
     """
-    hot_left, hot_right = hot_keys(left, keys, limit), hot_keys(right, keys, limit)
     keys_out = list(keys)
     if hot_left is not None:
         left = _with_fan(left, hot_left, keys).withColumn("_lp", _piece(left_by)).drop("_fan")

@@ -27,26 +27,30 @@ def match(clients: DataFrame, taxis: DataFrame, method: str = "all", **options)
     return strategies[method](clients, taxis, **options)
 
 
-def match_all(clients: DataFrame, taxis: DataFrame, *, k: int = K) -> DataFrame:
+def match_all(clients: DataFrame, taxis: DataFrame, *, k: int = K, copy_inputs: bool = True) -> DataFrame:
     """``client_id, taxi_id, rk, dist``; a client without taxis is left out."""
-    return nearest(clients, taxis, k=k)
+    return nearest(clients, taxis, k=k, copy_inputs=copy_inputs)
 
 
-def part_lists(clients: DataFrame, taxis: DataFrame, *, k: int = K, parts: int = PARTS) -> DataFrame:
+def part_lists(
+    clients: DataFrame, taxis: DataFrame, *, k: int = K, parts: int = PARTS, copy_inputs: bool = True
+) -> DataFrame:
     """``part, client_id, taxi_id, rk, dist``: the nearest taxis of each client within each part of the taxis."""
     every_part = clients.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     taxis = taxis.withColumn("part", F.pmod("taxi_id", F.lit(parts)).cast("int"))
-    return nearest(every_part, taxis, k=k, by=("part",), keep_empty=True)
+    return nearest(every_part, taxis, k=k, by=("part",), keep_empty=True, copy_inputs=copy_inputs)
 
 
-def match_parts(clients: DataFrame, taxis: DataFrame, *, k: int = K, parts: int = PARTS) -> DataFrame:
+def match_parts(
+    clients: DataFrame, taxis: DataFrame, *, k: int = K, parts: int = PARTS, copy_inputs: bool = True
+) -> DataFrame:
     """``client_id, taxi_id, rk, dist`` merged from the lists of the parts; a client without taxis is one row of NULLs."""
-    return merge_lists(part_lists(clients, taxis, k=k, parts=parts), k=k, keep_empty=True)
+    return merge_lists(part_lists(clients, taxis, k=k, parts=parts, copy_inputs=copy_inputs), k=k, keep_empty=True)
 
 
 def match_cells(
     clients: DataFrame, taxis: DataFrame, *, grid: Grid = Grid(), k: int = K, max_distance: float = RADIUS,
-    compat: bool = True,
+    compat: bool = True, copy_inputs: bool = True,
 ) -> DataFrame:
     """``cell, client_id, taxi_id, rk, dist``: a list per client and cell, the overflow cell left out.
 
@@ -55,4 +59,5 @@ def match_cells(
     every_cell = clients.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(grid.overflow - 1))))
     inside = with_cell(taxis, grid, compat=compat).where(F.col("cell") < grid.overflow)
     # most clients are far from most cells, so the block around them has nothing to offer
-    return nearest(every_cell, inside, k=k, max_distance=max_distance, by=("cell",), keep_empty=True, first_look=False)
+    return nearest(every_cell, inside, k=k, max_distance=max_distance, by=("cell",), keep_empty=True, first_look=False,
+                   copy_inputs=copy_inputs)

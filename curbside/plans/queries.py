@@ -38,10 +38,9 @@ def decode_client(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All taxi messages; of every ten one is cut off in the middle and one lacks its id."""
-    messages = D.encode(S.pings(spark, sf_dir), D.TAXI_FIELDS)
-    last = F.get_json_object("value", "$.seq").cast("long") % 10
-    broken = F.when(last == 0, F.substring("value", 1, 12)).when(last == 1, F.replace("value", F.lit("taxiId"), F.lit("x")))
-    return messages.select(broken.alias("broken"), "value").select(F.coalesce("broken", "value").alias("value"))
+    pings = S.pings(spark, sf_dir).withColumn("last", F.col("seq") % 10)
+    message = F.to_json(F.struct(F.when(F.col("last") != 1, F.col("taxi_id")).alias("taxiId"), "lon", "lat", "seq"))
+    return pings.select(F.when(F.col("last") == 0, F.substring(message, 1, 12)).otherwise(message).alias("value"))
 
 
 def drop_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +126,7 @@ def knn_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def knn_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The large case: one taxi per order, one client per customer."""
-    return nearest(S.riders(spark, sf_dir), S.fleet(spark, sf_dir)).select(*MATCH)
+    return nearest(S.riders(spark, sf_dir), S.fleet(spark, sf_dir), copy_inputs=False).select(*MATCH)
 
 
 def radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,7 +56,7 @@ def start_matching(
         current.write.mode("overwrite").partitionBy("kind").parquet(state)
         with scratch_scope(spark):
             table = spark.read.schema(current.schema).parquet(state)
-            found = match(*split(table), method=method, **options)
+            found = match(*split(table), method=method, copy_inputs=False, **options)
             matches = batch_path(f"{out}/matches", batch_id)
             found.write.mode("overwrite").parquet(matches)
             if then:

@@ -24,7 +24,7 @@ def spark(tmp_path_factory):
 def plans(monkeypatch):
     """Physical plans of everything the operators stage."""
     from curbside import session
-    from curbside.operators import neighbours, spread, state
+    from curbside.operators import neighbours, radius, spread, state
 
     seen = []
 
@@ -32,6 +32,6 @@ def plans(monkeypatch):
         seen.append((label, df._jdf.queryExecution().executedPlan().toString()))
         return session.stage(df, label)
 
-    for module in (neighbours, spread, state):
+    for module in (neighbours, radius, spread, state):
         monkeypatch.setattr(module, "stage", recording)
     return seen

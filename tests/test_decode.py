@@ -70,6 +70,12 @@ def test_round_trip_keeps_every_bit(spark):
     assert sorted(map(tuple, back.collect())) == rows
 
 
+def test_every_message_is_parsed_once(messages):
+    for coerce in ("zero", "reject"):
+        plan = D.decode_taxis(messages, coerce=coerce)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("parseJson") == 1
+
+
 def test_unknown_mode(messages):
     with pytest.raises(ValueError):
         D.decode_taxis(messages, coerce="maybe")

@@ -80,4 +80,5 @@ def test_fragment_join(spark):
     right = spark.createDataFrame(rows(rng, 240), "k long, b long")
     plain = sorted(map(tuple, left.join(right, "k").collect()))
     for limit in (7, 50, 1000):
-        assert sorted(map(tuple, fragment_join(left, right, ["k"], ["a"], ["b"], limit).collect())) == plain
+        hot = hot_keys(left, ["k"], limit), hot_keys(right, ["k"], limit)
+        assert sorted(map(tuple, fragment_join(left, right, ["k"], ["a"], ["b"], *hot).collect())) == plain
