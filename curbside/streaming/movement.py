@@ -2,58 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from curbside.functions.grid import Grid
 from curbside.operators.movement import with_cell
-
-CHANGES = T.StructType([
-    T.StructField("taxi_id", T.LongType()), T.StructField("seq", T.LongType()),
-    T.StructField("prev", T.IntegerType()), T.StructField("cell", T.IntegerType()),
-])
-
-
-class CellChanges(StatefulProcessor):
-    """First sight and cell changes of one taxi. Its state is the last ``seq`` and cell, set anew with each batch.
-
-    Repeated messages and messages older than the state are passed over. One call sees the new pings of one taxi in
-    one micro-batch as two narrow columns, so the batch size set at the source bounds it.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", "seq long, cell int")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frames = [(f["seq"].to_numpy(), f["cell"].to_numpy()) for f in rows]
-        seq, at = np.unique(np.concatenate([s for s, _ in frames]), return_index=True)
-        cell = np.concatenate([c for _, c in frames])[at].astype("int64")
-        last = self._last.get() if self._last.exists() else None
-        if last is not None:
-            newer = seq > last[0]
-            seq, cell = seq[newer], cell[newer]
-        if not len(seq):
-            return
-        before = np.concatenate([[last[1] if last is not None else -1], cell[:-1]])
-        self._last.update((int(seq[-1]), int(cell[-1])))
-        changed = before != cell
-        if changed.any():
-            prev = pd.array(before[changed], dtype="Int32")
-            prev[before[changed] < 0] = pd.NA
-            yield pd.DataFrame({
-                "taxi_id": np.full(int(changed.sum()), key[0]), "seq": seq[changed], "prev": prev,
-                "cell": cell[changed].astype("int32"),
-            })
-
-    def close(self) -> None:
-        pass
-
+from curbside.streaming.taxi_state import CHANGES, CellChanges
 
 def cell_changes(pings: DataFrame, grid: Grid, *, compat: bool = True) -> DataFrame:
     """``taxi_id, seq, prev, cell`` of a ping stream: first sights (``prev`` NULL) and cell changes.

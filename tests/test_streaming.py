@@ -120,6 +120,20 @@ def test_cell_members(spark, folders):
     assert got(found) == got(cell_members(table(spark, parts, "taxi_id"), GRID))
 
 
+def test_workers_need_not_have_the_package(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from curbside.streaming.taxi_state import CellChanges
+
+    path = tmp_path / "handler"
+    path.write_bytes(cloudpickle.dumps(CellChanges()))
+    code = f"import pickle, sys; pickle.load(open({str(path)!r}, 'rb')); assert 'curbside' not in sys.modules"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
 def test_a_repeated_batch_replaces_its_folder(spark, tmp_path):
     from curbside.streaming import write_batches
 
