@@ -41,6 +41,7 @@ DEPTH = 12  # searches within crowds within crowds, after which crowds are read
 LEAST = 0.6  # taxis around a taxi, in lists, for which cells are large enough
 TOP_ROWS = 16  # the tree is high enough once this many nodes per group are left
 LIMIT = 500  # exponents of cell sides
+FEW_ROWS = 100_000  # rows that may be broadcast
 DONE, OPEN, CLIMB, ODD = 0, 1, 2, 3  # states of a client after the first look
 
 BOX = ["_x0", "_x1", "_y0", "_y1"]
@@ -488,12 +489,12 @@ def _descend(
 ) -> DataFrame:
     """Go down from the top of the tree, one level per join."""
     top, *levels = tree.upper_levels(crowds)
-    entries = _measured(task, riders.join(tree.node_entries(top), ["_root", *task.by]))
+    entries = _measured(task, _join_few(task, riders, tree.node_entries(top)))
     for nodes in levels:
         entries = _measured(task, _below(task, _pruned(task, entries), tree.children(nodes)))
     entries = entries.select(*_frontier_columns(task))
     if odd is not None and task.radius is None:
-        others = _measured(task, riders.join(odd, ["_root", *task.by]))
+        others = _measured(task, _join_few(task, riders, odd))
         entries = entries.unionByName(others.select(*_frontier_columns(task)))
     # read twice, and its real size decides between a broadcast and a shuffle of the taxis
     frontier = stage(_pruned(task, entries), "frontier")
@@ -506,6 +507,14 @@ def _descend(
     return _pruned(task, pairs.unionByName(frontier.where(final)))
 
 
+def _join_few(task: _Task, riders: DataFrame, few: DataFrame) -> DataFrame:
+    """Give every client the few rows of its group: at most some dozen by construction, hence the broadcast.
+
+    Only with very many groups their number can be large; then the groups spread the rows.
+    """
+    return riders.join(F.broadcast(few) if few.count() <= FEW_ROWS else few, ["_root", *task.by])
+
+
 def _frontier_columns(task: _Task) -> list[str]:
     return [*task.who, "_px", "_py", "_bound", task.taxi, "_n", "_lo", "_hi", *CELL]
 
@@ -547,7 +556,7 @@ def _odd_clients(task: _Task, riders: DataFrame, rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= task.k)
     rows = stage(rows.select(*task.by, task.taxi, "_x", "_y", F.lit(0).alias("_root")), "kinds")
     dist = distance(F.col("_px"), F.col("_py"), F.col("_x"), F.col("_y"))
-    pairs = riders.select("_root", *task.who, "_px", "_py").join(rows, ["_root", *task.by]).withColumn("dist", dist)
+    pairs = _join_few(task, riders.select("_root", *task.who, "_px", "_py"), rows).withColumn("dist", dist)
     if task.radius is not None:
         pairs = pairs.where(F.col("dist") < F.lit(task.radius))
     return pairs.select(*task.who, task.taxi, "dist")

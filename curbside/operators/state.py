@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from curbside.operators.spread import hot_keys
 from curbside.session import stage
 
 # Rows of one id that are sorted in one task.
@@ -33,41 +34,28 @@ def with_previous(
 ) -> DataFrame:
     """``id, seq, value, prev``: every message of an id next to the value of the message before it.
 
-    Ids with more than ``limit`` messages are cut into runs of consecutive ``seq``. Inside a run the previous value is
-    an ordinary ``lag``; the first row of a run takes the last value of the run before, looked up in a table with one
-    row per run.
+    Ids with more than ``limit`` messages are sorted over many tasks and so cut into runs of consecutive ``seq``. Inside
+    a run the previous value is an ordinary ``lag``; the first row of a run takes the last value of the run before,
+    looked up in a table with one row per run.
     """
-    rows = once(df, id_col, seq_col, value_col)
-    by_seq = Window.partitionBy(id_col).orderBy(seq_col)
-    spans = _run_widths(df, id_col, seq_col, limit)
-    if spans is None:
-        return rows.withColumn("prev", F.lag(value_col).over(by_seq))
-
-    # ids that are not hot form a single run
-    runs = rows.join(spans, id_col, "left").withColumn(
-        "_run", F.coalesce(F.expr(f"({seq_col} - _from) div _width"), F.lit(0).cast("long"))
-    )
-    in_run = Window.partitionBy(id_col, "_run").orderBy(seq_col)
-    lagged = runs.select(
-        id_col, seq_col, value_col, "_run", F.lag(value_col).over(in_run).alias("prev"),
-        F.row_number().over(in_run).alias("_at"), F.col("_width").isNotNull().alias("_cut"),
-    )
-    ends = (
-        runs.where(F.col("_width").isNotNull())
-        .groupBy(id_col, "_run").agg(F.max_by(value_col, seq_col).alias("_end"))
-        .withColumn("_before", F.lag("_end").over(Window.partitionBy(id_col).orderBy("_run")))
-        .select(id_col, "_run", F.lit(1).alias("_at"), "_before")
+    columns = [id_col, seq_col, value_col]
+    rows = once(df, id_col, seq_col, value_col).select(*columns)
+    history = Window.partitionBy(id_col).orderBy(seq_col)
+    hot = hot_keys(df.select(id_col), [id_col], limit)
+    if hot is None:
+        return rows.withColumn("prev", F.lag(value_col).over(history))
+
+    short = rows.join(hot, id_col, "left_anti").withColumn("prev", F.lag(value_col).over(history))
+    pieces = hot.agg(F.sum("_fan")).first()[0]
+    sorted_rows = rows.join(hot, id_col, "left_semi").repartitionByRange(pieces, id_col, seq_col)
+    # written down, the number of the task is a property of the row
+    runs = stage(sorted_rows.withColumn("_run", F.spark_partition_id()), "runs")
+    run = Window.partitionBy(id_col, "_run").orderBy(seq_col)
+    lagged = runs.withColumn("prev", F.lag(value_col).over(run)).withColumn("_at", F.row_number().over(run))
+    ends = runs.groupBy(id_col, "_run").agg(F.max_by(value_col, seq_col).alias("_end"))
+    before = ends.select(
+        id_col, "_run", F.lit(1).alias("_at"),
+        F.lag("_end").over(Window.partitionBy(id_col).orderBy("_run")).alias("_before"),
     )
-    return lagged.join(ends, [id_col, "_run", "_at"], "left").select(
-        id_col, seq_col, value_col, F.coalesce("prev", "_before").alias("prev")
-    )
-
-
-def _run_widths(df: DataFrame, id_col: str, seq_col: str, limit: int) -> DataFrame | None:
-    """First ``seq`` and run width of the ids with more than ``limit`` rows (at most ``rows / limit`` ids)."""
-    counted = df.groupBy(id_col).agg(
-        F.count("*").alias("_n"), F.min(seq_col).alias("_from"), F.max(seq_col).alias("_to")
-    ).where(F.col("_n") > limit)
-    width = F.ceil((F.col("_to") - F.col("_from") + 1) / F.ceil(F.col("_n") / F.lit(limit)))
-    spans = stage(counted.select(id_col, "_from", width.cast("long").alias("_width")), "spans")
-    return None if spans.isEmpty() else spans
+    long = lagged.join(before, [id_col, "_run", "_at"], "left")
+    return short.unionByName(long.select(*columns, F.coalesce("prev", "_before").alias("prev")))

@@ -120,9 +120,10 @@ def test_latest_aggregates_before_the_shuffle(spark):
     assert plan.count("HashAggregate") == 2 and "SortAggregate" not in plan
 
 
-def test_a_run_never_holds_a_whole_hot_id(spark, plans):
-    df = spark.createDataFrame([(0, s, s % 7) for s in range(1000)], "id long, seq long, v long")
+@pytest.mark.parametrize("step", [lambda s: s, lambda s: s**3, lambda s: s if s < 990 else 10**12 + s])
+def test_a_hot_id_is_cut_into_even_runs(spark, plans, step):
+    df = spark.createDataFrame([(0, step(s), s % 7) for s in range(1000)] + [(1, 5, 3)], "id long, seq long, v long")
     rows = with_previous(df, "id", "v", limit=100)
-    assert got(rows) == [(0, s, s % 7, (s - 1) % 7 if s else None) for s in range(1000)]
-    plan = rows._jdf.queryExecution().optimizedPlan().toString()
-    assert "_run" in plan
+    assert got(rows.where("id = 0")) == [(0, step(s), s % 7, (s - 1) % 7 if s else None) for s in range(1000)]
+    assert got(rows.where("id = 1")) == [(1, 5, 3, None)]
+    assert any(label == "runs" and "rangepartitioning" in plan and ", 10)" in plan for label, plan in plans)
