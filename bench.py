@@ -14,8 +14,9 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from curbside.plans.queries import QUERIES, run  # noqa: E402
-from curbside.session import build_session, scratch_scope  # noqa: E402
+from curbside.plans import queries as Q  # noqa: E402
+from curbside.session import build_session, new_folder, scratch_scope  # noqa: E402
+from curbside.streaming import start_matching  # noqa: E402
 
 RUNS = 3
 
@@ -23,14 +24,28 @@ RUNS = 3
 def timed(spark, name: str, sf_dir: str) -> float:
     start = time.perf_counter()
     with scratch_scope(spark):
-        run(name, spark, sf_dir).write.format("noop").mode("overwrite").save()
+        Q.run(name, spark, sf_dir).write.format("noop").mode("overwrite").save()
     return time.perf_counter() - start
 
 
+def micro_batches(spark, sf_dir: str) -> dict:
+    """Time per micro-batch and state size of the matching stream, to hold against its interval of two seconds."""
+    with scratch_scope(spark):
+        query = start_matching(*Q.streams(spark, sf_dir), new_folder(spark, "out"), new_folder(spark, "log"), trigger=None)
+        query.awaitTermination()
+        progress = [p for p in query.recentProgress if p.numInputRows]
+    return {
+        "batches": len(progress),
+        "seconds": round(statistics.median(p.durationMs["triggerExecution"] for p in progress) / 1000, 3),
+        "rows": max(p.numInputRows for p in progress),
+        "state_rows": max(p.stateOperators[0].numRowsTotal for p in progress),
+    }
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
-    names = sys.argv[1:] or list(QUERIES)
+    names = sys.argv[1:] or list(Q.QUERIES)
     spark = build_session(
         "bench", f"local[{cpus}]",
         **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false"},
@@ -43,11 +58,13 @@ def main() -> None:
         else:
             timed(spark, name, sf_dir)
             seconds[name] = statistics.median(timed(spark, name, sf_dir) for _ in range(RUNS))
+    batches = micro_batches(spark, sf_dir) if "stream_knn" in names else None
     spark.stop()
     print(json.dumps({
         "metric": "total seconds, median of warm runs per query", "value": round(sum(seconds.values()), 3),
         "unit": "sec", "queries": {name: round(s, 3) for name, s in seconds.items()},
         "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "cpus": int(cpus), "shuffle_partitions": int(cpus),
+        "micro_batches": batches,
     }))
 
 

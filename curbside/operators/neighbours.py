@@ -42,7 +42,7 @@ LEAST = 0.6  # taxis around a taxi, in lists, for which cells are large enough
 TOP_ROWS = 16  # the tree is high enough once this many nodes per group are left
 LIMIT = 500  # exponents of cell sides
 FEW_ROWS = 100_000  # rows that may be broadcast
-DONE, OPEN, CLIMB, ODD = 0, 1, 2, 3  # states of a client after the first look
+DONE, OPEN, WIDE, CLIMB, ODD = range(5)  # states of a client after the first look
 
 BOX = ["_x0", "_x1", "_y0", "_y1"]
 
@@ -319,8 +319,7 @@ def _look(task: _Task, riders: DataFrame, tree: _Tree, first_look: bool) -> tupl
             F.lit(0.0).alias("_rim"), F.lit(None).cast(f"array<struct<dist:double,{task.taxi}:{tree.id_type.simpleString()}>>").alias("_best"),
         )
     looked = stage(looked.withColumn("_root", F.lit(0)), "looked")
-    counts = looked.groupBy("_state").agg(F.count("*").alias("n")).collect()
-    return looked, {row["_state"]: row["n"] for row in counts}
+    return looked, _counted(looked)
 
 
 def _first_look(task: _Task, riders: DataFrame, tree: _Tree) -> DataFrame:
@@ -372,17 +371,24 @@ def _first_look(task: _Task, riders: DataFrame, tree: _Tree) -> DataFrame:
     edge = F.lit(int(tree.outermost / 2.0**tree.first))
     inner = (F.abs("_cx") < edge) & (F.abs("_cy") < edge)
     looks = looks.withColumn("_rim", F.when(inner, F.sqrt(rim * rim)).otherwise(F.lit(0.0)))
-    settled = _settled(task, F.col("_bound"))
-    state = F.when(open_nodes, F.lit(OPEN)).when(~settled, F.lit(CLIMB)).otherwise(F.lit(DONE))
+    state = F.when(open_nodes, F.lit(OPEN)).otherwise(_state_of_list(task, tree))
     looks = looks.withColumn("_state", F.coalesce(_state_of_position(), state))
     best = F.when(F.col("_state").isin(DONE, OPEN), F.col("_best")).alias("_best")
     return looks.select(*task.who, "_px", "_py", "_state", "_bound", "_rim", best)
 
 
-def _settled(task: _Task, bound: Column) -> Column:
-    """Whether nothing beyond the rim can be in the list. A taxi right on it could win a tie."""
-    settled = F.coalesce(bound < F.col("_rim"), F.lit(False))
-    return settled if task.radius is None else settled | (F.lit(task.radius) <= F.col("_rim"))
+def _state_of_list(task: _Task, tree: _Tree) -> Column:
+    """Whether something beyond the rim can be in the list (a taxi right on it could win a tie), and how far to look."""
+    settled = F.coalesce(F.col("_bound") < F.col("_rim"), F.lit(False))
+    if task.radius is not None:
+        settled = settled | (F.lit(task.radius) <= F.col("_rim"))
+    wide = (F.col("_rim") > 0) & (F.col("_bound") < F.lit(RINGS * 2.0**tree.first))
+    return F.when(settled, F.lit(DONE)).when(wide, F.lit(WIDE)).otherwise(F.lit(CLIMB))
+
+
+def _counted(looked: DataFrame) -> dict[int, int]:
+    """Number of clients per state."""
+    return {row["_state"]: row["n"] for row in looked.groupBy("_state").agg(F.count("*").alias("n")).collect()}
 
 
 def _measured(task: _Task, pairs: DataFrame) -> DataFrame:
@@ -411,11 +417,11 @@ def _go_on(
     """Candidates ``(who, taxi, dist)`` for the clients the look did not finish; the best k of each are its list."""
     lists, riders = [], []
     who = [*task.who, "_px", "_py", "_bound"]
-    if CLIMB in states:
-        climbing = looked.where(F.col("_state") == CLIMB).select("_root", "_rim", *who)
-        found = _climb(task, climbing, tree, tree.crowded is not None, odd)
+    if states.keys() & {WIDE, CLIMB}:
+        found = _find(task, looked, states, tree, tree.crowded is not None, odd)
         lists.append(_taxis_of(task, found))
-        riders.append(found.where(F.col(task.taxi).isNull()).select(*who).distinct())
+        if tree.crowded is not None:
+            riders.append(found.where(F.col(task.taxi).isNull()).select(*who).distinct())
     near = looked.where(F.col("_state") == OPEN)
     if OPEN in states:
         riders.append(near.select(*who))
@@ -436,11 +442,11 @@ def _go_on(
                             client_id=task.client, taxi_id=task.taxi)
         kth = known.where(F.col("rk") == task.k).select(*task.who, F.col("dist").alias("_kth"))
         near = near.drop("_bound").join(kth, task.who, "left").withColumnRenamed("_kth", "_bound")
-        near = stage(near.withColumn("_late", ~_settled(task, F.col("_bound"))), "near")
-        late = near.where("_late").select("_root", "_rim", *who)
-        lists.append(_best_of(task, near.where(~F.col("_late"))))
-        if not late.isEmpty():
-            lists.append(_taxis_of(task, _climb(task, late, tree, False)))
+        near = stage(near.withColumn("_state", _state_of_list(task, tree)), "near")
+        states = _counted(near)
+        lists.append(_best_of(task, near.where(F.col("_state") == DONE)))
+        if states.keys() & {WIDE, CLIMB}:
+            lists.append(_taxis_of(task, _find(task, near, states, tree, False)))
     return lists
 
 
@@ -452,23 +458,22 @@ def _taxis_of(task: _Task, found: DataFrame) -> DataFrame:
     return found.where(F.col(task.taxi).isNotNull()).select(*task.who, task.taxi, F.col("_hi").alias("dist"))
 
 
-def _climb(
-    task: _Task, riders: DataFrame, tree: _Tree, crowds: bool, odd: DataFrame | None = None
+def _find(
+    task: _Task, looked: DataFrame, states: dict[int, int], tree: _Tree, crowds: bool, odd: DataFrame | None = None
 ) -> DataFrame:
     """Taxis and, with ``crowds``, crowded cells near clients for which the block was not enough."""
-    riders = stage(riders.withColumn("_wider", (F.col("_rim") > 0) & (F.col("_bound") < F.lit(RINGS * 2.0**tree.first))),
-                   "climbing")
-    counts = {row["_wider"]: row["n"] for row in riders.groupBy("_wider").agg(F.count("*").alias("n")).collect()}
-    found = []
-    if True in counts:
-        found.append(_second_look(task, riders.where("_wider"), tree, crowds))
-    if counts.keys() - {True}:
-        rest = riders.where(~F.coalesce("_wider", F.lit(False)))
-        found.append(_descend(task, rest, tree, crowds, odd))
-    return stage(reduce(DataFrame.unionByName, found), "found")
-
-
-def _second_look(task: _Task, riders: DataFrame, tree: _Tree, crowds: bool) -> DataFrame:
+    parts, who = [], ["_root", *task.who, "_px", "_py", "_bound"]
+    if WIDE in states:
+        wide = looked.where(F.col("_state") == WIDE).select(*who)
+        parts.append(_second_look(task, wide, tree, crowds, states[WIDE] > task.piece))
+    if CLIMB in states:
+        parts.append(_descend(task, looked.where(F.col("_state") == CLIMB).select(*who), tree, crowds, odd))
+    found = reduce(DataFrame.unionByName, parts)
+    # read more than once, unless this is the last step
+    return stage(found, "found") if crowds or tree.depth else found
+
+
+def _second_look(task: _Task, riders: DataFrame, tree: _Tree, crowds: bool, check: bool) -> DataFrame:
     """Look at all cells that reach into the circle within which the list is known to lie."""
     side = 2.0**tree.first
     steps = F.sequence(F.lit(-RINGS).cast("long"), F.lit(RINGS).cast("long"))
@@ -480,7 +485,7 @@ def _second_look(task: _Task, riders: DataFrame, tree: _Tree, crowds: bool) -> D
     held = tree.contents()
     if crowds:
         held = held.unionByName(tree.as_content(tree.node_entries(tree.crowded)))
-    pairs = _measured(task, _below(task, cells, held, check=riders.count() > task.piece))
+    pairs = _measured(task, _below(task, cells, held, check=check))
     return _pruned(task, pairs)
 
 

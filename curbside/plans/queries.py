@@ -185,6 +185,11 @@ def _client_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.decode_clients(stream_feed(spark, write_feed(S.requests(spark, sf_dir), D.CLIENT_FIELDS), max_files=1))
 
 
+def streams(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The streams of both feeds, taxis first."""
+    return _taxi_stream(spark, sf_dir), _client_stream(spark, sf_dir)
+
+
 def _finish(query) -> None:
     query.awaitTermination()
 
@@ -197,8 +202,7 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_folder(spark, "out")
-    taxis, clients = _taxi_stream(spark, sf_dir), _client_stream(spark, sf_dir)
-    _finish(jobs.start_matching(taxis, clients, out, new_folder(spark, "log"), trigger=None))
+    _finish(jobs.start_matching(*streams(spark, sf_dir), out, new_folder(spark, "log"), trigger=None))
     return last_batch(spark, f"{out}/matches").select(*MATCH)
 
 
