@@ -39,17 +39,19 @@ def with_previous(
     looked up in a table with one row per run.
     """
     columns = [id_col, seq_col, value_col]
-    rows = once(df, id_col, seq_col, value_col).select(*columns)
-    history = Window.partitionBy(id_col).orderBy(seq_col)
     hot = hot_keys(df.select(id_col), [id_col], limit)
+    # one shuffle by id serves both the copies and the order
+    short = df if hot is None else df.join(hot, id_col, "left_anti")
+    short = once(short.select(*columns).repartition(id_col), id_col, seq_col, value_col)
+    short = short.withColumn("prev", F.lag(value_col).over(Window.partitionBy(id_col).orderBy(seq_col)))
     if hot is None:
-        return rows.withColumn("prev", F.lag(value_col).over(history))
+        return short
 
-    short = rows.join(hot, id_col, "left_anti").withColumn("prev", F.lag(value_col).over(history))
     pieces = hot.agg(F.sum("_fan")).first()[0]
-    sorted_rows = rows.join(hot, id_col, "left_semi").repartitionByRange(pieces, id_col, seq_col)
+    rows = once(df.join(hot, id_col, "left_semi"), id_col, seq_col, value_col).select(*columns)
     # written down, the number of the task is a property of the row
-    runs = stage(sorted_rows.withColumn("_run", F.spark_partition_id()), "runs")
+    runs = rows.repartitionByRange(pieces, id_col, seq_col).withColumn("_run", F.spark_partition_id())
+    runs = stage(runs, "runs")
     run = Window.partitionBy(id_col, "_run").orderBy(seq_col)
     lagged = runs.withColumn("prev", F.lag(value_col).over(run)).withColumn("_at", F.row_number().over(run))
     ends = runs.groupBy(id_col, "_run").agg(F.max_by(value_col, seq_col).alias("_end"))

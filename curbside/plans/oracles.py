@@ -164,6 +164,7 @@ ORACLES = {
     "cell_members": TABLES + MOVES + LAST_CELL,
     "cell_stats": TABLES + MOVES + STATS,
     "stream_latest": TABLES + "select taxi_id, lon, lat from taxis",
+    "stream_changes": TABLES + "select taxi_id, lon, lat from taxis",
     "stream_knn": TABLES + _pairs() + LIST,
     "stream_transitions": TABLES + MOVES + "select taxi_id, seq, prev, cell from moves where prev <> cell",
     "stream_deltas": TABLES + MOVES + DELTAS,

@@ -200,6 +200,13 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_batch(spark, out).select("taxi_id", "lon", "lat")
 
 
+def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only what changed per micro-batch, folded to the current table."""
+    out, log = new_folder(spark, "out"), new_folder(spark, "log")
+    _finish(jobs.start_latest(_taxi_stream(spark, sf_dir), "taxi_id", out, log, changes_only=True, trigger=None))
+    return latest(all_batches(spark, out), "taxi_id")
+
+
 def stream_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_folder(spark, "out")
     _finish(jobs.start_matching(*streams(spark, sf_dir), out, new_folder(spark, "log"), trigger=None))
@@ -241,7 +248,7 @@ QUERIES = {
     "radius_join": radius_join, "knn_within": knn_within,
     "transitions": transitions, "moved_taxis": moved_taxis, "moved_flag_join": moved_flag_join,
     "cell_deltas": cell_deltas, "cell_members": cell_members, "cell_stats": cell_stats,
-    "stream_latest": stream_latest, "stream_knn": stream_knn, "stream_transitions": stream_transitions,
+    "stream_latest": stream_latest, "stream_changes": stream_changes, "stream_knn": stream_knn, "stream_transitions": stream_transitions,
     "stream_deltas": stream_deltas, "stream_cell_members": stream_cell_members,
 }
 

@@ -66,13 +66,18 @@ def start_matching(
 
 
 def start_latest(
-    rows: DataFrame, id_col: str, out: str, checkpoint: str, *, trigger: str | None = INTERVAL
+    rows: DataFrame, id_col: str, out: str, checkpoint: str, *, changes_only: bool = False,
+    trigger: str | None = INTERVAL,
 ) -> StreamingQuery:
-    """The whole current table of one feed (``id, lon, lat, seq``) with every micro-batch."""
+    """The whole current table of one feed (``id, lon, lat, seq``) with every micro-batch.
+
+    With ``changes_only`` just the rows of the ids heard of, for tables too large to be written each time; ``latest``
+    over all batches is then the current table.
+    """
     current = rows.groupBy(id_col).agg(
         F.max_by("lon", "seq").alias("lon"), F.max_by("lat", "seq").alias("lat"), F.max("seq").alias("seq")
     )
-    return _start(current, write_batches(out), checkpoint, "complete", trigger)
+    return _start(current, write_batches(out), checkpoint, "update" if changes_only else "complete", trigger)
 
 
 def start_cell_members(

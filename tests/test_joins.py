@@ -38,6 +38,14 @@ def test_within_is_strict_and_handles_strange_positions(spark):
     check_within(spark, lattice + strange, lattice + strange, 1.0)
 
 
+def test_within_joins_on_cells(spark):
+    rng = random.Random(9)
+    points = [(i, rng.random(), rng.random()) for i in range(300)]
+    found = within(spark.createDataFrame(points, CLIENT), spark.createDataFrame(points, TAXI), 0.2, limit=3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "_lp" in plan and "_rp" in plan
+
+
 @pytest.mark.parametrize("radius", [0.0, -1.0, math.inf, math.nan])
 def test_bad_radius(spark, radius):
     with pytest.raises(ValueError):

@@ -84,6 +84,15 @@ def test_moved_taxis_and_flags(spark):
         assert got(flagged) == sorted((p[0], p[1], p[0] in ids) for p in pings)
 
 
+def test_one_shuffle_for_short_histories(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = transitions(make(spark, [ping(1, 1, 0)]), GRID)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Exchange") == 1
+
+
 def test_edge_cases(spark):
     pings = [ping(1, 1, 0), ping(1, 2, 1), ping(1, 3, 0),  # leaves and returns
              ping(2, 1, 3), ping(2, 2, 3),                 # stays
