@@ -63,11 +63,12 @@ def got(df):
 @pytest.mark.parametrize("method", ["all", "cells"])
 def test_matching_with_a_restart(spark, folders, method):
     rng = random.Random(1)
-    taxis, clients = batches(rng, 2), batches(rng, 2, 30)
+    taxis, clients, handed_on = batches(rng, 2), batches(rng, 2, 30), []
 
     def run():
         finish(jobs.start_matching(taxi_stream(spark, folders), client_stream(spark, folders), folders["out"],
-                                   folders["log"], method=method, trigger=None))
+                                   folders["log"], method=method, trigger=None,
+                                   then=lambda found, batch: handed_on.append((batch, found.count()))))
         return last_batch(spark, folders["out"] + "/matches")
 
     def expected(n):
@@ -82,6 +83,7 @@ def test_matching_with_a_restart(spark, folders, method):
     feed(spark, folders, "clients", clients[1:], D.CLIENT_FIELDS, 1)
     second = run()
     assert got(second) == got(expected(2).select(second.columns))
+    assert handed_on[-1][1] == second.count() and [b for b, _ in handed_on] == list(range(len(handed_on)))
 
 
 def test_latest_with_copies_in_any_order(spark, folders):
