@@ -40,7 +40,7 @@ HEIGHT = 40  # levels above the first one
 DEPTH = 12  # searches within crowds within crowds, after which crowds are read row by row
 LEAST = 0.6  # taxis around a taxi, in lists, for which cells are large enough
 TOP_ROWS = 16  # the tree is high enough once this many nodes per group are left
-LIMIT = 500  # exponents of cell sides
+LIMIT = 960  # exponents of cell sides
 FEW_ROWS = 100_000  # rows that may be broadcast
 DONE, OPEN, WIDE, CLIMB, ODD = range(5)  # states of a client after the first look
 
@@ -222,15 +222,18 @@ class _Tree:
         self.calm, self.dense = stage(outside, "calm"), stage(inside, "dense")
 
     def crowd(self) -> _Tree:
-        """The tree of the taxis in crowded cells, with smaller cells that suit their typical box."""
+        """The tree of the taxis in crowded cells, with cells that suit their typical box, as a rule smaller ones."""
         wide, high = F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")
         share = F.lit(2.0 * self.task.k) / F.col("_n")
         side = F.when((wide > 0) & (high > 0), F.sqrt(wide * high * share)).otherwise(F.greatest(wide, high) * share)
         n = F.when(is_finite(side), F.col("_n"))
         level = F.sum(F.log2(side) * n) / F.sum(n)
         stats = self.crowded.agg(F.sum("_n").alias("n"), level.alias("level")).first()
-        finer = self.first - 1 if stats["level"] is None else min(self.first - 1, math.floor(stats["level"]))
-        return _Tree(self.task, self.dense.drop(*CELL), stats["n"], max(-LIMIT, finer), self.groups, depth=self.depth + 1)
+        level = self.first - 1 if stats["level"] is None else math.floor(stats["level"])
+        if level <= self.first:  # only the boxes of outermost cells can be wider than a cell
+            level = min(self.first - 1, level)
+        level = max(-LIMIT, min(LIMIT, level))
+        return _Tree(self.task, self.dense.drop(*CELL), stats["n"], level, self.groups, depth=self.depth + 1)
 
     def _as_nodes(self, points: DataFrame) -> DataFrame:
         return points.groupBy(*self.task.cell).agg(

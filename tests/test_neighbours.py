@@ -101,6 +101,21 @@ def test_strange_positions(spark):
     check(spark, far, far, 3, 1e7, keep_empty=True)
 
 
+def test_a_crowd_beyond_the_outermost_cells(spark):
+    rng = random.Random(19)
+    junk = [(1000 + i, 1e30 * (1 + i / 7), -1e31 / (i + 1)) for i in range(120)]
+    clients = uniform(rng, 20) + [(100 + i, 1e30 * (1 + i / 5), -1e30) for i in range(10)]
+    check(spark, clients, uniform(rng, 150) + junk, leaf_rows=8)
+
+
+def test_crowds_deeper_than_the_search_goes(spark, monkeypatch):
+    from curbside.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "DEPTH", 1)
+    rng = random.Random(20)
+    check(spark, crowded(rng, 60), crowded(rng, 400), leaf_rows=4)
+
+
 def test_few_or_no_taxis(spark):
     clients = [(1, 0.0, 0.0), (2, 1.0, 1.0)]
     check(spark, clients, [(1, 3.0, 3.0)], keep_empty=True)
