@@ -31,7 +31,8 @@ def timed(spark, name: str, sf_dir: str) -> float:
 def micro_batches(spark, sf_dir: str) -> dict:
     """Time per micro-batch and state size of the matching stream, to hold against its interval of two seconds."""
     with scratch_scope(spark):
-        query = start_matching(*Q.streams(spark, sf_dir), new_folder(spark, "out"), new_folder(spark, "log"), trigger=None)
+        out, log = new_folder(spark, "out"), new_folder(spark, "log")
+        query = start_matching(*Q.streams(spark, sf_dir), out, log, trigger=None)
         query.awaitTermination()
         progress = [p for p in query.recentProgress if p.numInputRows]
     return {
@@ -48,7 +49,8 @@ def main() -> None:
     names = sys.argv[1:] or list(Q.QUERIES)
     spark = build_session(
         "bench", f"local[{cpus}]",
-        **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false"},
+        **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g",
+           "spark.ui.showConsoleProgress": "false"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}

@@ -75,7 +75,9 @@ def _number(name: str, integral: bool) -> Column:
     return F.coalesce(as_long, as_double.try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def encode(df: DataFrame, fields: dict[str, str], *, seq_col: str | None = "seq", value_col: str = "value") -> DataFrame:
+def encode(
+    df: DataFrame, fields: dict[str, str], *, seq_col: str | None = "seq", value_col: str = "value"
+) -> DataFrame:
     """The reverse of ``decode``: one JSON message per row."""
     members = [F.col(column).alias(name) for name, column in fields.items()]
     if seq_col:

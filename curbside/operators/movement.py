@@ -31,9 +31,10 @@ def cell_deltas(
     pings: DataFrame, grid: Grid, *, id_col: str = "taxi_id", seq_col: str = "seq", compat: bool = True,
     limit: int = ID_ROWS,
 ) -> DataFrame:
-    """``id, seq, op, cell``: ``add`` at first sight, ``del`` from the old and ``add`` to the new cell at each change."""
+    """``id, seq, op, cell``: ``add`` at first sight, ``del`` from the old cell and ``add`` to the new at each change."""
     moves = _moves(pings, grid, id_col, seq_col, compat, limit)
-    add, gone = (F.struct(F.lit(op).alias("op"), F.col(c).alias("cell")) for op, c in (("add", "cell"), ("del", "prev")))
+    add, gone = (F.struct(F.lit(op).alias("op"), F.col(of).alias("cell"))
+                 for op, of in (("add", "cell"), ("del", "prev")))
     deltas = F.when(F.col("prev").isNull(), F.array(add)).when(F.col("prev") != F.col("cell"), F.array(gone, add))
     return moves.select(id_col, seq_col, F.inline(deltas))
 
@@ -84,7 +85,8 @@ def cell_stats(
     # pings count per (cell, taxi) before they count per cell, so no cell is gathered in one task
     per_taxi = in_cells.groupBy("cell", id_col).agg(F.count("*").alias("n"))
     held = cell_members(pings, grid, id_col=id_col, seq_col=seq_col, compat=compat)
-    leaving = moved_taxis(pings, grid, id_col=id_col, seq_col=seq_col, compat=compat).select(F.col("prev").alias("cell"))
+    moved = moved_taxis(pings, grid, id_col=id_col, seq_col=seq_col, compat=compat)
+    leaving = moved.select(F.col("prev").alias("cell"))
     rows = F.count("*")
     return _by_cell([
         per_taxi.groupBy("cell").agg(F.sum("n").alias("n_updates"), rows.alias("n_unique")),

@@ -29,8 +29,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curbside.functions.plane import box_far, box_near, distance, is_finite
-from curbside.operators.spread import KEY_ROWS, skew_join
 from curbside.operators.radius import CELL, around
+from curbside.operators.spread import KEY_ROWS, skew_join
 from curbside.session import stage
 
 STEP = 2  # a node has up to 4**STEP children
@@ -82,7 +82,8 @@ def nearest(
 
     ``first_look=False`` starts at the top of the tree at once, which saves work when most clients are known to be far
     from the taxis they may take, as with groups that lie in different places. Both inputs are read several times and
-    therefore written to the shared folder first; ``copy_inputs=False`` spares that for plain scans. ``leaf_rows`` and ``piece_rows`` tune the size of cells and tasks, never the result.
+    therefore written to the shared folder first; ``copy_inputs=False`` spares that for plain scans. ``leaf_rows`` and
+    ``piece_rows`` tune the size of cells and tasks, never the result.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -101,7 +102,7 @@ def nearest(
     tree = _plant(task, rows, first_look)
 
     looked, states = _look(task, riders, tree, first_look)
-    hits = F.posexplode_outer("_best").alias("_at", "_hit") if keep_empty else F.posexplode("_best").alias("_at", "_hit")
+    hits = (F.posexplode_outer if keep_empty else F.posexplode)("_best").alias("_at", "_hit")
     done = looked.where(F.col("_state") == DONE).select(*task.who, hits)
     done = done.select(*task.who, f"_hit.{taxi_id}", (F.col("_at") + 1).alias("rk"), "_hit.dist")
     if states.keys() <= {DONE}:
@@ -150,7 +151,8 @@ def _plant(task: _Task, rows: DataFrame, mixed: bool) -> _Tree:
         cells = max(1.0, stats["n"] / (max(1, stats["groups"]) if mixed else 1) / (2.0 * task.k))
         side = math.sqrt(spans[0] * spans[1] / cells) or max(spans) / cells
     exponent = max(-LIMIT, min(LIMIT, math.floor(math.log2(side)))) if side else 0
-    return _Tree(task, rows.where(normal), stats["n"], exponent, max(1, stats["groups"]), has_odd=stats["all"] > stats["n"])
+    has_odd = stats["all"] > stats["n"]
+    return _Tree(task, rows.where(normal), stats["n"], exponent, max(1, stats["groups"]), has_odd=has_odd)
 
 
 class _Tree:
@@ -317,9 +319,10 @@ def _look(task: _Task, riders: DataFrame, tree: _Tree, first_look: bool) -> tupl
     if first_look and tree.size and tree.depth < DEPTH:
         looked = _first_look(task, riders, tree)
     else:
+        nothing = F.lit(None).cast(f"array<struct<dist:double,{task.taxi}:{tree.id_type.simpleString()}>>")
         looked = riders.select(
             *task.who, "_px", "_py", F.coalesce(_state_of_position(), F.lit(CLIMB)).alias("_state"), "_bound",
-            F.lit(0.0).alias("_rim"), F.lit(None).cast(f"array<struct<dist:double,{task.taxi}:{tree.id_type.simpleString()}>>").alias("_best"),
+            F.lit(0.0).alias("_rim"), nothing.alias("_best"),
         )
     looked = stage(looked.withColumn("_root", F.lit(0)), "looked")
     return looked, _counted(looked)
@@ -361,8 +364,8 @@ def _first_look(task: _Task, riders: DataFrame, tree: _Tree) -> DataFrame:
         looks = looks.withColumn("_nodes", F.transform("_crowds", node))
         kth = F.least(kth, F.array_min(F.transform("_nodes", lambda n: n["_hi"])))
         reach = F.lit(float("inf")) if task.radius is None else F.lit(task.radius)
-        near = F.exists("_nodes", lambda n: (n["_lo"] <= F.col("_bound")) & (n["_lo"] <= reach))
-        open_nodes = F.coalesce(near, F.lit(False))
+        within_reach = F.exists("_nodes", lambda n: (n["_lo"] <= F.col("_bound")) & (n["_lo"] <= reach))
+        open_nodes = F.coalesce(within_reach, F.lit(False))
     looks = looks.withColumn("_bound", F.least(F.col("_bound"), kth))
     if task.radius is not None:
         looks = looks.withColumn("_best", F.filter("_best", lambda h: h["dist"] < F.lit(task.radius)))

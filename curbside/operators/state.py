@@ -12,7 +12,9 @@ from curbside.session import stage
 ID_ROWS = 1_000_000
 
 
-def latest(df: DataFrame, id_col: str, *, seq_col: str = "seq", value_cols: tuple[str, ...] = ("lon", "lat")) -> DataFrame:
+def latest(
+    df: DataFrame, id_col: str, *, seq_col: str = "seq", value_cols: tuple[str, ...] = ("lon", "lat")
+) -> DataFrame:
     """The row with the highest ``seq_col`` of each id.
 
     One ``max_by`` per column keeps the buffers fixed-width: the plan hash-aggregates before the shuffle, and an id

@@ -44,7 +44,7 @@ def part_lists(
 def match_parts(
     clients: DataFrame, taxis: DataFrame, *, k: int = K, parts: int = PARTS, copy_inputs: bool = True
 ) -> DataFrame:
-    """``client_id, taxi_id, rk, dist`` merged from the lists of the parts; a client without taxis is one row of NULLs."""
+    """``client_id, taxi_id, rk, dist`` merged from the lists of the parts; a client without taxis has one row."""
     return merge_lists(part_lists(clients, taxis, k=k, parts=parts, copy_inputs=copy_inputs), k=k, keep_empty=True)
 
 

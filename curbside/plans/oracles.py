@@ -71,7 +71,8 @@ def _pairs(clients: str = "clients", taxis: str = "taxis", where: str = "") -> s
     return f""",
 pairs as (select c.client_id, t.taxi_id, {_dist("c", "t")} as dist from {clients} c, {taxis} t),
 ranked as (
-  select client_id, taxi_id, dist, cast(row_number() over (partition by client_id order by dist, taxi_id) as int) as rk
+  select client_id, taxi_id, dist,
+    cast(row_number() over (partition by client_id order by dist, taxi_id) as int) as rk
   from pairs {where})
 """
 

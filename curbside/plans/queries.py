@@ -69,7 +69,8 @@ def distance_to_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far each ping is from where its taxi ended up."""
     ends = S.taxis(spark, sf_dir).select("taxi_id", F.col("lon").alias("end_lon"), F.col("lat").alias("end_lat"))
     pairs = skew_join(S.pings(spark, sf_dir), ends, ["taxi_id"], ["seq"])
-    return pairs.select("taxi_id", "seq", distance(F.col("lon"), F.col("lat"), F.col("end_lon"), F.col("end_lat")).alias("dist"))
+    dist = distance(F.col("lon"), F.col("lat"), F.col("end_lon"), F.col("end_lat"))
+    return pairs.select("taxi_id", "seq", dist.alias("dist"))
 
 
 def normalized_lon(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,7 +249,8 @@ QUERIES = {
     "radius_join": radius_join, "knn_within": knn_within,
     "transitions": transitions, "moved_taxis": moved_taxis, "moved_flag_join": moved_flag_join,
     "cell_deltas": cell_deltas, "cell_members": cell_members, "cell_stats": cell_stats,
-    "stream_latest": stream_latest, "stream_changes": stream_changes, "stream_knn": stream_knn, "stream_transitions": stream_transitions,
+    "stream_latest": stream_latest, "stream_changes": stream_changes, "stream_knn": stream_knn,
+    "stream_transitions": stream_transitions,
     "stream_deltas": stream_deltas, "stream_cell_members": stream_cell_members,
 }
 

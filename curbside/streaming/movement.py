@@ -27,6 +27,7 @@ def stream_transitions(pings: DataFrame, grid: Grid, *, compat: bool = True) ->
 
 def stream_deltas(pings: DataFrame, grid: Grid, *, compat: bool = True) -> DataFrame:
     """``taxi_id, seq, op, cell``: the streaming form of ``cell_deltas``."""
-    add, gone = (F.struct(F.lit(op).alias("op"), F.col(c).alias("cell")) for op, c in (("add", "cell"), ("del", "prev")))
+    add, gone = (F.struct(F.lit(op).alias("op"), F.col(of).alias("cell"))
+                 for op, of in (("add", "cell"), ("del", "prev")))
     deltas = F.when(F.col("prev").isNull(), F.array(add)).otherwise(F.array(gone, add))
     return cell_changes(pings, grid, compat=compat).select("taxi_id", "seq", F.inline(deltas))

@@ -65,7 +65,8 @@ def test_deltas_add_up_to_the_members(spark, limit):
     deltas = got(cell_deltas(make(spark, pings), GRID, limit=limit))
     first = [(t, h[0][0], "add", h[0][1]) for t, h in histories(pings).items()]
     moved = changes(pings)
-    assert deltas == sorted(first + [(t, s, "add", b) for t, s, _, b in moved] + [(t, s, "del", a) for t, s, a, _ in moved])
+    added, gone = [(t, s, "add", b) for t, s, _, b in moved], [(t, s, "del", a) for t, s, a, _ in moved]
+    assert deltas == sorted(first + added + gone)
     held = {}
     for taxi, _, op, cell in deltas:
         held[taxi, cell] = held.get((taxi, cell), 0) + (1 if op == "add" else -1)
@@ -106,7 +107,8 @@ def test_edge_cases(spark):
 
 def test_cell_stats(spark):
     pings = [ping(1, 1, 0), ping(1, 2, 1), ping(2, 3, 1), ping(3, 4, 4)]
-    clients = spark.createDataFrame([(1, 0.5, 0.5), (2, 0.6, 0.6), (3, 1.5, 1.5)], "client_id long, lon double, lat double")
+    waiting = [(1, 0.5, 0.5), (2, 0.6, 0.6), (3, 1.5, 1.5)]
+    clients = spark.createDataFrame(waiting, "client_id long, lon double, lat double")
     names = ["cell", "n_updates", "n_unique", "n_held", "n_clients", "n_to_remove"]
     assert got(cell_stats(make(spark, pings), clients, GRID).select(*names)) == [
         (0, 1, 1, 0, 2, 1), (1, 2, 2, 2, 0, 0), (3, 0, 0, 0, 1, 0), (4, 1, 1, 1, 0, 0)

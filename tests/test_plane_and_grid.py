@@ -26,7 +26,8 @@ def checking(grid, x, y):
 def test_cells(spark, grid):
     rng = random.Random(1)
     spread_x, spread_y = (grid.right - grid.left) * 2, (grid.top - grid.bottom) * 2
-    points = [(grid.left + rng.uniform(-1, 1) * spread_x, grid.bottom + rng.uniform(-1, 1) * spread_y) for _ in range(500)]
+    points = [(grid.left + rng.uniform(-1, 1) * spread_x, grid.bottom + rng.uniform(-1, 1) * spread_y)
+              for _ in range(500)]
     points += [(float(x), float(y)) for x in (grid.left, grid.right) for y in (grid.bottom, grid.top)]
     rows = spark.createDataFrame(points, XY).select(
         "x", "y", grid.cell_compat(F.col("x"), F.col("y")).alias("a"), grid.cell(F.col("x"), F.col("y")).alias("b")

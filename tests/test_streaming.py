@@ -15,7 +15,8 @@ GRID = Grid()
 
 
 def positions(rng, n, ids, first_seq=0):
-    return [(rng.randrange(ids), first_seq + i, rng.uniform(-74.05, -73.72), rng.uniform(40.58, 40.85)) for i in range(n)]
+    return [(rng.randrange(ids), first_seq + i, rng.uniform(-74.05, -73.72), rng.uniform(40.58, 40.85))
+            for i in range(n)]
 
 
 def add_file(spark, folder, rows, name, fields):
