@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curbside.llm import packing, token_files
+from curbside.llm import langid, packing, secrets, token_files
 from curbside.llm.tables import ship
 
 
@@ -20,6 +20,8 @@ QUERIES = {
     for query in (
         packing.op4_best_fit_packing,
         token_files.op5_token_files,
+        langid.op6_byte_cnn,
+        secrets.op7_secrets,
     )
 }
 
