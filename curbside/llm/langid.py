@@ -60,15 +60,18 @@ class Network:
 
     def columns(self, windows: np.ndarray) -> np.ndarray:
         """For every position, the embeddings of the bytes that the widest filter sees there."""
-        seen = np.lib.stride_tricks.sliding_window_view(self.embed[windows].reshape(len(windows), -1), max(WIDTHS) * EMBED, axis=1)
-        return np.ascontiguousarray(seen[:, ::EMBED])
+        seen = self.embed.take(windows, axis=0)
+        shape = (len(seen), seen.shape[1] - max(WIDTHS) + 1, max(WIDTHS) * EMBED)
+        return np.lib.stride_tricks.as_strided(seen, shape, seen.strides, writeable=False).copy()
 
     def probabilities(self, windows: np.ndarray) -> np.ndarray:
         """Probability of every language for each window (a row of ``WINDOW`` bytes)."""
         parts = [np.zeros((0, len(self.languages)), np.float32)]
         for at in range(0, len(windows), BLOCK):
-            answers = (self.columns(windows[at:at + BLOCK]) @ self.filters).max(axis=1) + self.bias
-            parts.append(softmax(np.maximum(answers, 0) @ self.out + self.out_bias))
+            columns = self.columns(windows[at:at + BLOCK])
+            answers = self.filters.T @ columns.reshape(-1, columns.shape[2]).T  # a row per filter, for a fast maximum
+            largest = answers.reshape(len(answers), *columns.shape[:2]).max(axis=2).T + self.bias
+            parts.append(softmax(np.maximum(largest, 0) @ self.out + self.out_bias))
         return np.concatenate(parts)
 
 
