@@ -67,16 +67,20 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return docs.select("*", F.concat(F.when(named, assign).otherwise(none()), access, hexes).alias("_base"))
 
 
-def transitions(values: Column) -> Column:
-    """Index of every pair of neighbouring characters in a table of ``STATES`` x ``STATES``; unknown ones are state 0."""
-    states = F.transform(F.regexp_extract_all(values, F.lit("(?s)."), F.lit(0)), lambda c: F.instr(F.lit(ALPHABET), c))
-    return F.zip_with(F.slice(states, 1, F.greatest(F.size(states) - 1, F.lit(0))), F.slice(states, 2, F.greatest(F.size(states) - 1, F.lit(0))), lambda a, b: a * STATES + b)
+def pairs(values: Column) -> Column:
+    """All pairs of neighbouring characters, by a look-ahead that moves on by one character."""
+    return F.regexp_extract_all(values, F.lit("(?s)(?=(..))"), F.lit(1))
 
 
 def counts(values: DataFrame) -> dict[int, int]:
     """How often each transition occurs in a column ``value``: at most ``STATES`` squared numbers."""
-    rows = values.select(F.explode(transitions(F.col("value"))).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
-    return {row["pair"]: row["n"] for row in rows.collect()}
+    rows = values.select(F.explode(pairs(F.col("value"))).alias("pair")).groupBy(transition(F.col("pair")).alias("k")).agg(F.count("*").alias("n"))
+    return {row["k"]: row["n"] for row in rows.collect()}
+
+
+def transition(pair: Column) -> Column:
+    """Place of a pair in a table of ``STATES`` x ``STATES``; characters outside the alphabet are state 0."""
+    return F.instr(F.lit(ALPHABET), F.substring(pair, 1, 1)) * STATES + F.instr(F.lit(ALPHABET), F.substring(pair, 2, 1))
 
 
 def train(docs: DataFrame) -> list[float]:
@@ -97,9 +101,13 @@ def train(docs: DataFrame) -> list[float]:
     )).alias("value"))
     plain = functools.reduce(lambda text, pattern: F.regexp_replace(text, pattern, " "), (ASSIGN, ACCESS, HEX), F.col("text"))
     words = F.regexp_extract_all(plain, F.lit(r"(?<![A-Za-z0-9])[A-Za-z]{2,}[0-9]{0,3}(?![A-Za-z0-9])"), F.lit(0))
-    pairs = F.transform(words, lambda word, k: F.concat(word, F.lit("_"), F.coalesce(F.get(words, k + 1), F.lit("0"))))
-    dashed = F.transform(words, lambda word, k: F.concat(word, F.lit("-"), F.coalesce(F.get(words, k + 1), F.lit("0"))))
-    ordinary = chosen.select(F.explode(F.concat(words, pairs, dashed)).alias("value"))
+    listed = chosen.select(words.alias("words")).where(F.size("words") > 0)
+    following = F.slice("words", 2, F.size("words"))
+
+    def joined_by(mark: str) -> Column:
+        return F.zip_with("words", following, lambda a, b: F.concat(a, F.lit(mark), F.coalesce(b, F.lit("0"))))
+
+    ordinary = listed.select(F.explode(F.concat("words", joined_by("_"), joined_by("-"))).alias("value"))
     random_counts, word_counts = counts(found.unionByName(digests)), counts(ordinary)
 
     def logs(seen: dict[int, int]) -> list[float]:
@@ -120,8 +128,8 @@ def with_secrets(docs: DataFrame, ratios: list[float]) -> DataFrame:
     table = F.split(F.lit(",".join(repr(round(r, 6)) for r in ratios)), ",").cast("array<double>")
 
     def mean_ratio(value: Column) -> Column:
-        pairs = transitions(value)
-        return F.aggregate(pairs, F.lit(0.0), lambda total, k: total + F.element_at(table, k + 1)) / F.size(pairs)
+        total = F.aggregate(pairs(value), F.lit(0.0), lambda so_far, pair: so_far + F.element_at(table, transition(pair) + 1))
+        return total / (F.length(value) - 1)
 
     based = base_spans(docs)
     tokens = F.when(F.col("text").rlike(TOKEN), F.filter(
