@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curbside.llm import langid, packing, secrets, token_files
+from curbside.llm import langid, packing, secrets, token_files, vectors
 from curbside.llm.tables import ship
 
 
@@ -22,6 +22,7 @@ QUERIES = {
         token_files.op5_token_files,
         langid.op6_byte_cnn,
         secrets.op7_secrets,
+        vectors.op10_multi_index,
     )
 }
 
