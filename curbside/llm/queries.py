@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curbside.llm import langid, packing, secrets, token_files, vectors
+from curbside.llm import chat, langid, packing, secrets, token_files, vectors
 from curbside.llm.tables import ship
 
 
@@ -18,6 +18,7 @@ def _run(query: Callable[[SparkSession, str], DataFrame], spark: SparkSession, s
 QUERIES = {
     query.__name__: functools.partial(_run, query)
     for query in (
+        chat.op2_role_repair,
         packing.op4_best_fit_packing,
         token_files.op5_token_files,
         langid.op6_byte_cnn,
