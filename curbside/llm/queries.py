@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curbside.llm import chat, langid, packing, secrets, token_files, vectors
+from curbside.llm import chat, langid, packing, privacy, secrets, token_files, vectors
 from curbside.llm.tables import ship
 
 
@@ -19,6 +19,7 @@ QUERIES = {
     query.__name__: functools.partial(_run, query)
     for query in (
         chat.op2_role_repair,
+        privacy.op3_weak_supervision,
         packing.op4_best_fit_packing,
         token_files.op5_token_files,
         langid.op6_byte_cnn,
