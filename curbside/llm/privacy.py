@@ -40,6 +40,11 @@ WIDER = {
         r"(?<![0-9+(.-])(?:00[1-9][0-9]{0,2}[\x20.-]?|\([0-9]{2,5}\)[\x20-]?|0[0-9]{2,4}[\x20/-])[0-9]{2,4}(?:[\x20.-]?[0-9]{2,4}){1,3}(?![0-9.])"
         r"|(?<![0-9+(.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9.-])"),
 }
+#: Without a match of these no pattern of the kinds can match; most texts have none, and the tests are cheap.
+DIGIT = re.compile(r"[0-9]")
+RUN_OF_DIGITS = re.compile(r"[0-9][\x20()./0-9-]{5,}[0-9]")
+COLONS = re.compile(r":[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:")
+SPELLED_AT = (re.compile(r"[(\[{]\x20?[aA][tT]\x20?[)\]}]"), re.compile(r"\x20[aA][tT]\x20[A-Za-z0-9-]+(?:\.[A-Za-z0-9]|\x20?[(\[{]?\x20?[dD][oO][tT])"))
 TOP_LEVEL = frozenset("com org net edu gov mil int info biz io co eu uk us de fr es it nl be ch at pl pt se no fi dk ie ca au nz jp cn in br mx ru example test".split())
 CONTEXT = {
     "email": frozenset("email e-mail mail contact contacto courriel kontakt correo write".split()),
@@ -81,11 +86,9 @@ def valid(kind: str, found: str) -> bool:
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the fixed patterns: leftmost, non-overlapping per kind, those that fail dropped."""
-    out = []
-    for k, kind in enumerate(KINDS):
-        if kind == "email":
-            out += [(k, a, b) for a, b in emails(text)]
-        else:
+    out = [(0, a, b) for a, b in emails(text)]
+    if DIGIT.search(text):
+        for k, kind in enumerate(KINDS[1:], 1):
             out += [(k, m.start(), m.end()) for m in BASE[kind].finditer(text) if valid(kind, m[0])]
     return out
 
@@ -143,8 +146,9 @@ def proposals(text: str) -> tuple[list[tuple[int, int, int]], list[dict]]:
     """Base spans, and all spans to vote on: those and the wider ones that don't overlap one of their kind."""
     base = base_spans(text)
     out = [(k, a, b, True) for k, a, b in base]
+    possible = (any(p.search(text) for p in SPELLED_AT), COLONS.search(text), RUN_OF_DIGITS.search(text), RUN_OF_DIGITS.search(text))
     for k, kind in enumerate(KINDS):
-        if kind == "email" and not re.search(r"(?i)[(\[{\x20]at[)\]}\x20]", text):
+        if not possible[k]:
             continue
         taken = [(a, b) for own, a, b in base if own == k]
         at = 0
