@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curbside.llm import chat, langid, packing, privacy, secrets, token_files, vectors
+from curbside.llm import chat, langid, packing, privacy, secrets, shingle_join, token_files, vectors
 from curbside.llm.tables import ship
 
 
@@ -18,6 +18,7 @@ def _run(query: Callable[[SparkSession, str], DataFrame], spark: SparkSession, s
 QUERIES = {
     query.__name__: functools.partial(_run, query)
     for query in (
+        shingle_join.op1_ngram_join,
         chat.op2_role_repair,
         privacy.op3_weak_supervision,
         packing.op4_best_fit_packing,
@@ -28,4 +29,6 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_ngram_join": shingle_join.ORACLE,
+}
