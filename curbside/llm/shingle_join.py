@@ -254,11 +254,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same rows in SQL: all pairs of documents that share a shingle, and the smallest document that links reach.
 ORACLE = r"""
 with recursive words as (
-  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') w
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w
   from documents),
 sets as (
   select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
-    else list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) end s
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end s
   from words),
 items as (select doc_id, len(s) n, unnest(s) k from sets),
 together as (
