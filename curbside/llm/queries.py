@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curbside.llm import chat, decontaminate, langid, packing, privacy, secrets, shingle_join, token_files, vectors
+from curbside.llm import chat, decontaminate, langid, packing, pages, privacy, secrets, shingle_join, token_files, vectors
 from curbside.llm.tables import ship
 
 
@@ -25,6 +25,7 @@ QUERIES = {
         token_files.op5_token_files,
         langid.op6_byte_cnn,
         secrets.op7_secrets,
+        pages.op8_host_suffix_array,
         decontaminate.op9_simhash_windows,
         vectors.op10_multi_index,
     )
