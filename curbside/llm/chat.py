@@ -10,9 +10,10 @@ runs of runs, and the way through all of them is chosen from the top down. No ta
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,84 +91,102 @@ def product(matrices: list[np.ndarray]) -> np.ndarray:
 def states(matrices: list[np.ndarray], first: int, last: int) -> list[int]:
     """The role after each matrix on the cheapest way from ``first`` to ``last``; of equal ones the lowest in order."""
     costs = [np.where(np.arange(STATES) == first, 0, FAR)]
-    for m in matrices:
+    for m in matrices[:-1]:
         costs.append((costs[-1][:, None] + m).min(axis=0))
     out = [last]
-    for m, cost in zip(reversed(matrices[1:]), reversed(costs[1:-1])):
+    for m, cost in zip(reversed(matrices[1:]), reversed(costs[1:])):
         out.append(int(np.argmin(cost + m[:, out[-1]])))
     return out[::-1]
 
 
-def _runs(rows: DataFrame, order: list[str], work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+class Row(NamedTuple):
+    """A turn or a run of turns; each step fills what it needs."""
+
+    conv_id: int | None
+    run: int
+    at: int | None = None
+    turn: int | None = None
+    role: str | None = None
+    text: str | None = None
+    matrix: list[float] | None = None
+    first: int | None = None
+    last: int | None = None
+    closes: bool | None = None
+
+
+def _runs(rows: DataFrame, order: list[str], work: Callable[[list[Row]], list[tuple]], schema: str) -> DataFrame:
     """Apply ``work`` to the rows of every (``conv_id``, ``run``), in order. A task streams through its runs."""
     dealt = rows.repartition("conv_id", "run").sortWithinPartitions("conv_id", "run", *order)
+    names = [column.split()[0] for column in schema.split(", ")]
+    kinds = [KINDS[column.split()[1]] for column in schema.split(", ")]
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * len(names), kinds)], names=names)
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        held: list[Row] = []
         for batch in batches:
-            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            key = pd.MultiIndex.from_frame(batch[["conv_id", "run"]])
-            cuts = [0, *(np.flatnonzero(np.asarray(key[1:] != key[:-1])) + 1), len(batch)]
-            parts = [batch.iloc[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-            rest = parts.pop().reset_index(drop=True)
-            if parts:
-                yield pd.concat([work(part) for part in parts], ignore_index=True)
-        if rest is not None and len(rest):
-            yield work(rest)
+            out: list[tuple] = []
+            used = [name for name in batch.schema.names if name in Row._fields]
+            for values in zip(*(batch.column(name).to_pylist() for name in used)):
+                row = Row(**dict(zip(used, values)))
+                if held and row[:2] != held[0][:2]:
+                    out += work(held)
+                    held = []
+                held.append(row)
+            yield made(out)
+        if held:
+            yield made(work(held))
 
-    return dealt.mapInPandas(apply, schema)
+    return dealt.mapInArrow(apply, schema)
 
 
-MATRIX = "array<double>"
+KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<double>": pa.list_(pa.float64())}
+MATRIX = "conv_id long, at long, matrix array<double>"
 
 
-def _matrix_of_turns(run: pd.DataFrame) -> pd.DataFrame:
-    return _one(run, product([taken(role)[0] for role in run["role"]]))
+def _matrix_of_turns(run: list[Row]) -> list[tuple]:
+    return [(run[0].conv_id, run[0].run, product([taken(row.role)[0] for row in run]).ravel().tolist())]
 
 
-def _matrix_of_runs(run: pd.DataFrame) -> pd.DataFrame:
-    return _one(run, product([np.array(m).reshape(STATES, STATES) for m in run["matrix"]]))
+def _matrices(run: list[Row]) -> list[np.ndarray]:
+    return [np.array(row.matrix).reshape(STATES, STATES) for row in run]
 
 
-def _one(run: pd.DataFrame, matrix: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"conv_id": run["conv_id"].iloc[:1], "at": run["run"].iloc[:1], "matrix": [matrix.ravel().tolist()]})
+def _matrix_of_runs(run: list[Row]) -> list[tuple]:
+    return [(run[0].conv_id, run[0].run, product(_matrices(run)).ravel().tolist())]
 
 
-def _ways_of_runs(run: pd.DataFrame) -> pd.DataFrame:
-    found = states([np.array(m).reshape(STATES, STATES) for m in run["matrix"]], run["first"].iloc[0], run["last"].iloc[0])
-    return pd.DataFrame({"conv_id": run["conv_id"], "at": run["at"], "first": [run["first"].iloc[0], *found[:-1]], "last": found})
+def _ways_of_runs(run: list[Row]) -> list[tuple]:
+    found = states(_matrices(run), run[0].first, run[0].last)
+    return [(row.conv_id, row.at, first, last) for row, first, last in zip(run, [run[0].first, *found], found)]
 
 
 PIECES = "conv_id long, turn long, piece int, role string, action string, cost int, rendered string"
 
 
-def _pieces(run: pd.DataFrame) -> pd.DataFrame:
-    out: dict[str, list] = {name.split()[0]: [] for name in PIECES.split(", ")}
-    conv, first, last = run["conv_id"].iloc[0], int(run["first"].iloc[0]), int(run["last"].iloc[0])
-    found = states([taken(role)[0] for role in run["role"]], first, last)
-    before = first
+def _pieces(run: list[Row]) -> list[tuple]:
+    out: list[tuple] = []
+    before = run[0].first
 
-    def add(turn, piece: int, state: int, action: str, cost: int, text: str) -> None:
+    def add(row: Row, piece: int, state: int, action: str, cost: int, text: str) -> None:
         opened = "\n" + text if action == "merge" else ("" if before == START else "<|end|>\n") + f"<|{ROLES[state]}|>\n{text}"
-        for name, value in zip(out, (conv, turn, piece, ROLES[state], action, cost, opened)):
-            out[name].append(value)
+        out.append((row.conv_id, row.turn, piece, ROLES[state], action, cost, opened))
 
-    for turn, role, text, state in zip(run["turn"], run["role"], run["text"], found):
-        action, empty = taken(role)[1][before, state]
+    for row, state in zip(run, states([taken(row.role)[0] for row in run], before, run[0].last)):
+        action, empty = taken(row.role)[1][before, state]
         for k, own in enumerate(empty):
-            add(turn, k, own, "insert", INSERT, "")
+            add(row, k, own, "insert", INSERT, "")
             before = own
-        change = RELABEL * (ROLES[state] != role)
-        add(turn, len(empty), state, action, change + MERGE * (action == "merge"), text)
+        cost = RELABEL * (ROLES[state] != row.role) + MERGE * (action == "merge")
+        add(row, len(empty), state, action, cost, row.text)
         before = state
-    if run["closes"].iloc[0]:
-        for k, own in enumerate(WAYS[before][ROLES.index(LAST)]):
-            add(run["turn"].iloc[-1], out["piece"][-1] + 1, own, "insert", INSERT, "")
+    if run[0].closes:
+        for own in WAYS[before][ROLES.index(LAST)]:
+            add(run[-1], out[-1][2] + 1, own, "insert", INSERT, "")
             before = own
-        out["rendered"][-1] += "<|end|>\n"
-    frame = pd.DataFrame(out)
-    frame["conv_id"], frame["turn"] = frame["conv_id"].astype("Int64"), frame["turn"].astype("Int64")
-    return frame
+        out[-1] = (*out[-1][:-1], out[-1][-1] + "<|end|>\n")
+    return out
 
 
 def repair(conversations: DataFrame, run: int = RUN) -> DataFrame:
@@ -191,10 +210,10 @@ def repair(conversations: DataFrame, run: int = RUN) -> DataFrame:
     turns = once.withColumn("run", F.floor(F.col("at") / run))
     order = ["at", "role", "text"]
     sized = []  # the matrices of each level, as rows (conv_id, at, matrix)
-    below = _runs(turns, order, _matrix_of_turns, f"conv_id long, at long, matrix {MATRIX}")
+    below = _runs(turns, order, _matrix_of_turns, MATRIX)
     for _ in range(levels - 1):
         sized.append(stage(below, "runs"))
-        below = _runs(sized[-1].withColumn("run", F.floor(F.col("at") / run)), ["at"], _matrix_of_runs, f"conv_id long, at long, matrix {MATRIX}")
+        below = _runs(sized[-1].withColumn("run", F.floor(F.col("at") / run)), ["at"], _matrix_of_runs, MATRIX)
     # the whole conversation begins with the start and ends where the closing turns cost least
     ends = F.array(*(F.element_at("matrix", START * STATES + q + 1) + F.lit(float(END[q])) for q in range(STATES)))
     ways = below.select("conv_id", "at", F.lit(START).alias("first"), (F.array_position(ends, F.array_min(ends)) - 1).cast("int").alias("last"))
