@@ -168,34 +168,53 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     return fit(windows, np.array([languages.index(lang) for lang, _, _ in rows]), languages)
 
 
-def predict(docs: DataFrame, net: Network | None, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` with ``lang_pred`` and ``score``: the mean over all windows, weighted by their bytes.
+def classify(texts: pa.Array, net: Network | None) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text: the mean over all its windows, weighted by their bytes.
 
     ``und`` with score 0 for a null text, a text without letters, or where nothing could be learned. Of languages with
     equal scores the first by name is taken.
     """
-    rows = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+    texts = pc.fill_null(texts, "")
+    names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    known = np.flatnonzero(pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)) if net else []
+    if len(known):
+        windows, counts, used = cut_windows(texts.take(pa.array(known)).to_pylist())
+        starts = np.cumsum(counts) - counts
+        total = np.add.reduceat(net.probabilities(windows).astype(np.float64) * used[:, None], starts)
+        mean = total / np.add.reduceat(used, starts)[:, None]
+        for k, best in zip(known, mean.argmax(axis=1)):
+            names[k] = net.languages[best]
+        scores[known] = np.clip(mean.max(axis=1), 0, 1)
+    return names, scores
+
 
-    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def predict(docs: DataFrame, net: Network | None, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` with ``lang_pred`` and ``score`` of every row of ``docs``."""
+    rows = docs.select(*keep, "text")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text", 4 << 20):
-                texts = part.column("_text")
-                names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-                known = np.flatnonzero(pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)) if net else []
-                if len(known):
-                    windows, counts, used = cut_windows(texts.take(pa.array(known)).to_pylist())
-                    starts = np.cumsum(counts) - counts
-                    total = np.add.reduceat(net.probabilities(windows).astype(np.float64) * used[:, None], starts)
-                    mean = total / np.add.reduceat(used, starts)[:, None]
-                    for k, best in zip(known, mean.argmax(axis=1)):
-                        names[k] = net.languages[best]
-                    scores[known] = np.clip(mean.max(axis=1), 0, 1)
+            for part in slices(batch, "text", 4 << 20):
+                names, scores = classify(part.column("text"), net)
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"]
                 )
 
-    schema = rows.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(classify, schema)
+    return rows.mapInArrow(apply, rows.select(*keep).schema.add("lang_pred", "string").add("score", "double"))
+
+
+def accepted(docs: DataFrame, net: Network | None, least: float = 0.3) -> DataFrame:
+    """Rows of ``docs`` in a language: neither ``und`` nor as uncertain as a guess. Without a network all rows stay."""
+    if net is None:
+        return docs
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 4 << 20):
+                names, scores = classify(part.column("text"), net)
+                yield part.filter(pa.array([name != UNKNOWN and score >= least for name, score in zip(names, scores)]))
+
+    return docs.mapInArrow(apply, docs.schema)
 
 
 def op6_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
