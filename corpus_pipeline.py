@@ -5,12 +5,53 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from curbside.llm import packing, tokens
+from curbside.llm import decontaminate, langid, packing, secrets, shingle_join, tokens
 from curbside.llm.tables import read, ship
 from curbside.session import stage
 
 
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents without letters, or in no language the network can tell, go."""
+    ship(spark)
+    return langid.accepted(docs, langid.train(docs))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of every group the document with the smallest id stays, once if its row is repeated.
+
+    Rows without an id can't be told apart and stay.
+    """
+    ship(spark)
+    groups = shingle_join.group(docs.select("doc_id", "text"))
+    rest = stage(groups.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    kept = shingle_join.among(docs, rest, "left_anti")
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1):
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    return kept
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that hold a benchmark item go. Rows without an id stay."""
+    found = decontaminate.leaks(docs.select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    ids = stage(found.select("doc_id").where("doc_id is not null").distinct(), "leaks")
+    return shingle_join.among(docs, ids, "left_anti")
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secret scans: every secret becomes ``[secret]``; ``n_chars`` follows. No document goes."""
+    ratios = secrets.train(docs.select(F.coalesce("text", F.lit("")).alias("text")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    found = secrets.with_secrets(rows, ratios)
+    clean = found.select("row", F.when(F.col("row.text").isNotNull(), secrets.redact(F.col("text"), F.col("_spans"))).alias("clean"))
+    same = F.col("clean").eqNullSafe(F.col("row.text"))
+    changed = {"text": F.col("clean")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(same, F.col("row.n_chars")).otherwise(F.length("clean").cast(docs.schema["n_chars"].dataType))
+    return clean.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing: every kept document in sequences of 4096 tokens."""
     ship(spark)
@@ -19,10 +60,14 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", keep_languages),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("secret scans", redact_secrets),
     ("best-fit packing", pack),
 ]
 
-#: The stages learn models and use tokenizers, which SQL can't express.
+#: The first stage learns a network and the last one uses a tokenizer, which SQL can't express.
 ORACLE_SQL: str | None = None
 
 
