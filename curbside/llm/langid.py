@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curbside.llm.tables import read
+from curbside.llm.tables import numbered, numbered_name, read
 from curbside.llm.tokens import slices
 
 WINDOW = 256
@@ -207,14 +207,15 @@ def accepted(docs: DataFrame, net: Network | None, least: float = 0.3) -> DataFr
     """Rows of ``docs`` in a language: neither ``und`` nor as uncertain as a guess. Without a network all rows stay."""
     if net is None:
         return docs
+    rows, text = numbered(docs), numbered_name(docs, "text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
-                names, scores = classify(part.column("text"), net)
+            for part in slices(batch, text, 4 << 20):
+                names, scores = classify(part.column(text), net)
                 yield part.filter(pa.array([name != UNKNOWN and score >= least for name, score in zip(names, scores)]))
 
-    return docs.mapInArrow(apply, docs.schema)
+    return rows.mapInArrow(apply, rows.schema).toDF(*docs.columns)
 
 
 def op6_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:

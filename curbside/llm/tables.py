@@ -19,6 +19,15 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with plain column names, for operators that carry all columns whatever they are called."""
+    return docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+
+
+def numbered_name(docs: DataFrame, name: str) -> str:
+    return f"c{docs.columns.index(name)}"
+
+
 def split_count(df: DataFrame) -> int:
     """How many tasks read ``df``: follows its size and the session's ``maxPartitionBytes``."""
     return max(1, df.rdd.getNumPartitions())
