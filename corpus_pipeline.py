@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbside.llm import decontaminate, langid, packing, secrets, shingle_join, tokens
-from curbside.llm.tables import read, ship
+from curbside.llm.tables import numbered, numbered_name, read, ship
 from curbside.session import stage
 
 
@@ -42,14 +42,16 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secret scans: every secret becomes ``[secret]``; ``n_chars`` follows. No document goes."""
     ratios = secrets.train(docs.select(F.coalesce("text", F.lit("")).alias("text")))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    found = secrets.with_secrets(rows, ratios)
-    clean = found.select("row", F.when(F.col("row.text").isNotNull(), secrets.redact(F.col("text"), F.col("_spans"))).alias("clean"))
-    same = F.col("clean").eqNullSafe(F.col("row.text"))
+    rows = numbered(docs).select(F.struct("*").alias("row"))
+    old = F.col("row").getField(numbered_name(docs, "text"))
+    found = secrets.with_secrets(rows.select("row", F.coalesce(old, F.lit("")).alias("text")), ratios)
+    clean = found.select("row", F.when(old.isNotNull(), secrets.redact(F.col("text"), F.col("_spans"))).alias("clean"))
     changed = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(same, F.col("row.n_chars")).otherwise(F.length("clean").cast(docs.schema["n_chars"].dataType))
-    return clean.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+        length = F.length("clean").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col("clean").eqNullSafe(old), F.col("row").getField(numbered_name(docs, "n_chars"))).otherwise(length)
+    columns = (changed.get(c, F.col("row").getField(numbered_name(docs, c))) for c in docs.columns)
+    return clean.select(*columns).toDF(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
