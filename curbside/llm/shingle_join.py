@@ -9,7 +9,8 @@ Candidates. Two sets that are similar enough share a shingle early in both: at t
 either set must still be able to reach the overlap needed. Only these prefixes meet, by shingle. In a first round each
 member of a shingle's list meets one centre, so a group of n copies costs n pairs. Links so found join components. In
 the second round members that aren't in the list's largest component meet all members of other components. Pairs within
-a component can't change it, so nothing is lost, and a group of copies never becomes all its pairs.
+a component can't change it, so nothing is lost, and a group of copies never becomes all its pairs. Shingles shared
+within the prefixes are the first overlap that is counted; most other pairs can't reach the similarity any more then.
 """
 
 from __future__ import annotations
@@ -184,14 +185,38 @@ def reaches(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column) -> Column:
     return F.least(n_a - pos_a, n_b - pos_b) >= needed(n_a, n_b)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, ranks, pivots: np.ndarray) -> DataFrame:
-    """The pairs (a, n_a, b, n_b) that are links: overlaps are counted by fragment and summed per pair."""
+def prefix_size(n: Column) -> Column:
+    return n - F.ceil(n * PERCENT / 100) + 1
+
+
+def promising(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """Pairs that can still be links once the shingles shared in both prefixes are counted, the first partial overlap.
+
+    Up to the last shingle of the prefix that ends first all shared shingles are known; of what comes after, no more
+    than the rest of that set can be shared.
+    """
     pairs = stage(pairs.distinct(), "pairs")
     ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "nodes")
-    parts = stage(segments(among(docs, ids), ranks, pivots), "segments")
-    left = pairs.join(parts.withColumnsRenamed({"node": "a", "segment": "s_a"}), "a")
-    both = left.join(parts.withColumnsRenamed({"node": "b", "segment": "s_b"}), ["b", "fragment"])
-    counted = both.select("a", "n_a", "b", "n_b", F.size(F.array_intersect("s_a", "s_b")).alias("shared"))
+    keys = among(lists.select(F.col("node").alias("doc_id"), "key"), ids)
+    met = pairs.join(keys.withColumnRenamed("doc_id", "a"), "a").join(keys.withColumnRenamed("doc_id", "b"), ["b", "key"])
+    counted = met.groupBy("a", "n_a", "b", "n_b").agg(F.count("*").alias("shared"))
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    most = F.col("shared") + F.greatest(n_a - prefix_size(n_a), n_b - prefix_size(n_b))
+    return counted.where(most >= needed(n_a, n_b)).drop("shared")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, ranks, pivots: np.ndarray) -> DataFrame:
+    """The pairs (a, n_a, b, n_b) that are links: overlaps are counted by fragment and summed per pair.
+
+    Segments are cut once per document and go to the pairs it is in; the two of a pair and fragment meet in a shuffle.
+    """
+    pairs = stage(pairs, "promising")
+    sides = stage(pairs.select("*", F.explode(F.array("a", "b")).alias("node")), "sides")
+    ids = stage(sides.select(F.col("node").alias("doc_id")).distinct(), "nodes")
+    parts = segments(among(docs, ids), ranks, pivots)
+    dealt = parts.join(F.broadcast(sides) if sides.count() <= FEW_IDS else sides, "node")
+    met = dealt.groupBy("a", "n_a", "b", "n_b", "fragment").agg(F.collect_list("segment").alias("two")).where(F.size("two") == 2)
+    counted = met.select("a", "n_a", "b", "n_b", F.size(F.array_intersect(F.get("two", F.lit(0)), F.get("two", F.lit(1)))).alias("shared"))
     total = counted.groupBy("a", "n_a", "b", "n_b").agg(F.sum("shared").alias("shared"))
     return stage(total.where(100 * F.col("shared") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b"), "links")
 
@@ -227,13 +252,16 @@ def group(docs: DataFrame) -> DataFrame:
     n, pos = F.col("n"), F.col("pos")
     star = shared.where((F.col("first_node") != F.col("node")) & reaches(F.col("first_n"), F.col("first_pos"), n, pos)).select(
         F.col("first_node").alias("a"), F.col("first_n").alias("n_a"), F.col("node").alias("b"), F.col("n").alias("n_b"))
-    links = verified(star, unique, ranks, pivots)
+    links = verified(promising(star, shared), unique, ranks, pivots)
     roots = stage(components(links), "roots")
 
     labelled = shared.select("key", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = labelled.groupBy("key", "root").agg(F.count("*").alias("members"))
-    mixed = sizes.groupBy("key").agg(F.max_by("root", F.struct("members", -F.col("root"))).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    open_lists = stage(labelled.join(mixed.select("key", "main"), "key"), "open")
+    of_key, of_both = Window.partitionBy("key"), Window.partitionBy("key", "root")
+    counted = labelled.repartition("key").withColumn("members", F.count("*").over(of_both))  # one shuffle for all windows
+    told = counted.select(
+        "*", F.first("root").over(of_key.orderBy(F.desc("members"), "root")).alias("main"),
+        F.min("root").over(of_key).alias("least"), F.max("root").over(of_key).alias("most"))
+    open_lists = stage(told.where("least <> most").select("key", "node", "n", "pos", "root", "main"), "open")
     right = open_lists.select("key", F.col("main").alias("main_b"), *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "root")))
     met = open_lists.where("root <> main").join(right, "key").where(
         (F.col("root") != F.col("root_b")) & ((F.col("root_b") == F.col("main_b")) | (F.col("node") < F.col("node_b")))
@@ -241,7 +269,7 @@ def group(docs: DataFrame) -> DataFrame:
     swap = F.col("node") > F.col("node_b")
     pairs = met.select(*(F.when(swap, F.col(x)).otherwise(F.col(y)).alias(name) for x, y, name in (
         ("node_b", "node", "a"), ("n_b", "n", "n_a"), ("node", "node_b", "b"), ("n", "n_b", "n_b"))))
-    more = verified(pairs, unique, ranks, pivots)
+    more = verified(promising(pairs, shared), unique, ranks, pivots)
     final = stage(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
     out = placed.join(final, "node", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "node").alias("component_id"))
     return out.unionByName(sized.where("doc_id is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))

@@ -109,7 +109,7 @@ ITEM = "the quick brown fox jumps over the lazy dog while seven small birds sing
 
 def test_leaks(spark, edges, no_docs):
     words = ITEM.split()
-    one_changed = " ".join(words[:2] + ["red"] + words[3:])
+    one_changed = " ".join(words[:1] + ["red"] + words[2:])
     longer = " ".join(words[:10] + ["very"] + words[10:])
     half = " ".join(words[:9]) + " and then something else happened to all of them that day indeed"
     docs = spark.createDataFrame([
@@ -118,8 +118,8 @@ def test_leaks(spark, edges, no_docs):
     ], "doc_id long, text string").withColumn("item_id", F.lit("x")).withColumn("start", F.lit(1))
     items = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, "Alpha, beta: gamma"), (3, None), (4, ""), (5, "entirely different words are in this one item here")], "item_id long, text string").withColumn("doc_id", F.lit(1))
     found = {(r.doc_id, r.item_id): (r.start, r.similarity) for r in decontaminate.leaks(docs, items).collect()}
-    assert set(found) == {(1, 1), (2, 1), (3, 1), (5, 1), (None, 1), (8, 2), (9, 1), (10, 1)} - ({(3, 1)} if (3, 1) not in found else set())
-    assert found[1, 1] == (2, 1.0) and found[9, 1] == (0, 1.0) and found[2, 1][1] == pytest.approx((len(words) - 4 - 3) / (len(words) - 4 + 3))
+    assert set(found) == {(1, 1), (2, 1), (5, 1), (None, 1), (8, 2), (9, 1), (10, 1)}
+    assert found[1, 1] == (2, 1.0) and found[9, 1] == (0, 1.0) and found[2, 1][1] == pytest.approx((len(words) - 4 - 2) / (len(words) - 4 + 2))
     assert decontaminate.leaks(no_docs, items).count() == 0 and decontaminate.leaks(docs, items.limit(0)).count() == 0
     assert decontaminate.leaks(edges, items).count() == 0
 
@@ -169,7 +169,7 @@ def test_recall(spark, tables):
 def test_vector_edges(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 4)
     rows = [(0, [1.0, 0.0]), (50, [0.0, 2.0]), (100, [0.0, 0.0]), (150, None), (200, [float("nan"), 1.0]), (250, [None, 1.0]), (None, [1.0, 1.0]),
-            (1, [2.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 1.0]), (4, [-1.0, 0.0]), (5, [1.0, 2.0, 3.0]), (6, [float("inf"), 0.0]), (7, [3.0, 3.0]), (8, [])]
+            (1, [2.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 2.0]), (4, [-1.0, 0.0]), (5, [1.0, 2.0, 3.0]), (6, [float("inf"), 0.0]), (7, [4.0, 4.0]), (8, [])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"block": F.lit("x"), "asking": F.lit("y"), "score": F.lit("z")})
     found = {}
     for r in vectors.search(frame, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
@@ -242,7 +242,7 @@ def test_pipeline_stages(spark, edges, tables, tmp_path):
     columns = tables("documents").columns
     item = tables("benchmark").first().text
     extra = spark.createDataFrame([(10**6, f"In the end {item} was all they said", "en", "s", 0), (10**6 + 1, "the end token = \"0123456789abcdef0123456789abcdef\" of the story", "en", "s", 0), (10**6 + 2, "12 34", "en", "s", 0)], tables("documents").schema)
-    docs = tables("documents").unionByName(extra).unionByName(edges.select(*columns))
+    docs = tables("documents").unionByName(extra).unionByName(edges.select(*(F.col(c) if c != "doc_id" else (F.col(c) + 2 * 10**6).alias(c) for c in columns)))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     tables("benchmark").write.parquet(str(tmp_path / "benchmark.parquet"))
     steps, seen = dict(pipeline.STAGES), {}
@@ -255,7 +255,7 @@ def test_pipeline_stages(spark, edges, tables, tmp_path):
     before = {r.doc_id: r for r in docs.collect()}
     first, second, third, fourth = seen.values()
     gone = set(before) - set(first)
-    assert gone == {d for d, r in before.items() if d is not None and not re.search(r"[^\W\d_]", r.text or "")}
+    assert gone == {d for d, r in before.items() if d is not None and not re.search(r"[^\W\d_]", r.text or "")} >= {10**6 + 2}
     groups = groups_of({d: r.text for d, r in first.items() if d is not None})
     assert set(second) - {None} == {root for _, root in groups.values()}
     leaked = set(second) - set(third)
