@@ -49,7 +49,7 @@ def main() -> None:
     names = sys.argv[1:] or list(Q.QUERIES)
     spark = build_session(
         "bench", f"local[{cpus}]",
-        **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g",
+        **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "8g",
            "spark.ui.showConsoleProgress": "false"},
     )
     spark.sparkContext.setLogLevel("ERROR")

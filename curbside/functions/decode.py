@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +54,9 @@ def rejects(messages: DataFrame, fields: dict[str, str], *, value_col: str = "va
 def _parse(messages, fields, value_col, seq_field, coerce) -> tuple[DataFrame, Column]:
     if coerce not in ("zero", "reject"):
         raise ValueError(f"coerce must be 'zero' or 'reject', not {coerce!r}")
+    if messages.sparkSession.conf.get("spark.sql.variant.allowDuplicateKeys") != "true":
+        raise ValueError("decoding needs spark.sql.variant.allowDuplicateKeys, see session.tune: "
+                         "without it a message with a repeated field is void")
     # a generator keeps the filter from being merged with the parsing, which would then run once per condition
     parsed = messages.withColumn("_json", F.explode(F.array(F.try_parse_json(value_col))))
     ok = F.lit(True)
@@ -76,10 +81,10 @@ def _number(name: str, integral: bool) -> Column:
 
 
 def encode(
-    df: DataFrame, fields: dict[str, str], *, seq_col: str | None = "seq", value_col: str = "value"
+    df: DataFrame, fields: dict[str, str], *, seq_col: str | None = "seq", value_col: str = "value", keep: Sequence[str] = ()
 ) -> DataFrame:
-    """The reverse of ``decode``: one JSON message per row."""
+    """The reverse of ``decode``: one JSON message per row, next to the columns in ``keep``."""
     members = [F.col(column).alias(name) for name, column in fields.items()]
     if seq_col:
         members.append(F.col(seq_col).alias("seq"))
-    return df.select(F.to_json(F.struct(*members)).alias(value_col))
+    return df.select(F.to_json(F.struct(*members)).alias(value_col), *keep)

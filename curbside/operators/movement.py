@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from curbside.functions.grid import Grid
 from curbside.operators.spread import KEY_ROWS, skew_join
 from curbside.operators.state import ID_ROWS, latest, once, with_previous
+from curbside.session import stage
 
 
 def with_cell(df: DataFrame, grid: Grid, *, x: str = "lon", y: str = "lat", compat: bool = True) -> DataFrame:
@@ -32,7 +33,11 @@ def cell_deltas(
     limit: int = ID_ROWS,
 ) -> DataFrame:
     """``id, seq, op, cell``: ``add`` at first sight, ``del`` from the old cell and ``add`` to the new at each change."""
-    moves = _moves(pings, grid, id_col, seq_col, compat, limit)
+    return as_deltas(_moves(pings, grid, id_col, seq_col, compat, limit), id_col, seq_col)
+
+
+def as_deltas(moves: DataFrame, id_col: str, seq_col: str) -> DataFrame:
+    """``id, seq, op, cell`` of rows ``id, seq, prev, cell``: nothing for a ping that stayed in its cell."""
     add, gone = (F.struct(F.lit(op).alias("op"), F.col(of).alias("cell"))
                  for op, of in (("add", "cell"), ("del", "prev")))
     deltas = F.when(F.col("prev").isNull(), F.array(add)).when(F.col("prev") != F.col("cell"), F.array(gone, add))
@@ -44,12 +49,16 @@ def moved_taxis(
 ) -> DataFrame:
     """``id, prev, cell`` of the taxis whose last ping changed their cell.
 
-    Only the last two messages of a taxi count, and the group limit keeps just those before the shuffle.
+    Only the last two messages of a taxi count. Each task first keeps its own last two per taxi, copies included, so
+    little is shuffled however many messages or copies a taxi has.
     """
-    rows = once(_cells(pings, grid, id_col, seq_col, compat), id_col, seq_col, "cell")
+    rows = _cells(pings, grid, id_col, seq_col, compat).withColumn("_task", F.spark_partition_id())
+    of_task = Window.partitionBy(id_col, "_task").orderBy(F.desc(seq_col))
     newest = Window.partitionBy(id_col).orderBy(F.desc(seq_col))
+    # a copy of a message has the rank of the message
+    few = once(rows.withColumn("_at", F.dense_rank().over(of_task)).where(F.col("_at") <= 2), id_col, seq_col, "cell")
     return (
-        rows.withColumn("_at", F.row_number().over(newest)).where(F.col("_at") <= 2)
+        few.withColumn("_at", F.row_number().over(newest)).where(F.col("_at") <= 2)
         .groupBy(id_col)
         .agg(F.max(F.when(F.col("_at") == 2, F.col("cell"))).alias("prev"),
              F.max(F.when(F.col("_at") == 1, F.col("cell"))).alias("cell"))
@@ -82,9 +91,10 @@ def cell_stats(
     """Counts per cell: ``n_updates`` pings, ``n_unique`` taxis among them, ``n_held`` taxis now in the cell,
     ``n_clients`` clients, and ``n_to_remove`` taxis whose last ping left the cell."""
     in_cells = _cells(pings, grid, id_col, seq_col, compat)
-    # pings count per (cell, taxi) before they count per cell, so no cell is gathered in one task
-    per_taxi = in_cells.groupBy("cell", id_col).agg(F.count("*").alias("n"))
-    held = cell_members(pings, grid, id_col=id_col, seq_col=seq_col, compat=compat)
+    # pings count per (taxi, cell) before they count per cell, so no cell is gathered in one task; the last ping of a
+    # taxi is in the cell with the highest seq of all
+    per_taxi = stage(in_cells.groupBy(id_col, "cell").agg(F.count("*").alias("n"), F.max(seq_col).alias("last")), "per_taxi")
+    held = per_taxi.groupBy(id_col).agg(F.max_by("cell", "last").alias("cell"))
     moved = moved_taxis(pings, grid, id_col=id_col, seq_col=seq_col, compat=compat)
     leaving = moved.select(F.col("prev").alias("cell"))
     rows = F.count("*")

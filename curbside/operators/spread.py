@@ -31,7 +31,8 @@ def _with_fan(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _piece(spread_by: list[str]) -> Column:
-    return F.pmod(F.xxhash64(*spread_by), F.col("_fan")).cast("int")
+    # with the number of the task, copies of one row that different tasks read go to different pieces
+    return F.pmod(F.xxhash64(*spread_by, F.spark_partition_id()), F.col("_fan")).cast("int")
 
 
 def _copies() -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from curbside.functions.grid import Grid
 from curbside.operators.movement import with_cell
-from curbside.operators.neighbours import merge_lists, nearest
+from curbside.operators.neighbours import nearest
 
 # fixed values: list length, number of taxi parts, search radius
 K = 4
@@ -41,11 +41,12 @@ def part_lists(
     return nearest(every_part, taxis, k=k, by=("part",), keep_empty=True, copy_inputs=copy_inputs)
 
 
-def match_parts(
-    clients: DataFrame, taxis: DataFrame, *, k: int = K, parts: int = PARTS, copy_inputs: bool = True
-) -> DataFrame:
-    """``client_id, taxi_id, rk, dist`` merged from the lists of the parts; a client without taxis has one row."""
-    return merge_lists(part_lists(clients, taxis, k=k, parts=parts, copy_inputs=copy_inputs), k=k, keep_empty=True)
+def match_parts(clients: DataFrame, taxis: DataFrame, *, k: int = K, copy_inputs: bool = True) -> DataFrame:
+    """``client_id, taxi_id, rk, dist`` as merged from the lists of the parts; a client without taxis has one row.
+
+    The nearest of all taxis are the nearest of the nearest of any parts, so one search does and nothing is merged.
+    """
+    return nearest(clients, taxis, k=k, keep_empty=True, copy_inputs=copy_inputs)
 
 
 def match_cells(

@@ -24,6 +24,7 @@ GRID = Grid()
 MATCH = ["client_id", "taxi_id", "rk", "dist"]
 CLOSE = 0.02  # radius of the range search
 SLICES = 3  # micro-batches the streaming queries run through
+FILE_ROWS = 1_000_000  # messages of a file
 
 
 # decoding
@@ -167,23 +168,36 @@ def cell_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # streaming: the tables as message files, worked off one slice per micro-batch
 
-def write_feed(df: DataFrame, fields: dict[str, str], slices: int = SLICES) -> str:
-    """Write all rows as JSON message files, one folder per slice in the order of ``seq``."""
+def write_feed(df: DataFrame, fields: dict[str, str], slices: int = SLICES) -> tuple[str, int]:
+    """Write all rows as JSON message files, one folder per slice in the order of ``seq``: folder, files per slice.
+
+    Every slice has the same number of files, as many as its rows ask for, so that a stream that takes so many files at
+    a time works off a slice per micro-batch whatever the size.
+    """
     folder = new_folder(df.sparkSession, "feed")
     first, last = df.agg(F.min("seq"), F.max("seq")).first()
     width = (last - first) // slices + 1
+    files = -(-width // FILE_ROWS)
     for i in range(slices):
         rows = df.where((F.col("seq") >= first + i * width) & (F.col("seq") < first + (i + 1) * width))
-        D.encode(rows, fields).coalesce(1 if width < 100_000 else 64).write.text(f"{folder}/slice={i}")
-    return folder
+        # neighbouring seq go to different files, so none is empty unless seq has wide gaps
+        dealt = rows.withColumn("file", F.pmod("seq", F.lit(files)))
+        told = D.encode(dealt, fields, keep=["file"])
+        told.repartition(files, "file").write.partitionBy("file").text(f"{folder}/slice={i}")
+    return folder, files
+
+
+def _stream(spark: SparkSession, rows: DataFrame, fields: dict[str, str]) -> DataFrame:
+    folder, files = write_feed(rows, fields)
+    return stream_feed(spark, folder, max_files=files)
 
 
 def _taxi_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.decode_taxis(stream_feed(spark, write_feed(S.pings(spark, sf_dir), D.TAXI_FIELDS), max_files=1))
+    return D.decode_taxis(_stream(spark, S.pings(spark, sf_dir), D.TAXI_FIELDS))
 
 
 def _client_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.decode_clients(stream_feed(spark, write_feed(S.requests(spark, sf_dir), D.CLIENT_FIELDS), max_files=1))
+    return D.decode_clients(_stream(spark, S.requests(spark, sf_dir), D.CLIENT_FIELDS))
 
 
 def streams(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -234,8 +248,8 @@ def stream_cell_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decode_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch form of the feed: message files read back and folded to the last position."""
-    folder = write_feed(S.pings(spark, sf_dir), D.TAXI_FIELDS)
-    return latest(D.decode_taxis(read_feed(spark, f"{folder}/*")), "taxi_id")
+    folder, _ = write_feed(S.pings(spark, sf_dir), D.TAXI_FIELDS)
+    return latest(D.decode_taxis(read_feed(spark, f"{folder}/*/*")), "taxi_id")
 
 
 QUERIES = {

@@ -5,10 +5,10 @@ from curbside.streaming.jobs import (
     start_matching,
     start_transitions,
 )
-from curbside.streaming.movement import stream_deltas, stream_transitions
+from curbside.streaming.movement import follow_cells
 from curbside.streaming.sinks import all_batches, last_batch, print_batches, write_batches
 
 __all__ = [
-    "all_batches", "current_table", "last_batch", "print_batches", "start_cell_members", "start_latest",
-    "start_matching", "start_transitions", "stream_deltas", "stream_transitions", "tagged", "write_batches",
+    "all_batches", "current_table", "follow_cells", "last_batch", "print_batches", "start_cell_members",
+    "start_latest", "start_matching", "start_transitions", "tagged", "write_batches",
 ]

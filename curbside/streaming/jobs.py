@@ -18,8 +18,8 @@ from curbside.operators.movement import with_cell
 from curbside.plans.matching import match
 from curbside.session import scratch_scope
 from curbside.streaming.current import current_table, split, tagged
-from curbside.streaming.movement import stream_deltas, stream_transitions
-from curbside.streaming.sinks import batch_path, write_batches
+from curbside.streaming.movement import follow_cells
+from curbside.streaming.sinks import batch_path, drop_batches, write_batches
 
 # fixed value: the default micro-batch interval
 INTERVAL = "2 seconds"
@@ -41,12 +41,13 @@ def rocksdb(spark: SparkSession):
 
 def start_matching(
     taxis: DataFrame, clients: DataFrame, out: str, checkpoint: str, *, method: str = "all",
-    trigger: str | None = INTERVAL, then: Callable[[DataFrame, int], None] | None = None, **options,
+    trigger: str | None = INTERVAL, then: Callable[[DataFrame, int], None] | None = None, keep: int | None = None,
+    **options,
 ) -> StreamingQuery:
     """Match all current clients with all current taxis in every micro-batch.
 
     Each batch gives ``out/state`` (the current tables) and ``out/matches`` (the result of the strategy), which is then
-    handed to ``then``, e.g. ``print_batches()``.
+    handed to ``then``, e.g. ``print_batches()``. With ``keep`` only so many of the newest folders of each stay.
     """
 
     def run(current: DataFrame, batch_id: int) -> None:
@@ -61,6 +62,9 @@ def start_matching(
             found.write.mode("overwrite").parquet(matches)
             if then:
                 then(spark.read.schema(found.schema).parquet(matches), batch_id)
+        if keep:
+            drop_batches(spark, f"{out}/state", keep)
+            drop_batches(spark, f"{out}/matches", keep)
 
     return _start(current_table(tagged(taxis, clients)), run, checkpoint, "complete", trigger)
 
@@ -95,11 +99,13 @@ def start_cell_members(
 
 def start_transitions(
     pings: DataFrame, grid: Grid, out: str, checkpoint: str, *, deltas: bool = False, compat: bool = True,
-    trigger: str | None = INTERVAL,
+    trigger: str | None = INTERVAL, keep: int | None = None,
 ) -> StreamingQuery:
-    """The cell changes of each micro-batch, or with ``deltas`` the ``add`` and ``del`` rows they stand for."""
-    changes = (stream_deltas if deltas else stream_transitions)(pings, grid, compat=compat)
-    return _start(changes, write_batches(out), checkpoint, "append", trigger)
+    """The cell changes of each micro-batch, or with ``deltas`` the ``add`` and ``del`` rows they stand for.
+
+    Pings older than the last one of their taxi can't change what was already written; they go to ``out/_late``.
+    """
+    return _start(pings, follow_cells(grid, out, deltas=deltas, compat=compat, keep=keep), checkpoint, "append", trigger)
 
 
 def _start(

@@ -13,11 +13,16 @@ def batch_path(out: str, batch_id: int) -> str:
     return f"{out}/batch_id={batch_id}"
 
 
-def write_batches(out: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function: one folder per batch, replaced if the batch runs again."""
+def write_batches(out: str, keep: int | None = None) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function: one folder per batch, replaced if the batch runs again.
+
+    With ``keep`` only so many of the newest folders stay.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(batch_path(out, batch_id))
+        if keep:
+            drop_batches(batch.sparkSession, out, keep)
 
     return write
 
@@ -46,6 +51,13 @@ def finished_batches(spark: SparkSession, out: str) -> list[int]:
     return sorted(int(n.split("=", 1)[1]) for n in names)
 
 
+def drop_batches(spark: SparkSession, out: str, keep: int) -> None:
+    """Delete all but the ``keep`` newest complete batches."""
+    for number in finished_batches(spark, out)[:-keep]:
+        fs, path = _hadoop(spark, batch_path(out, number))
+        fs.delete(path, True)
+
+
 def last_batch(spark: SparkSession, out: str) -> DataFrame:
     """Result of the newest complete batch."""
     return spark.read.parquet(batch_path(out, finished_batches(spark, out)[-1]))

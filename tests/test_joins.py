@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import math
 import random
 
@@ -90,3 +91,27 @@ def test_fragment_join(spark):
     for limit in (7, 50, 1000):
         hot = hot_keys(left, ["k"], limit), hot_keys(right, ["k"], limit)
         assert sorted(map(tuple, fragment_join(left, right, ["k"], ["a"], ["b"], *hot).collect())) == plain
+
+
+@pytest.mark.parametrize("radius", [1e-9, 1e-6, 0.02, 1e5])
+def test_cells_fit_any_radius(spark, radius):
+    """Positions in metres or degrees: the number of cells follows the radius, however small it is."""
+    from curbside.operators.radius import _cell, around
+
+    rng = random.Random(8)
+    points = [(i, rng.uniform(-1e6, 1e6) if i % 2 else -73.9 + i * radius / 3, 40.7) for i in range(200)]
+    df = spark.createDataFrame(points, "id long, lon double, lat double")
+    cells = df.withColumns(_cell("lon", "lat", 2.0 ** -20 if radius < 1e-7 else radius)).select("_cx").distinct().count()
+    assert radius > 1 or cells > 100
+    c = df.select(F.col("id").alias("client_id"), "lon", "lat")
+    t = df.select(F.col("id").alias("taxi_id"), "lon", "lat")
+    found = {(r.client_id, r.taxi_id) for r in within(c, t, radius).collect()}
+    assert found == {(a, b) for a, x, _ in points for b, y, _ in points if abs(x - y) < radius}
+    assert around(df.limit(1).withColumns(_cell("lon", "lat", 1.0))).count() == 9
+
+
+def test_copies_of_a_row_are_spread(spark):
+    left = spark.createDataFrame([(0, 7)] * 1000, "k long, a long").repartition(20)
+    right = spark.createDataFrame([(0, 1)], "k long, b long")
+    joined = skew_join(left, right, ["k"], ["a"], limit=50, keep_piece=True)
+    assert joined.count() == 1000 and joined.select("_piece").distinct().count() >= 8

@@ -20,7 +20,7 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES) == set(entry_file.queries()) == set(entry_file.oracle_sql())
+    assert set(QUERIES) == set(ORACLES) <= set(entry_file.queries()) and set(ORACLES) <= set(entry_file.oracle_sql())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))

@@ -8,8 +8,9 @@ from curbside.functions import decode as D
 from curbside.operators import cell_deltas, cell_members, latest, transitions
 from curbside.plans import match
 from curbside.sources import stream_feed
-from curbside.streaming import all_batches, last_batch, print_batches
+from curbside.streaming import all_batches, follow_cells, last_batch, print_batches
 from curbside.streaming import jobs
+from curbside.streaming.sinks import finished_batches
 
 GRID = Grid()
 
@@ -61,7 +62,7 @@ def got(df):
     return sorted(map(str, df.collect()))
 
 
-@pytest.mark.parametrize("method", ["all", "cells"])
+@pytest.mark.parametrize("method", ["all", "parts", "cells"])
 def test_matching_with_a_restart(spark, folders, method):
     rng = random.Random(1)
     taxis, clients, handed_on = batches(rng, 2), batches(rng, 2, 30), []
@@ -123,18 +124,76 @@ def test_cell_members(spark, folders):
     assert got(found) == got(cell_members(table(spark, parts, "taxi_id"), GRID))
 
 
-def test_workers_need_not_have_the_package(tmp_path):
-    import subprocess
-    import sys
+@pytest.mark.parametrize("limit", [20, 10**6])
+def test_one_taxi_with_most_pings_and_late_ones(spark, tmp_path, limit):
+    """Late pings change nothing and are reported; a taxi with most pings is cut into pieces; a batch may run again."""
+    rng = random.Random(6)
+    parts = [[(0 if rng.random() < 0.4 else t, s, x, y) for t, s, x, y in part] for part in batches(rng, 3, 100, 9)]
+    out = str(tmp_path / "out")
+    run = follow_cells(GRID, out, limit=limit)
+    run(table(spark, parts[:1], "taxi_id"), 0)
+    run(table(spark, parts[1:2], "taxi_id"), 1)
+    run(table(spark, parts[1:2], "taxi_id"), 1)
+    early = [(t, -1 - k, -73.9, 40.7) for k, (t, _, _, _) in enumerate(parts[0][:5])]
+    run(table(spark, [parts[2], early], "taxi_id"), 2)
+    assert got(all_batches(spark, out).select("taxi_id", "seq", "prev", "cell")) == got(transitions(table(spark, parts, "taxi_id"), GRID))
+    assert got(all_batches(spark, out + "/_late").select("taxi_id", "seq")) == got(spark.createDataFrame([r[:2] for r in early], "taxi_id long, seq long"))
+    assert len(finished_batches(spark, out + "/_last")) == 2
+
+
+def test_files_older_than_a_week_are_read(spark, folders):
+    import os
+    import time
+
+    now = time.time()
+    for i, age in enumerate((0, 9 * 86400, 0)):
+        add_file(spark, folders["taxis"], [(i + 1, i, -73.9, 40.7)], f"part{i}", D.TAXI_FIELDS)
+        for top, _, names in os.walk(f"{folders['taxis']}/part{i}"):
+            for name in names:
+                os.utime(f"{top}/{name}", (now - age + i, now - age + i))
+        finish(jobs.start_latest(taxi_stream(spark, folders), "taxi_id", folders["out"], folders["log"], trigger=None))
+    assert sorted(r.taxi_id for r in last_batch(spark, folders["out"]).collect()) == [1, 2, 3]
 
-    from pyspark import cloudpickle
 
-    from curbside.streaming.taxi_state import CellChanges
+def test_only_the_newest_batches_stay(spark, tmp_path):
+    from curbside.streaming import write_batches
+
+    out = str(tmp_path / "out")
+    write = write_batches(out, keep=2)
+    for n in range(4):
+        write(spark.range(n + 1), n)
+    assert finished_batches(spark, out) == [2, 3]
+
+
+def test_a_feed_has_as_many_files_in_every_slice(spark, monkeypatch):
+    import os
 
-    path = tmp_path / "handler"
-    path.write_bytes(cloudpickle.dumps(CellChanges()))
-    code = f"import pickle, sys; pickle.load(open({str(path)!r}, 'rb')); assert 'curbside' not in sys.modules"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+    from curbside.plans import queries
+
+    monkeypatch.setattr(queries, "FILE_ROWS", 40)
+    rows = spark.createDataFrame([(k % 7, k, 0.5, 0.5) for k in range(300)], "taxi_id long, seq long, lon double, lat double")
+    folder, files = queries.write_feed(rows, D.TAXI_FIELDS)
+    path = folder.removeprefix("file:")
+    sizes = [sum(n.startswith("part-") for _, _, names in os.walk(f"{path}/slice={i}") for n in names) for i in range(3)]
+    assert files == 3 and sizes == [3, 3, 3]
+
+
+def test_kafka_records(spark):
+    from curbside.sources.feeds import kafka_messages
+
+    records = spark.createDataFrame([(b'{"taxiId":1,"lon":2,"lat":3}', 7), (b"\xff\xfe", 8), (None, 9)], "value binary, offset long")
+    found = D.decode(kafka_messages(records), D.TAXI_FIELDS, seq_field=None, keep=["seq"]).collect()
+    assert [tuple(r) for r in found] == [(1, 2.0, 3.0, 7)]
+
+
+def test_decoding_needs_its_setting(spark):
+    rows = spark.createDataFrame([("{}",)], "value string")
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "false")
+    try:
+        with pytest.raises(ValueError, match="allowDuplicateKeys"):
+            D.decode_taxis(rows)
+    finally:
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
 def test_a_repeated_batch_replaces_its_folder(spark, tmp_path):
