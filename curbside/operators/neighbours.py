@@ -37,7 +37,6 @@ STEP = 2  # a node has up to 4**STEP children
 RINGS = 3  # cells on each side for the second look; k taxis of a block are never farther
 EDGE = 2.0**50  # cell numbers end here; what lies farther out shares the outermost cells
 HEIGHT = 40  # levels above the first one
-DEPTH = 12  # searches within crowds within crowds, after which crowds are read row by row
 LEAST = 0.6  # taxis around a taxi, in lists, for which cells are large enough
 TOP_ROWS = 16  # the tree is high enough once this many nodes per group are left
 LIMIT = 960  # exponents of cell sides
@@ -168,7 +167,8 @@ class _Tree:
         self.calm = points.withColumns(self.cells("_x", "_y", self.first))
         self.dense: DataFrame | None = None
         self.crowded: DataFrame | None = None
-        if busy and depth < DEPTH:
+        # a cell of the smallest side holds a single spot, of which no more than k taxis are left
+        if busy and self.first > -LIMIT:
             self._part()
 
     def _settle(self, points: DataFrame, exponent: int, highest: int) -> tuple[int, DataFrame, bool]:
@@ -284,13 +284,20 @@ class _Tree:
         """The nodes of each level, from the top down to the first one; the topmost ones have a key in common."""
         nodes = self.nodes.unionByName(self.crowded) if crowds and self.crowded is not None else self.nodes
         levels = [nodes]
-        while nodes.count() > TOP_ROWS * self.groups and len(levels) <= HEIGHT:
+        while self._largest(nodes) > TOP_ROWS and len(levels) <= HEIGHT:
             nodes = stage(self._merged(nodes, STEP), "nodes")
             levels.append(nodes)
         # the clients join the topmost nodes on this key
         levels[-1] = stage(levels[-1].withColumn("_root", F.lit(0)), "top")
         return levels[::-1]
 
+    def _largest(self, nodes: DataFrame) -> int:
+        """Nodes of the group that has most of them: every climbing client of a group meets all of its top nodes."""
+        if not self.task.by:
+            return nodes.count()
+        sizes = nodes.groupBy(*self.task.by).agg(F.count("*").alias("_size"))
+        return sizes.agg(F.max("_size")).first()[0] or 0
+
     def contents(self) -> DataFrame:
         """The taxis of ordinary cells under their cell."""
         return self.as_content(self.as_entries(self.calm))
@@ -316,7 +323,7 @@ def _state_of_position() -> Column:
 
 def _look(task: _Task, riders: DataFrame, tree: _Tree, first_look: bool) -> tuple[DataFrame, dict[int, int]]:
     """What each client found around it, and how many clients there are of each state."""
-    if first_look and tree.size and tree.depth < DEPTH:
+    if first_look and tree.size and tree.first > -LIMIT:
         looked = _first_look(task, riders, tree)
     else:
         nothing = F.lit(None).cast(f"array<struct<dist:double,{task.taxi}:{tree.id_type.simpleString()}>>")
@@ -473,7 +480,8 @@ def _find(
         wide = looked.where(F.col("_state") == WIDE).select(*who)
         parts.append(_second_look(task, wide, tree, crowds, states[WIDE] > task.piece))
     if CLIMB in states:
-        parts.append(_descend(task, looked.where(F.col("_state") == CLIMB).select(*who), tree, crowds, odd))
+        climbing = looked.where(F.col("_state") == CLIMB).select(*who)
+        parts.append(_descend(task, climbing, tree, crowds, states[CLIMB] > task.piece, odd))
     found = reduce(DataFrame.unionByName, parts)
     # read more than once, unless this is the last step
     return stage(found, "found") if crowds or tree.depth else found
@@ -496,13 +504,13 @@ def _second_look(task: _Task, riders: DataFrame, tree: _Tree, crowds: bool, chec
 
 
 def _descend(
-    task: _Task, riders: DataFrame, tree: _Tree, crowds: bool, odd: DataFrame | None = None
+    task: _Task, riders: DataFrame, tree: _Tree, crowds: bool, check: bool, odd: DataFrame | None = None
 ) -> DataFrame:
-    """Go down from the top of the tree, one level per join."""
+    """Go down from the top of the tree, one level per join. ``check`` says that a node may have too many clients."""
     top, *levels = tree.upper_levels(crowds)
     entries = _measured(task, _join_few(task, riders, tree.node_entries(top)))
     for nodes in levels:
-        entries = _measured(task, _below(task, _pruned(task, entries), tree.children(nodes)))
+        entries = _measured(task, _below(task, _pruned(task, entries), tree.children(nodes), check=check))
     entries = entries.select(*_frontier_columns(task))
     if odd is not None and task.radius is None:
         others = _measured(task, _join_few(task, riders, odd))
@@ -521,9 +529,13 @@ def _descend(
 def _join_few(task: _Task, riders: DataFrame, few: DataFrame) -> DataFrame:
     """Give every client the few rows of its group: at most some dozen by construction, hence the broadcast.
 
-    Only with very many groups their number can be large; then the groups spread the rows.
+    Only with very many groups their number can be large; then the groups spread the rows, and a group with many
+    clients is cut into pieces.
     """
-    return riders.join(F.broadcast(few) if few.count() <= FEW_ROWS else few, ["_root", *task.by])
+    keys = ["_root", *task.by]
+    if few.count() <= FEW_ROWS:
+        return riders.join(F.broadcast(few), keys)
+    return skew_join(riders, few, keys, [task.client], limit=task.piece)
 
 
 def _frontier_columns(task: _Task) -> list[str]:

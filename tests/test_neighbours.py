@@ -108,12 +108,23 @@ def test_a_crowd_beyond_the_outermost_cells(spark):
     check(spark, clients, uniform(rng, 150) + junk, leaf_rows=8)
 
 
-def test_crowds_deeper_than_the_search_goes(spark, monkeypatch):
-    from curbside.operators import neighbours
-
-    monkeypatch.setattr(neighbours, "DEPTH", 1)
+def test_crowds_within_crowds(spark):
+    """Every crowd holds a crowd a thousand times smaller; no depth ends the search."""
     rng = random.Random(20)
-    check(spark, crowded(rng, 60), crowded(rng, 400), leaf_rows=4)
+    nested = [(100 * d + i, rng.uniform(0, 0.001**d), rng.uniform(0, 0.001**d)) for d in range(5) for i in range(12)]
+    check(spark, nested[::6], nested, k=2, leaf_rows=4)
+
+
+def test_one_large_group_among_many(spark):
+    """The top of the tree is small in every group, not only on average."""
+    rng = random.Random(21)
+    taxis = [(i, x, y, i if i < 30 else 1000) for i, x, y in uniform(rng, 300)]
+    clients = [(i, x, y, 1000 if i % 2 else i) for i, x, y in uniform(rng, 20)]
+    c = spark.createDataFrame(clients, CLIENT + ", zone long")
+    t = spark.createDataFrame(taxis, TAXI + ", zone long")
+    found = nearest(c, t, k=2, by=("zone",), first_look=False).select("client_id", "taxi_id", "rk", "dist").collect()
+    expected = [row for z in {z for *_, z in clients} for row in knn([r[:3] for r in clients if r[3] == z], [r[:3] for r in taxis if r[3] == z], 2)]
+    assert same([tuple(r) for r in found], expected)
 
 
 def test_few_or_no_taxis(spark):
