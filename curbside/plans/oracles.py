@@ -79,6 +79,23 @@ ranked as (
 
 LIST = "select client_id, taxi_id, rk, dist from ranked where rk <= 4"
 
+
+
+def _crowded(name: str, key: str, steps: tuple[int, int], lone: tuple[str, str]) -> str:
+    lon, lat = (f"cast({corner} as double) + cast(({key} * {step}) % 1000 as double) / cast(10000000 as double)"
+                for corner, step in zip(("-73.9", "40.7"), steps))
+    return f"""
+  select {key}, case {key} % 3 when 0 then {lon} when 1 then {lone[0]} else lon end as lon,
+    case {key} % 3 when 0 then {lat} when 1 then {lone[1]} else lat end as lat from {name}"""
+
+
+CROWDS = f""",
+crowded_fleet as ({_crowded("fleet", "taxi_id", (7919, 104729), (
+    "cast(-73.85 as double) + cast(taxi_id % 5 as double) / cast(1000 as double)", "cast(40.65 as double)"))}),
+crowded_riders as ({_crowded("riders", "client_id", (15485863, 32452843), (
+    "cast(10 as double) + cast(client_id % 7 as double)", "cast(50 as double)"))})
+"""
+
 PART_LISTS = f""",
 ranked as (
   select c.client_id, t.taxi_id, cast(t.taxi_id % 10 as int) as part, {_dist("c", "t")} as dist,
@@ -155,6 +172,9 @@ ORACLES = {
     "knn_global": TABLES + _pairs(where="where dist < cast(0.5 as double)") + LIST,
     "knn_grid": TABLES + _pairs() + LIST,
     "knn_fleet": TABLES + _pairs("riders", "fleet") + LIST,
+    "knn_clustered": TABLES + CROWDS + _pairs("crowded_riders", "crowded_fleet") + LIST,
+    "knn_within_clustered": TABLES + CROWDS
+                            + _pairs("crowded_riders", "crowded_fleet", "where dist < cast(0.02 as double)") + LIST,
     "radius_join": TABLES + _pairs() + "select client_id, taxi_id, dist from pairs where dist < cast(0.02 as double)",
     "knn_within": TABLES + _pairs(where="where dist < cast(0.02 as double)") + LIST,
     "transitions": TABLES + MOVES + "select taxi_id, seq, prev, cell from moves where prev <> cell",

@@ -131,6 +131,15 @@ def knn_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(S.riders(spark, sf_dir), S.fleet(spark, sf_dir), copy_inputs=False).select(*MATCH)
 
 
+def knn_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Most taxis in a small area or on few spots, clients there and far away."""
+    return nearest(S.crowded_riders(spark, sf_dir), S.crowded_fleet(spark, sf_dir)).select(*MATCH)
+
+
+def knn_within_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(S.crowded_riders(spark, sf_dir), S.crowded_fleet(spark, sf_dir), max_distance=CLOSE).select(*MATCH)
+
+
 def radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return within(S.clients(spark, sf_dir), S.taxis(spark, sf_dir), CLOSE)
 
@@ -260,6 +269,7 @@ QUERIES = {
     "grid_cell": grid_cell, "grid_cell_compat": grid_cell_compat, "grid_centers": grid_centers,
     "knn_cross": knn_cross, "knn_broadcast": knn_broadcast, "knn_partial": knn_partial,
     "knn_per_cell": knn_per_cell, "knn_global": knn_global, "knn_grid": knn_grid, "knn_fleet": knn_fleet,
+    "knn_clustered": knn_clustered, "knn_within_clustered": knn_within_clustered,
     "radius_join": radius_join, "knn_within": knn_within,
     "transitions": transitions, "moved_taxis": moved_taxis, "moved_flag_join": moved_flag_join,
     "cell_deltas": cell_deltas, "cell_members": cell_members, "cell_stats": cell_stats,

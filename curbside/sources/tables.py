@@ -65,3 +65,23 @@ def riders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("client_id"), *_spread(F.col("c_custkey"), CLIENT_STEPS)
     )
+
+
+def crowded_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fleet`` with a third of the taxis within 0.0001 degrees and a third on five spots."""
+    key, third = F.col("taxi_id"), F.col("taxi_id") % 3
+    lon = _near(third, F.lit(-73.9), key * TAXI_STEPS[0]).when(third == 1, F.lit(-73.85) + (key % 5).cast("double") / F.lit(1000.0))
+    lat = _near(third, F.lit(40.7), key * TAXI_STEPS[1]).when(third == 1, F.lit(40.65))
+    return fleet(spark, sf_dir).select("taxi_id", lon.otherwise(F.col("lon")).alias("lon"), lat.otherwise(F.col("lat")).alias("lat"))
+
+
+def crowded_riders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``riders`` with a third of the clients within 0.0001 degrees and a third far from any taxi."""
+    key, third = F.col("client_id"), F.col("client_id") % 3
+    lon = _near(third, F.lit(-73.9), key * CLIENT_STEPS[0]).when(third == 1, F.lit(10.0) + (key % 7).cast("double"))
+    lat = _near(third, F.lit(40.7), key * CLIENT_STEPS[1]).when(third == 1, F.lit(50.0))
+    return riders(spark, sf_dir).select("client_id", lon.otherwise(F.col("lon")).alias("lon"), lat.otherwise(F.col("lat")).alias("lat"))
+
+
+def _near(third: Column, corner: Column, key: Column) -> Column:
+    return F.when(third == 0, corner + (key % 1000).cast("double") / F.lit(1e7))
