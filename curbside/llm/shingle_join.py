@@ -239,7 +239,8 @@ def group(docs: DataFrame) -> DataFrame:
 
     sized = summary.where("chunk is null").drop("chunk", "counts")
     named = sized.where("doc_id is not null")
-    firsts = named.where("n > 0").groupBy("sign_a", "sign_b").agg(F.min("doc_id").alias("node"))
+    # written, so that the join below is one of two shuffles, of which a large group of copies can be split
+    firsts = stage(named.where("n > 0").groupBy("sign_a", "sign_b").agg(F.min("doc_id").alias("node")), "firsts")
     placed = stage(named.join(firsts, ["sign_a", "sign_b"], "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node")), "placed")
     copies = stage(placed.where("doc_id <> node").select("doc_id"), "copies")
     unique = among(rows.where("doc_id is not null"), copies, "left_anti")
