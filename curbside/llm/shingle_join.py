@@ -35,6 +35,8 @@ PERCENT = 75
 BUCKET_BITS = 20
 CHUNK = 1 << 14
 FRAGMENTS = 6
+#: Bytes of text that are cut into shingles at a time.
+SLICE = 4 << 20
 #: Rows of ids up to which they are broadcast (16 MB); more are joined by a shuffle.
 FEW_IDS = 1_000_000
 
@@ -87,7 +89,7 @@ def summarise(docs: DataFrame) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 sets = shingles(part.column("text"))
                 signs = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "<i8") for s in sets]).reshape(-1, 2)
                 for own in sets:
@@ -138,7 +140,7 @@ def prefixes(docs: DataFrame, ranks) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 keys, sizes = [np.zeros(0, np.uint64)], []
                 sets = shingles(part.column("text"))
                 for own in sets:
@@ -162,7 +164,7 @@ def segments(docs: DataFrame, ranks, pivots: np.ndarray) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 out = {"node": [], "fragment": [], "segment": []}
                 for node, own in zip(part.column("doc_id").to_pylist(), shingles(part.column("text"))):
                     for f, segment in enumerate(np.split(own := ordered(own, ranks.value), np.searchsorted(own, pivots))):

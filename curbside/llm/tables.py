@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,10 +37,15 @@ def split_count(df: DataFrame) -> int:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors once per application, so that their Python workers can import it."""
+    """Send this package to the executors once per application, so that their Python workers can import it.
+
+    Also bounds the rows that go to a worker at once: whole texts are long, and a batch is held several times over.
+    """
     import curbside
 
     context = spark.sparkContext
+    if int(spark.conf.get(BATCH)) > BATCH_ROWS:
+        spark.conf.set(BATCH, str(BATCH_ROWS))
     if context.applicationId not in _shipped:
         _shipped.add(context.applicationId)
         top = os.path.dirname(os.path.abspath(curbside.__file__))
