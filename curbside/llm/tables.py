@@ -36,16 +36,19 @@ def split_count(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
 
 
-def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors once per application, so that their Python workers can import it.
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Bound the rows that go to a Python worker at once, for workers that several operators share: it spares memory
+    for some more CPU time."""
+    if int(spark.conf.get(BATCH)) > BATCH_ROWS:
+        spark.conf.set(BATCH, str(BATCH_ROWS))
+    return spark
 
-    Also bounds the rows that go to a worker at once: whole texts are long, and a batch is held several times over.
-    """
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors once per application, so that their Python workers can import it."""
     import curbside
 
     context = spark.sparkContext
-    if int(spark.conf.get(BATCH)) > BATCH_ROWS:
-        spark.conf.set(BATCH, str(BATCH_ROWS))
     if context.applicationId not in _shipped:
         _shipped.add(context.applicationId)
         top = os.path.dirname(os.path.abspath(curbside.__file__))

@@ -22,8 +22,8 @@ SEPARATORS = {"byte_bpe_50k.json": "\x00", "word_bpe_49k.json": "²"}
 DOUBTFUL = r"[\s\v\x{85}\x{180e}\p{Z}][\s\v\x{85}\x{180e}\p{Z}]|[\x1c-\x1f]|<\|"
 LETTER_STOP = r"([a-zA-Z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}])([!-/:-@\[-`{-~])"
 #: Bytes of text that are cut at a time, and distinct chunks that a worker remembers. They bound memory, not the result.
-SLICE = 6 << 20
-MEMORY = 400_000
+SLICE = 12 << 20
+MEMORY = 600_000
 
 
 class Encoder:
