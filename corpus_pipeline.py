@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbside.llm import decontaminate, langid, packing, secrets, shingle_join, tokens
-from curbside.llm.tables import numbered, numbered_name, read, ship
+from curbside.llm.tables import numbered, numbered_name, read, ship, small_batches
 from curbside.session import stage
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without letters, or in no language the network can tell, go."""
-    ship(spark)
+    small_batches(ship(spark))
     return langid.accepted(docs, langid.train(docs))
 
 
@@ -23,7 +23,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows without an id can't be told apart and stay.
     """
-    ship(spark)
+    small_batches(ship(spark))
     groups = shingle_join.group(docs.select("doc_id", "text"))
     rest = stage(groups.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
     kept = shingle_join.among(docs, rest, "left_anti")
@@ -56,7 +56,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing: every kept document in sequences of 4096 tokens."""
-    ship(spark)
+    small_batches(ship(spark))
     pieces = stage(packing.cut_pieces(docs, tokens.vocabulary("word_bpe_49k.json")), "pieces")
     return packing.pack(pieces)
 
@@ -75,7 +75,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each result is written and read back before the next one."""
-    docs = read(ship(spark), sf_dir, "documents")
+    docs = read(small_batches(ship(spark)), sf_dir, "documents")
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
