@@ -180,3 +180,16 @@ def test_pages_of_articles_keep_their_text(spark, text):
     wanted = ([" ".join(text.split())] if text.strip() else [])
     for row in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
         assert row.text == "\n".join([*wanted, f"own {row.page_id}"])
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_copies_of_a_page_keep_their_text(spark, tag):
+    """A host that is mostly copies of one page, and one row that is repeated: neither deletes itself."""
+    story = "a long tale that many addresses of this host tell in the very same words"
+    rows = [(k, f"http://h/{k}", f"<{tag}><p>{story}</p></{tag}>") for k in range(12)]
+    rows += [(100 + k, f"http://h/own{k}", f"<{tag}><p>page {k} has words of its own</p></{tag}>") for k in range(3)]
+    rows += [(200, "http://small/", f"<{tag}><p>{story}</p></{tag}>")] * 6
+    rows += [(300, "http://versions/", f"<{tag}><p>{story}</p><p>version {k}</p></{tag}>") for k in range(6)]
+    found = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(found) == len(rows)
+    assert all(r.text.split("\n")[0] == (f"page {r.page_id - 100} has words of its own" if 100 <= r.page_id < 200 else story) for r in found)
