@@ -193,3 +193,22 @@ def test_copies_of_a_page_keep_their_text(spark, tag):
     found = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(found) == len(rows)
     assert all(r.text.split("\n")[0] == (f"page {r.page_id - 100} has words of its own" if 100 <= r.page_id < 200 else story) for r in found)
+
+
+def tale(k, words):
+    return " ".join(f"w{v}" for v in np.random.default_rng(k).integers(0, 10**6, words))
+
+
+@pytest.mark.parametrize("tag, copies", [("article", 5), ("div", 3)])
+def test_notice_goes_whatever_the_size_of_the_host(spark, monkeypatch, tag, copies):
+    """A notice on few pages of a host of many parts goes; near copies of an article keep theirs."""
+    monkeypatch.setattr(pages, "PAGES", 10)
+    notice = "read our other stories for a small fee that you pay once a month"
+    rows = [(k, f"http://h/{k}", f"<{tag}><p>{tale(k, 30)}</p><div>{notice if k < copies else tale(10**6 + k, 12)}</div></{tag}>") for k in range(90)]
+    if tag == "article":
+        story = tale(10**7, 200)
+        rows += [(1000 + k, f"http://h/{k}/story", f"<article><p>{story}</p><p>edition {k}</p></article>") for k in range(12)]
+    found = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(found) == len(rows)
+    assert all(found[k] == tale(k, 30) + ("" if k < copies else "\n" + tale(10**6 + k, 12)) for k in range(90))
+    assert all(text == f"{story}\nedition {k - 1000}" for k, text in found.items() if k >= 1000)
