@@ -212,3 +212,15 @@ def test_notice_goes_whatever_the_size_of_the_host(spark, monkeypatch, tag, copi
     assert len(found) == len(rows)
     assert all(found[k] == tale(k, 30) + ("" if k < copies else "\n" + tale(10**6 + k, 12)) for k in range(90))
     assert all(text == f"{story}\nedition {k - 1000}" for k, text in found.items() if k >= 1000)
+
+
+@pytest.mark.parametrize("wrapper", ["div class='layout has-sidebar'", "div class=no-comments", "div id=page_with-nav", "section id=social-science", "div class='sidebar wrap'"])
+def test_named_wrappers_keep_what_they_hold(wrapper):
+    """A container isn't left out by name if it holds the page's article, main or only text."""
+    end = f"</{wrapper.split()[0]}>"
+    comment = "<div class=comments>Nice article!</div>"
+    assert pages.blocks(f"<p>Site</p><{wrapper}><p>Start</p><article><p>Text</p>{comment}</article>{end}") == (["Text"], 2)
+    assert pages.blocks(f"<p>Site</p><{wrapper}><main><p>Text</p>{comment}</main>{end}") == (["Text"], 1)
+    assert pages.blocks(f"<{wrapper}><p>Text</p>{end}") == (["Text"], 0)
+    assert pages.blocks("<article><p>Text</p></article><div class=related><article>Teaser</article></div>") == (["Text"], 2)
+    assert pages.blocks("<article><p>Text</p><div class=related><article>Teaser</article></div></article>") == (["Text"], 2)
