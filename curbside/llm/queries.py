@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curbside.llm import chat, decontaminate, langid, packing, pages, privacy, secrets, shingle_join, token_files, vectors
+from curbside.llm import (
+    chat, decontaminate, langid, packing, pages, privacy, quality, secrets, shingle_join, token_files, vectors, whitening,
+)
 from curbside.llm.tables import ship
 
 
@@ -28,6 +30,8 @@ QUERIES = {
         pages.op8_host_suffix_array,
         decontaminate.op9_simhash_windows,
         vectors.op10_multi_index,
+        quality.op11_additive_quality,
+        whitening.op13_whitening,
     )
 }
 
