@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from curbside.llm import (
-    chat, decontaminate, langid, packing, pages, privacy, quality, secrets, shingle_join, token_files, vectors, whitening,
+    chat, collocations, decontaminate, langid, packing, pages, privacy, quality, secrets, shingle_join, token_files, vectors, whitening,
 )
 from curbside.llm.tables import ship
 
@@ -31,11 +31,13 @@ QUERIES = {
         decontaminate.op9_simhash_windows,
         vectors.op10_multi_index,
         quality.op11_additive_quality,
+        collocations.op12_collocations,
         whitening.op13_whitening,
     )
 }
 
 ORACLES: dict[str, str] = {
+    "op12_collocations": collocations.ORACLE,
     "op1_ngram_join": shingle_join.ORACLE,
     "op9_simhash_windows": decontaminate.ORACLE,
 }
