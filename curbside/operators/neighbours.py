@@ -1,49 +1,180 @@
 """Exact k nearest neighbours without comparing every pair.
 
-Taxis lie in square cells whose sides are powers of two, so that cell arithmetic is exact and a larger cell is a bit
-shift away. A node is a row: a cell, the number of taxis in it and the box around them; a taxi is the special case of
-a node with one taxi and a box that is a point. For one client, any set of nodes gives
-
-* an upper bound on the k-th distance: go through the nodes by farthest spot until k taxis are counted;
-* a reason to drop a node: its closest spot is farther than that bound.
-
-1. All clients look at the 3 x 3 block of cells around them, with cells that hold about k taxis. Whoever finds k taxis
-   closer than the rim of the block is done.
-2. The others look at all cells as far away as the k-th taxi they know of. Those that know of fewer than k go down a
-   tree of ever smaller cells, one equi-join per level, dropping nodes on the way.
-3. Crowded cells enter both steps as single nodes. Clients that may have partners in them repeat the search on the
-   taxis of these cells alone, with cells as small as the crowd needs.
-
-Nodes have a bounded number of children and blocks a bounded number of taxis, whatever the data looks like, and no
-result depends on the choice of cells.
+The plane is cut into parts with about as many taxis each, however they lie: a bounded sample is halved at its median
+again and again, along the axis in which it spreads more, until a part is expected to hold ``part_rows`` taxis. What is
+cut too coarsely or too finely costs time, no result depends on it. Two rounds of meetings of clients with parts follow:
+
+1. Every client meets the part it lies in. The k-th distance found there bounds what can be in its list; so do the
+   boxes around the taxis of the parts, which say how far k taxis are at most.
+2. Clients whose bound reaches into the boxes of further parts meet these.
+
+Inside a meeting the taxis are sorted into leaves of some dozen rows, and clients look only at leaves that their bound
+reaches. Parts with many clients are cut into pieces. The number of jobs is fixed, however crowds are nested.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from dataclasses import dataclass
-from functools import reduce
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curbside.functions.plane import box_far, box_near, distance, is_finite
-from curbside.operators.radius import CELL, around
-from curbside.operators.spread import KEY_ROWS, skew_join
+from curbside.functions.plane import distance
+from curbside.operators.spread import fragment_join, hot_counts
 from curbside.session import stage
 
-STEP = 2  # a node has up to 4**STEP children
-RINGS = 3  # cells on each side for the second look; k taxis of a block are never farther
-EDGE = 2.0**50  # cell numbers end here; what lies farther out shares the outermost cells
-HEIGHT = 40  # levels above the first one
-LEAST = 0.6  # taxis around a taxi, in lists, for which cells are large enough
-TOP_ROWS = 16  # the tree is high enough once this many nodes per group are left
-LIMIT = 960  # exponents of cell sides
-FEW_ROWS = 100_000  # rows that may be broadcast
-DONE, OPEN, WIDE, CLIMB, ODD = range(5)  # states of a client after the first look
-
-BOX = ["_x0", "_x1", "_y0", "_y1"]
+# Taxis that a part should hold, and clients of a part that meet them in one task.
+PART_ROWS, PIECE_ROWS = 8_192, 8_192
+# Parts at most; with more taxis than these hold the parts grow.
+MAX_PARTS = 4_096
+# Rows of the sample per part.
+SAMPLE_ROWS = 48
+LEAF_ROWS = 32
+# Clients whose reach is compared with all boxes at once.
+BATCH_ROWS = 1_024
+INF = math.inf
+
+
+@dataclass
+class Cuts:
+    """A tree of cuts: ``axis`` -1 marks a part, whose number is in ``low``; otherwise ``low`` and ``high`` are nodes."""
+
+    axis: list[int] = field(default_factory=list)
+    value: list[float] = field(default_factory=list)
+    low: list[int] = field(default_factory=list)
+    high: list[int] = field(default_factory=list)
+    parts: int = 0
+
+    @classmethod
+    def of(cls, spots: np.ndarray, most: int) -> Cuts:
+        """Halve the rows of ``spots`` (x, y) until no part has more than ``most``, or only one spot is left."""
+        cuts = cls()
+        open_rows = [(spots, -1, False)]
+        while open_rows:
+            rows, parent, is_high = open_rows.pop()
+            node = len(cuts.axis)
+            if parent >= 0:
+                (cuts.high if is_high else cuts.low)[parent] = node
+            # halved before the subtraction, which then can't exceed the range of doubles
+            spread = rows.max(axis=0) / 2 - rows.min(axis=0) / 2 if len(rows) else np.zeros(2)
+            axis = int(spread.argmax())
+            if len(rows) <= most or not spread[axis] > 0:
+                cuts._add(-1, 0.0, cuts.parts)
+                cuts.parts += 1
+                continue
+            along = np.sort(rows[:, axis])
+            value = along[len(along) // 2]
+            value = value if value > along[0] else along[np.searchsorted(along, value, side="right")]
+            cuts._add(axis, float(value), -1)
+            open_rows += [(rows[rows[:, axis] >= value], node, True), (rows[rows[:, axis] < value], node, False)]
+        return cuts
+
+    def _add(self, axis: int, value: float, low: int) -> None:
+        for column, entry in zip((self.axis, self.value, self.low, self.high), (axis, value, low, -1)):
+            column.append(entry)
+
+    def part(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The part of each finite position."""
+        axis, value, low, high = (np.array(c) for c in (self.axis, self.value, self.low, self.high))
+        node = np.zeros(len(x), np.int64)
+        while (inner := axis[node] >= 0).any():
+            own = node[inner]
+            below = np.where(axis[own] == 0, x[inner], y[inner]) < value[own]
+            node[inner] = np.where(below, low[own], high[own])
+        return low[node]
+
+
+class Leaves:
+    """Taxis of one meeting in leaves; a taxi's number is its place in the order of ids."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, size: int):
+        self.x, self.y, self.order = x, y, np.arange(len(x))
+        self.nodes: list[tuple] = []  # box, then children, or -1 and the range in ``order``
+        self.root = self._build(0, len(x), size)
+
+    def _build(self, start: int, end: int, size: int) -> int:
+        own = self.order[start:end]
+        x, y = self.x[own], self.y[own]
+        box = (x.min(), x.max(), y.min(), y.max())
+        if end - start <= size:
+            self.nodes.append((box, -1, start, end))
+        else:
+            middle = (end - start) // 2
+            along = x if box[1] / 2 - box[0] / 2 >= box[3] / 2 - box[2] / 2 else y
+            self.order[start:end] = own[np.argpartition(along, middle)]
+            low, high = self._build(start, start + middle, size), self._build(start + middle, end, size)
+            self.nodes.append((box, 0, low, high))
+        return len(self.nodes) - 1
+
+    def nearest(self, px: np.ndarray, py: np.ndarray, k: int, bound: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """Distances and taxis of the ``k`` nearest per client, no farther than ``bound`` and closer than ``radius``.
+
+        Unused places have an infinite distance.
+        """
+        self.px, self.py, self.bound, self.radius = px, py, np.minimum(bound, radius), radius
+        self.found, self.who = np.full((len(px), k), INF), np.full((len(px), k), np.iinfo(np.int64).max)
+        self.home = np.full(len(px), -1)
+        if len(self.x) and len(px):
+            self._home(self.root, np.arange(len(px)))
+            self._visit(self.root, np.arange(len(px)))
+        return self.found, self.who
+
+    def _near(self, node: int, clients: np.ndarray) -> np.ndarray:
+        x0, x1, y0, y1 = self.nodes[node][0]
+        return near(self.px[clients], self.py[clients], x0, x1, y0, y1)
+
+    def _home(self, node: int, clients: np.ndarray) -> None:
+        """Each client looks at one leaf first, the one that closer children lead to."""
+        _, kind, low, high = self.nodes[node]
+        if not len(clients):
+            return
+        if kind < 0:
+            self.home[clients] = node
+            self._look(low, high, clients)
+            return
+        first = self._near(low, clients) <= self._near(high, clients)
+        self._home(low, clients[first])
+        self._home(high, clients[~first])
+
+    def _visit(self, node: int, clients: np.ndarray) -> None:
+        _, kind, low, high = self.nodes[node]
+        # a taxi exactly at the bound can win by its id
+        clients = clients[self._near(node, clients) <= np.minimum(self.bound[clients], self.found[clients, -1])]
+        if kind < 0:
+            clients = clients[self.home[clients] != node]
+            if len(clients):
+                self._look(low, high, clients)
+        elif len(clients):
+            self._visit(low, clients)
+            self._visit(high, clients)
+
+    def _look(self, start: int, end: int, clients: np.ndarray) -> None:
+        taxis = self.order[start:end]
+        dx, dy = self.x[taxis] - self.px[clients, None], self.y[taxis] - self.py[clients, None]
+        dist = np.sqrt(dx * dx + dy * dy)
+        dist[(dist > self.bound[clients, None]) | (dist >= self.radius)] = INF
+        who = np.where(dist < INF, taxis, np.iinfo(np.int64).max)
+        dist = np.concatenate([self.found[clients], dist], axis=1)
+        who = np.concatenate([self.who[clients], who], axis=1)
+        best = np.lexsort((who, dist))[:, :self.found.shape[1]]
+        self.found[clients], self.who[clients] = np.take_along_axis(dist, best, 1), np.take_along_axis(who, best, 1)
+
+
+def near(px, py, x0, x1, y0, y1):
+    """Distance to the closest spot of a box; rounding is monotonic, so no taxi inside it is computed to be closer."""
+    dx, dy = np.maximum(np.maximum(x0 - px, px - x1), 0.0), np.maximum(np.maximum(y0 - py, py - y1), 0.0)
+    return np.sqrt(dx * dx + dy * dy)
+
+
+def far(px, py, x0, x1, y0, y1):
+    """Distance to the farthest spot of a box; never below the distance to a taxi inside it."""
+    dx, dy = np.maximum(np.abs(px - x0), np.abs(x1 - px)), np.maximum(np.abs(py - y0), np.abs(y1 - py))
+    return np.sqrt(dx * dx + dy * dy)
 
 
 @dataclass(frozen=True)
@@ -54,8 +185,9 @@ class _Task:
     taxi: str
     by: list[str]
     k: int
-    radius: float | None
+    radius: float
     leaf: int
+    part: int
     piece: int
 
     @property
@@ -63,14 +195,14 @@ class _Task:
         return [*self.by, self.client]
 
     @property
-    def cell(self) -> list[str]:
-        return [*self.by, *CELL]
+    def key(self) -> list[str]:
+        return [*self.by, "_part"]
 
 
 def nearest(
     clients: DataFrame, taxis: DataFrame, *, k: int = 4, max_distance: float | None = None, by: tuple[str, ...] = (),
     keep_empty: bool = False, client_id: str = "client_id", taxi_id: str = "taxi_id", x: str = "lon", y: str = "lat",
-    first_look: bool = True, copy_inputs: bool = True, leaf_rows: int | None = None, piece_rows: int = KEY_ROWS,
+    copy_inputs: bool = True, leaf_rows: int = LEAF_ROWS, part_rows: int = PART_ROWS, piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """The ``k`` nearest taxis of each client as ``*by, client_id, taxi_id, rk, dist``, nearest first.
 
@@ -79,10 +211,8 @@ def nearest(
     one row of NULLs. Rows are expected to be unique by ``(by, id)`` on both sides. NaN distances sort last and rows
     with a missing coordinate match nothing.
 
-    ``first_look=False`` starts at the top of the tree at once, which saves work when most clients are known to be far
-    from the taxis they may take, as with groups that lie in different places. Both inputs are read several times and
-    therefore written to the shared folder first; ``copy_inputs=False`` spares that for plain scans. ``leaf_rows`` and
-    ``piece_rows`` tune the size of cells and tasks, never the result.
+    Both inputs are read several times and therefore written to the shared folder first; ``copy_inputs=False`` spares
+    that for plain scans. ``leaf_rows``, ``part_rows`` and ``piece_rows`` tune the size of tasks, never the result.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -90,31 +220,38 @@ def nearest(
         raise ValueError("max_distance must be positive")
     if max_distance is not None and math.isinf(max_distance):
         raise ValueError("leave max_distance out instead of passing infinity")
-    leaf = max(k, leaf_rows or max(64, 16 * k))
-    task = _Task(client_id, taxi_id, list(by), k, max_distance, leaf, piece_rows)
+    task = _Task(client_id, taxi_id, list(by), k, INF if max_distance is None else float(max_distance),
+                 max(leaf_rows, 2 * k), max(part_rows, 2 * k), piece_rows)
 
     riders = clients.select(*task.who, F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py"))
-    riders = (stage(riders, "clients") if copy_inputs else riders).withColumn("_bound", F.lit(None).cast("double"))
-    taxis = taxis.select(*task.by, taxi_id, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    rows = taxis.where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
+    riders = stage(riders, "clients") if copy_inputs else riders
+    rows = taxis.select(*task.by, taxi_id, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    rows = rows.where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
+    for name in task.by:
+        rows = rows.where(F.col(name).isNotNull())
     rows = stage(rows, "taxis") if copy_inputs else rows
-    tree = _plant(task, rows, first_look)
 
-    looked, states = _look(task, riders, tree, first_look)
+    parts = _Parts(task, rows)
+    ordinary = F.coalesce(_finite("_px") & _finite("_py"), F.lit(False))
+    lists = _meet(task, parts.placed(riders.where(ordinary), "_px", "_py").withColumn("_bound", F.lit(INF)), parts.rows)
+    if parts.boxes:
+        first = stage(lists, "first")
+        others = _meet(task, stage(parts.reached(first), "reached"), parts.rows)
+        lists = _with_more(task, first, others)
+    nothing = F.array().cast(lists.schema["_best"].dataType).alias("_best")
+    lists = lists.select(*task.who, "_px", "_py", "_best").unionByName(riders.where(~ordinary).select(*task.who, "_px", "_py", nothing))
+    if max_distance is None:
+        lists = _filled(task, stage(lists, "lists"), rows)
     hits = (F.posexplode_outer if keep_empty else F.posexplode)("_best").alias("_at", "_hit")
-    done = looked.where(F.col("_state") == DONE).select(*task.who, hits)
-    done = done.select(*task.who, f"_hit.{taxi_id}", (F.col("_at") + 1).alias("rk"), "_hit.dist")
-    if states.keys() <= {DONE}:
-        return done
-    lists = _go_on(task, looked, states, tree, _odd_taxis(task, rows) if tree.has_odd else None)
-    if ODD in states:
-        lists.append(_odd_clients(task, looked.where(F.col("_state") == ODD), rows))
-    if keep_empty:
-        nobody = (F.lit(None).cast(tree.id_type).alias(taxi_id), F.lit(None).cast("double").alias("dist"))
-        lists.append(looked.where(F.col("_state") != DONE).select(*task.who, *nobody))
-    rest = merge_lists(reduce(DataFrame.unionByName, lists), k=k, client_id=client_id, taxi_id=taxi_id, by=task.by,
-                       keep_empty=keep_empty)
-    return done.unionByName(rest)
+    return lists.select(*task.who, hits).select(*task.who, f"_hit.{taxi_id}", (F.col("_at") + 1).alias("rk"), "_hit.dist")
+
+
+def _with_more(task: _Task, lists: DataFrame, more: DataFrame) -> DataFrame:
+    """``lists`` with the best of their own hits and those of the rows of ``more`` for the same client."""
+    more = more.groupBy(*task.who).agg(F.flatten(F.collect_list("_best")).alias("_more"))
+    joined = lists.join(more, task.who, "left")
+    every = F.slice(F.sort_array(F.concat("_best", "_more")), 1, task.k)
+    return joined.withColumn("_best", F.coalesce(every, "_best")).drop("_more")
 
 
 def merge_lists(
@@ -132,454 +269,194 @@ def merge_lists(
     return kept.select(*by, client_id, taxi_id, F.when(found, F.col("rk")).alias("rk"), "dist")
 
 
-def _plant(task: _Task, rows: DataFrame, mixed: bool) -> _Tree:
-    """The tree of all taxis, guessing the cell side for k/2 to 2k taxis of a group in a cell of the populated area.
-
-    The area is judged between percentiles, so a few far outliers do not matter. ``mixed`` says that the groups share
-    it rather than having parts of it to themselves.
-    """
-    normal = ~(F.isnan("_x") | F.isnan("_y"))
-    groups = F.approx_count_distinct(F.struct(*task.by)) if task.by else F.lit(1)
-    tails = [F.percentile_approx(F.when(normal, F.col(c)), [0.05, 0.95], 1000).alias(c) for c in ("_x", "_y")]
-    stats = rows.agg(F.count(F.when(normal, 1)).alias("n"), F.count("*").alias("all"), groups.alias("groups"),
-                     *tails).first()
-    side = 0.0
-    if stats["n"]:
-        spans = [max(0.0, stats[c][1] - stats[c][0]) for c in ("_x", "_y")]
-        spans = [s if math.isfinite(s) else 0.0 for s in spans]
-        cells = max(1.0, stats["n"] / (max(1, stats["groups"]) if mixed else 1) / (2.0 * task.k))
-        side = math.sqrt(spans[0] * spans[1] / cells) or max(spans) / cells
-    exponent = max(-LIMIT, min(LIMIT, math.floor(math.log2(side)))) if side else 0
-    has_odd = stats["all"] > stats["n"]
-    return _Tree(task, rows.where(normal), stats["n"], exponent, max(1, stats["groups"]), has_odd=has_odd)
-
-
-class _Tree:
-    """Taxis in cells of one size, told apart by whether their cell is crowded, and the larger cells above."""
-
-    def __init__(self, task: _Task, points: DataFrame, size: int, guess: int, groups: int, *, depth: int = 0,
-                 has_odd: bool = False):
-        self.task, self.size, self.groups, self.depth, self.has_odd = task, size, groups, depth, has_odd
-        self.id_type = points.schema[task.taxi].dataType
-        self.outermost = EDGE * 2.0**guess  # coordinates beyond it share a cell
-        # exponent of the cell side, cells as nodes, taxis of ordinary and of crowded cells, and the crowded cells
-        self.first, self.nodes, busy = self._settle(points, guess, guess if depth else LIMIT)
-        self.calm = points.withColumns(self.cells("_x", "_y", self.first))
-        self.dense: DataFrame | None = None
-        self.crowded: DataFrame | None = None
-        # a cell of the smallest side holds a single spot, of which no more than k taxis are left
-        if busy and self.first > -LIMIT:
-            self._part()
-
-    def _settle(self, points: DataFrame, exponent: int, highest: int) -> tuple[int, DataFrame, bool]:
-        """Exponent of the cell side, the cells as nodes, and whether some are crowded.
-
-        A guess with too few taxis around the average taxi of an ordinary cell (one place with most taxis can mislead
-        it) is corrected by merging cells.
-        """
-        nodes = stage(self._as_nodes(points.withColumns(self.cells("_x", "_y", exponent))), "nodes")
-        while True:
-            n = F.when(F.col("_n") <= self.task.leaf, F.col("_n").cast("double"))
-            seen = nodes.agg(F.sum(n).alias("n"), F.sum(n * n).alias("square"), F.count("*").alias("cells"),
-                             F.count(n).alias("calm")).first()
-            others = (seen["square"] or 0.0) / (seen["n"] or 1.0) - 1.0
-            enough = others >= LEAST * self.task.k or seen["cells"] <= TOP_ROWS * self.groups
-            if enough or not seen["calm"] or exponent >= highest:
-                return exponent, nodes, seen["cells"] > seen["calm"]
-            exponent += 1
-            nodes = stage(self._merged(nodes, 1), "nodes")
-
-    def cells(self, x: str, y: str, exponent: int) -> dict[str, Column]:
-        """Cell numbers at a level. Scaling by a power of two does not round, so levels nest exactly."""
-        edge = self.outermost * 2.0**-exponent
-
-        def index(name: str) -> Column:
-            scaled = F.col(name) * F.lit(2.0**-exponent)
-            return F.floor(F.greatest(F.least(scaled, F.lit(edge)), F.lit(-edge)))
-
-        return {"_cx": index(x), "_cy": index(y)}
-
-    def _part(self) -> None:
-        """Tell crowded cells from the others."""
+def _finite(name: str) -> Column:
+    return F.coalesce(F.abs(name) < F.lit(INF), F.lit(False))
+
+
+class _Parts:
+    """Taxis at finite positions by part, and the boxes of the parts of groups that have more than one."""
+
+    def __init__(self, task: _Task, rows: DataFrame):
+        self.task, self.cuts, self.boxes = task, {}, {}
+        rows = rows.where(_finite("_x") & _finite("_y"))
+        total = rows.count()
+        self.size = max(task.part, -(-total // MAX_PARTS))
+        self.groups: DataFrame | None = None
+        if total > self.size:
+            # as a group has more than ``size`` rows, there are at most MAX_PARTS of them
+            sizes = rows.groupBy(*task.by).agg(F.count("*").alias("_n")) if task.by else None
+            large = sizes.where(F.col("_n") > self.size).collect() if task.by else [()]
+            if large:
+                self._cut(rows, large, total)
+        self.rows = rows.withColumn("_part", F.lit(0))
+        if self.groups is not None:
+            rows = rows if self.crowds is None else self._trimmed(rows)
+            self.rows = stage(self.placed(rows, "_x", "_y"), "parts")
+            found = self.rows.join(F.broadcast(self.groups), task.by) if task.by else self.rows.withColumn("_group", F.lit(0))
+            boxes = found.groupBy("_group", "_part").agg(
+                F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y"), F.count("*")).collect()
+            for number in self.cuts:
+                own = sorted((tuple(r)[1:] for r in boxes if r[0] == number))
+                self.boxes[number] = np.array(own, float).reshape(-1, 6)
+
+    def _cut(self, rows: DataFrame, large: list, total: int) -> None:
+        """Cut every large group by its rows in a sample of bounded size."""
+        task, spark = self.task, rows.sparkSession
+        keys = [tuple(r[c] for c in task.by) for r in large]
+        columns = {c: pa.array([key[at] for key in keys]) for at, c in enumerate(task.by)}
+        numbers = spark.createDataFrame(pa.table({**columns, "_group": pa.array(range(len(keys)), pa.int32())}))
+        self.groups = numbers.select(*(F.col(c).cast(rows.schema[c].dataType).alias(c) for c in task.by), "_group")
+        share = min(1.0, SAMPLE_ROWS * MAX_PARTS / total, 2.0 * SAMPLE_ROWS * -(-total // self.size) / total)
+        picked = F.pmod(F.xxhash64(task.taxi, F.lit(41)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)
+        sample = rows.where(picked)
+        sample = sample.join(F.broadcast(self.groups), task.by) if task.by else sample.withColumn("_group", F.lit(0))
+        table = sample.select("_group", "_x", "_y").toArrow()
+        group, spots = table["_group"].to_numpy(), np.column_stack([table["_x"].to_numpy(), table["_y"].to_numpy()])
+        order = np.lexsort((spots[:, 1], spots[:, 0], group))
+        group, spots = group[order], spots[order]
+        most = max(1, math.ceil(self.size * share))
+        crowds = []
+        for number in range(len(keys)):
+            own = spots[group == number]
+            self.cuts[number] = Cuts.of(own, most)
+            if len(own):
+                spot, count = np.unique(own, axis=0, return_counts=True)
+                crowds += [(number, float(sx), float(sy)) for sx, sy in spot[count > max(2, most // 4)]]
+        # spots that alone fill a good part of a part: no more than four for each part
+        columns = zip(("_group", "_x", "_y"), (pa.int32(), pa.float64(), pa.float64()), zip(*crowds))
+        self.crowds = spark.createDataFrame(pa.table({name: pa.array(column, kind) for name, kind, column in columns})) if crowds else None
+
+    def _trimmed(self, rows: DataFrame) -> DataFrame:
+        """Of the taxis on one spot only the k smallest ids can be in a list; the group limit drops others early."""
         task = self.task
-        self.crowded = stage(self.nodes.where(F.col("_n") > task.leaf), "crowded")
-        self.nodes = self.nodes.where(F.col("_n") <= task.leaf)
-        inside = self.calm.join(self.crowded.select(*task.cell), task.cell, "left_semi")
-        outside = self.calm.join(self.crowded.select(*task.cell), task.cell, "left_anti")
-        if self.depth == 0:
-            # of the taxis at one spot only the k smallest ids can be in a list; the group limit drops the others early
-            spot = Window.partitionBy(*task.by, "_x", "_y").orderBy(task.taxi)
-            inside = inside.withColumn("_at", F.row_number().over(spot)).where(F.col("_at") <= task.k).drop("_at")
-            inside = stage(inside, "inside")
-            nodes = stage(self._as_nodes(inside), "nodes")
-            self.nodes = self.nodes.unionByName(nodes.where(F.col("_n") <= task.leaf))
-            self.crowded = nodes.where(F.col("_n") > task.leaf)
-            if self.crowded.isEmpty():
-                self.crowded = None
-                self.calm = stage(outside.unionByName(inside), "calm")
-                return
-            thin = inside.join(self.crowded.select(*task.cell), task.cell, "left_anti")
-            inside = inside.join(self.crowded.select(*task.cell), task.cell, "left_semi")
-            outside = outside.unionByName(thin)
-        self.calm, self.dense = stage(outside, "calm"), stage(inside, "dense")
-
-    def crowd(self) -> _Tree:
-        """The tree of the taxis in crowded cells, with cells that suit their typical box, as a rule smaller ones."""
-        wide, high = F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")
-        share = F.lit(2.0 * self.task.k) / F.col("_n")
-        side = F.when((wide > 0) & (high > 0), F.sqrt(wide * high * share)).otherwise(F.greatest(wide, high) * share)
-        n = F.when(is_finite(side), F.col("_n"))
-        level = F.sum(F.log2(side) * n) / F.sum(n)
-        stats = self.crowded.agg(F.sum("_n").alias("n"), level.alias("level")).first()
-        level = self.first - 1 if stats["level"] is None else math.floor(stats["level"])
-        if level <= self.first:  # only the boxes of outermost cells can be wider than a cell
-            level = min(self.first - 1, level)
-        level = max(-LIMIT, min(LIMIT, level))
-        return _Tree(self.task, self.dense.drop(*CELL), stats["n"], level, self.groups, depth=self.depth + 1)
-
-    def _as_nodes(self, points: DataFrame) -> DataFrame:
-        return points.groupBy(*self.task.cell).agg(
-            F.count("*").alias("_n"), F.min("_x").alias("_x0"), F.max("_x").alias("_x1"),
-            F.min("_y").alias("_y0"), F.max("_y").alias("_y1"),
-        )
-
-    def _merged(self, nodes: DataFrame, bits: int) -> DataFrame:
-        """The nodes of the cells that are ``2**bits`` times as wide."""
-        above = nodes.withColumns({c: F.shiftright(c, bits) for c in CELL})
-        return above.groupBy(*self.task.cell).agg(
-            F.sum("_n").alias("_n"), F.min("_x0").alias("_x0"), F.max("_x1").alias("_x1"),
-            F.min("_y0").alias("_y0"), F.max("_y1").alias("_y1"),
-        )
-
-    def as_entries(self, points: DataFrame) -> DataFrame:
-        """Taxis in the shape of nodes."""
-        return points.select(
-            *self.task.cell, F.lit(1).cast("long").alias("_n"), F.col("_x").alias("_x0"), F.col("_x").alias("_x1"),
-            F.col("_y").alias("_y0"), F.col("_y").alias("_y1"), self.task.taxi,
-        )
-
-    def node_entries(self, nodes: DataFrame) -> DataFrame:
-        return nodes.withColumn(self.task.taxi, F.lit(None).cast(self.id_type))
-
-    def blocks(self, near: DataFrame | None) -> DataFrame:
-        """Per cell, what the 3 x 3 block around it holds: ``_held``, the taxis of ordinary cells, and ``_crowds``.
-
-        A cell adds ``leaf`` taxis at most, or itself if crowded, so a block stays small. ``near`` restricts the cells
-        that are copied to blocks.
-        """
-        held = F.collect_list(F.struct("_x", "_y", self.task.taxi)).alias("_held")
-        cells = self.calm.groupBy(*self.task.cell).agg(held)
-        crowd = F.struct(*BOX).alias("_crowd")
-        if self.crowded is not None:
-            crowds = self.crowded.select(*self.task.cell, crowd)
-            cells = cells.unionByName(crowds, allowMissingColumns=True)
-        if near is not None:
-            cells = cells.join(near, self.task.cell, "left_semi")
-        lists = [F.flatten(F.collect_list("_held")).alias("_held")]
-        if self.crowded is not None:
-            lists.append(F.collect_list("_crowd").alias("_crowds"))
-        return around(cells).groupBy(*self.task.cell).agg(*lists)
-
-    def upper_levels(self, crowds: bool) -> list[DataFrame]:
-        """The nodes of each level, from the top down to the first one; the topmost ones have a key in common."""
-        nodes = self.nodes.unionByName(self.crowded) if crowds and self.crowded is not None else self.nodes
-        levels = [nodes]
-        while self._largest(nodes) > TOP_ROWS and len(levels) <= HEIGHT:
-            nodes = stage(self._merged(nodes, STEP), "nodes")
-            levels.append(nodes)
-        # the clients join the topmost nodes on this key
-        levels[-1] = stage(levels[-1].withColumn("_root", F.lit(0)), "top")
-        return levels[::-1]
-
-    def _largest(self, nodes: DataFrame) -> int:
-        """Nodes of the group that has most of them: every climbing client of a group meets all of its top nodes."""
-        if not self.task.by:
-            return nodes.count()
-        sizes = nodes.groupBy(*self.task.by).agg(F.count("*").alias("_size"))
-        return sizes.agg(F.max("_size")).first()[0] or 0
-
-    def contents(self) -> DataFrame:
-        """The taxis of ordinary cells under their cell."""
-        return self.as_content(self.as_entries(self.calm))
-
-    def children(self, nodes: DataFrame) -> DataFrame:
-        """Nodes under the cell of their parent; their own cell moves to ``_in_*``."""
-        return self.as_content(self.node_entries(nodes)).withColumns({c: F.shiftright(c, STEP) for c in CELL})
-
-    @staticmethod
-    def as_content(entries: DataFrame) -> DataFrame:
-        return entries.withColumns({f"_in{c}": F.col(c) for c in CELL})
-
-
-def _usable(name: str) -> Column:
-    return F.coalesce(is_finite(F.col(name)), F.lit(False))
-
-
-def _state_of_position() -> Column:
-    """What the position of a client alone says; NULL for an ordinary one."""
-    missing = F.col("_px").isNull() | F.col("_py").isNull()
-    return F.when(missing, F.lit(DONE)).when(~(_usable("_px") & _usable("_py")), F.lit(ODD))
-
-
-def _look(task: _Task, riders: DataFrame, tree: _Tree, first_look: bool) -> tuple[DataFrame, dict[int, int]]:
-    """What each client found around it, and how many clients there are of each state."""
-    if first_look and tree.size and tree.first > -LIMIT:
-        looked = _first_look(task, riders, tree)
-    else:
-        nothing = F.lit(None).cast(f"array<struct<dist:double,{task.taxi}:{tree.id_type.simpleString()}>>")
-        looked = riders.select(
-            *task.who, "_px", "_py", F.coalesce(_state_of_position(), F.lit(CLIMB)).alias("_state"), "_bound",
-            F.lit(0.0).alias("_rim"), nothing.alias("_best"),
-        )
-    looked = stage(looked.withColumn("_root", F.lit(0)), "looked")
-    return looked, _counted(looked)
-
-
-def _first_look(task: _Task, riders: DataFrame, tree: _Tree) -> DataFrame:
-    """Match every client with the block of cells around it.
-
-    Every client meets one row that holds all its candidates, so its list is made in place: no pair becomes a row, and
-    nothing is shuffled after the join.
+        spots = self.crowds.join(F.broadcast(self.groups), "_group").drop("_group") if task.by else self.crowds.drop("_group")
+        keys = [*task.by, "_x", "_y"]
+        crowded = rows.join(F.broadcast(spots), keys, "left_semi")
+        first = Window.partitionBy(*keys).orderBy(task.taxi)
+        crowded = crowded.withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= task.k).drop("_at")
+        return rows.join(F.broadcast(spots), keys, "left_anti").unionByName(crowded)
+
+    def placed(self, rows: DataFrame, x: str, y: str) -> DataFrame:
+        """``rows`` with the part that their position is in; a group that isn't cut is part 0."""
+        if self.groups is None:
+            return rows.withColumn("_part", F.lit(0))
+        cuts = self.cuts
+        rows = rows.join(F.broadcast(self.groups), self.task.by, "left") if self.task.by else rows.withColumn("_group", F.lit(0))
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                group = batch.column("_group").fill_null(-1).to_numpy(zero_copy_only=False)
+                px, py = (batch.column(c).to_numpy(zero_copy_only=False) for c in (x, y))
+                part = np.zeros(len(group), np.int32)
+                for number in np.unique(group[group >= 0]):
+                    own = group == number
+                    part[own] = cuts[number].part(px[own], py[own])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part)], names=[*batch.schema.names, "_part"])
+
+        return rows.mapInArrow(place, rows.withColumn("_part", F.lit(0)).schema).drop("_group")
+
+    def reached(self, lists: DataFrame) -> DataFrame:
+        """A row for each further part that a client's list can hold taxis of, with the bound on its k-th distance."""
+        task, boxes = self.task, self.boxes
+        kth = F.coalesce(F.try_element_at("_best", F.lit(task.k))["dist"], F.lit(INF))
+        rows = lists.select(*task.who, "_px", "_py", "_part", kth.alias("_bound"))
+        rows = rows.join(F.broadcast(self.groups), task.by) if task.by else rows.withColumn("_group", F.lit(0))
+
+        def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, BATCH_ROWS):
+                    batch = whole.slice(at, BATCH_ROWS)
+                    group = batch.column("_group").to_numpy()
+                    px, py, bound = (batch.column(c).to_numpy() for c in ("_px", "_py", "_bound"))
+                    bound, home = bound.copy(), batch.column("_part").to_numpy()
+                    who, part = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+                    for number in np.unique(group):
+                        own, box = np.flatnonzero(group == number), boxes[number]
+                        spots = (px[own, None], py[own, None], *box[:, 1:5].T)
+                        low, high = near(*spots), far(*spots)
+                        # the closest boxes that hold k taxis together bound the k-th distance
+                        order = np.argsort(high, axis=1)
+                        held = np.cumsum(box[order, 5], axis=1) >= task.k
+                        reached = np.take_along_axis(high, order, 1)[np.arange(len(own)), held.argmax(axis=1)]
+                        bound[own] = np.minimum(bound[own], np.where(held[:, -1], reached, INF))
+                        hits = (low <= bound[own, None]) & (low < task.radius) & (low < INF) & (box[:, 0] != home[own, None])
+                        rows_hit, parts_hit = np.nonzero(hits)
+                        who.append(own[rows_hit])
+                        part.append(box[parts_hit, 0].astype(np.int32))
+                    taken = pa.array(np.concatenate(who))
+                    columns = [batch.column(c).take(taken) for c in (*task.who, "_px", "_py")]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(part)), pa.array(bound).take(taken)],
+                                                     names=[*task.who, "_px", "_py", "_part", "_bound"])
+
+        return rows.mapInArrow(reach, rows.drop("_group").schema)
+
+
+def _meet(task: _Task, riders: DataFrame, taxis: DataFrame) -> DataFrame:
+    """``*who, _px, _py, _part, _best`` of every row of ``riders``: its nearest taxis of its part, up to its bound.
+
+    Both sides have a bounded number of rows in a meeting: parts with many clients are cut into pieces, and the taxis
+    of the part are copied to each.
     """
-    n_riders = riders.count()
-    ordinary = _state_of_position().isNull()
-    # clients without an ordinary position get cells that hold nothing, many of them to avoid a hot one
-    nowhere = F.pmod(F.xxhash64(task.client), F.lit(1 << 20)) + F.lit(int(EDGE) * 2)
-    cells = {c: F.when(ordinary, at).otherwise(nowhere) for c, at in tree.cells("_px", "_py", tree.first).items()}
-    riders = riders.withColumns(cells)
-    near = None
-    if tree.size > 8 * n_riders:
-        near = around(riders.select(*task.cell).distinct()).distinct()
-    looks = skew_join(riders, tree.blocks(near), task.cell, [task.client], "left", task.piece,
-                      check=n_riders > task.piece)
-
-    here = (F.col("_px"), F.col("_py"))
-
-    def hit(taxi: Column) -> Column:
-        return F.struct(distance(*here, taxi["_x"], taxi["_y"]).alias("dist"), taxi[task.taxi].alias(task.taxi))
-
-    def node(crowd: Column) -> Column:
-        box = [crowd[c] for c in BOX]
-        return F.struct(box_near(*here, *box).alias("_lo"), box_far(*here, *box).alias("_hi"))
-
-    hits = F.slice(F.sort_array(F.transform("_held", hit)), 1, task.k)
-    looks = looks.withColumn("_best", hits).drop("_held")
-    kth = F.when(F.size("_best") >= task.k, F.try_element_at("_best", F.lit(task.k))["dist"])
-    open_nodes = F.lit(False)
-    if tree.crowded is not None:
-        # a crowded cell alone has k taxis, none of them beyond its farthest spot
-        looks = looks.withColumn("_nodes", F.transform("_crowds", node))
-        kth = F.least(kth, F.array_min(F.transform("_nodes", lambda n: n["_hi"])))
-        reach = F.lit(float("inf")) if task.radius is None else F.lit(task.radius)
-        within_reach = F.exists("_nodes", lambda n: (n["_lo"] <= F.col("_bound")) & (n["_lo"] <= reach))
-        open_nodes = F.coalesce(within_reach, F.lit(False))
-    looks = looks.withColumn("_bound", F.least(F.col("_bound"), kth))
-    if task.radius is not None:
-        looks = looks.withColumn("_best", F.filter("_best", lambda h: h["dist"] < F.lit(task.radius)))
-
-    # distance up to which the block has everything; outermost cells have no rim to rely on
-    side = F.lit(2.0**tree.first)
-    rim = F.least(F.col("_px") - (F.col("_cx") - 1) * side, (F.col("_cx") + 2) * side - F.col("_px"),
-                  F.col("_py") - (F.col("_cy") - 1) * side, (F.col("_cy") + 2) * side - F.col("_py"))
-    edge = F.lit(int(tree.outermost / 2.0**tree.first))
-    inner = (F.abs("_cx") < edge) & (F.abs("_cy") < edge)
-    looks = looks.withColumn("_rim", F.when(inner, F.sqrt(rim * rim)).otherwise(F.lit(0.0)))
-    state = F.when(open_nodes, F.lit(OPEN)).otherwise(_state_of_list(task, tree))
-    looks = looks.withColumn("_state", F.coalesce(_state_of_position(), state))
-    best = F.when(F.col("_state").isin(DONE, OPEN), F.col("_best")).alias("_best")
-    return looks.select(*task.who, "_px", "_py", "_state", "_bound", "_rim", best)
-
-
-def _state_of_list(task: _Task, tree: _Tree) -> Column:
-    """Whether something beyond the rim can be in the list (a taxi right on it could win a tie), and how far to look."""
-    settled = F.coalesce(F.col("_bound") < F.col("_rim"), F.lit(False))
-    if task.radius is not None:
-        settled = settled | (F.lit(task.radius) <= F.col("_rim"))
-    wide = (F.col("_rim") > 0) & (F.col("_bound") < F.lit(RINGS * 2.0**tree.first))
-    return F.when(settled, F.lit(DONE)).when(wide, F.lit(WIDE)).otherwise(F.lit(CLIMB))
-
-
-def _counted(looked: DataFrame) -> dict[int, int]:
-    """Number of clients per state."""
-    return {row["_state"]: row["n"] for row in looked.groupBy("_state").agg(F.count("*").alias("n")).collect()}
-
-
-def _measured(task: _Task, pairs: DataFrame) -> DataFrame:
-    """Add closest and farthest distance of the entry and drop those outside the radius."""
-    spots = [F.col(c) for c in ("_px", "_py", *BOX)]
-    pairs = pairs.withColumns({"_lo": box_near(*spots), "_hi": box_far(*spots)})
-    return pairs if task.radius is None else pairs.where(F.col("_lo") < F.lit(task.radius))
-
-
-def _pruned(task: _Task, entries: DataFrame) -> DataFrame:
-    """The entries that can still matter, per client, after tightening the bound on its k-th distance (``_bound``)."""
-    is_taxi = F.col(task.taxi).isNotNull()
-    group = Window.partitionBy(task.client, *task.by)
-    in_order = group.orderBy("_hi", ~is_taxi, task.taxi).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = entries.withColumn("_count", F.sum("_n").over(in_order))
-    reached = F.min(F.when(F.col("_count") >= task.k, F.col("_hi"))).over(group)
-    bounded = counted.withColumn("_bound", F.least(reached, F.col("_bound")))
-    near = F.col("_bound").isNull() | (F.col("_lo") <= F.col("_bound"))
-    kept = bounded.where(F.when(is_taxi, F.col("_count") <= task.k).otherwise(near))
-    return kept.select(*_frontier_columns(task))
-
-
-def _go_on(
-    task: _Task, looked: DataFrame, states: dict[int, int], tree: _Tree, odd: DataFrame | None = None
-) -> list[DataFrame]:
-    """Candidates ``(who, taxi, dist)`` for the clients the look did not finish; the best k of each are its list."""
-    lists, riders = [], []
-    who = [*task.who, "_px", "_py", "_bound"]
-    if states.keys() & {WIDE, CLIMB}:
-        found = _find(task, looked, states, tree, tree.crowded is not None, odd)
-        lists.append(_taxis_of(task, found))
-        if tree.crowded is not None:
-            riders.append(found.where(F.col(task.taxi).isNull()).select(*who).distinct())
-    near = looked.where(F.col("_state") == OPEN)
-    if OPEN in states:
-        riders.append(near.select(*who))
-    if tree.crowded is None or not riders:
-        return lists
-    riders = stage(reduce(DataFrame.unionByName, riders), "clients")
-    if riders.isEmpty():
-        return lists
-    crowd = tree.crowd()
-    inner, inner_states = _look(task, riders, crowd, True)
-    in_crowd = _go_on(task, inner, inner_states, crowd)
-    if DONE in inner_states:
-        in_crowd.append(_best_of(task, inner.where(F.col("_state") == DONE)))
-    lists += in_crowd
-    if OPEN in states:
-        # with the crowds looked through, is the rest of the block still enough?
-        known = merge_lists(reduce(DataFrame.unionByName, [*in_crowd, _best_of(task, near)]), k=task.k, by=task.by,
-                            client_id=task.client, taxi_id=task.taxi)
-        kth = known.where(F.col("rk") == task.k).select(*task.who, F.col("dist").alias("_kth"))
-        near = near.drop("_bound").join(kth, task.who, "left").withColumnRenamed("_kth", "_bound")
-        near = stage(near.withColumn("_state", _state_of_list(task, tree)), "near")
-        states = _counted(near)
-        lists.append(_best_of(task, near.where(F.col("_state") == DONE)))
-        if states.keys() & {WIDE, CLIMB}:
-            lists.append(_taxis_of(task, _find(task, near, states, tree, False)))
-    return lists
-
-
-def _best_of(task: _Task, looked: DataFrame) -> DataFrame:
-    return looked.select(*task.who, F.inline("_best")).select(*task.who, task.taxi, "dist")
-
-
-def _taxis_of(task: _Task, found: DataFrame) -> DataFrame:
-    return found.where(F.col(task.taxi).isNotNull()).select(*task.who, task.taxi, F.col("_hi").alias("dist"))
-
-
-def _find(
-    task: _Task, looked: DataFrame, states: dict[int, int], tree: _Tree, crowds: bool, odd: DataFrame | None = None
-) -> DataFrame:
-    """Taxis and, with ``crowds``, crowded cells near clients for which the block was not enough."""
-    parts, who = [], ["_root", *task.who, "_px", "_py", "_bound"]
-    if WIDE in states:
-        wide = looked.where(F.col("_state") == WIDE).select(*who)
-        parts.append(_second_look(task, wide, tree, crowds, states[WIDE] > task.piece))
-    if CLIMB in states:
-        climbing = looked.where(F.col("_state") == CLIMB).select(*who)
-        parts.append(_descend(task, climbing, tree, crowds, states[CLIMB] > task.piece, odd))
-    found = reduce(DataFrame.unionByName, parts)
-    # read more than once, unless this is the last step
-    return stage(found, "found") if crowds or tree.depth else found
-
-
-def _second_look(task: _Task, riders: DataFrame, tree: _Tree, crowds: bool, check: bool) -> DataFrame:
-    """Look at all cells that reach into the circle within which the list is known to lie."""
-    side = 2.0**tree.first
-    steps = F.sequence(F.lit(-RINGS).cast("long"), F.lit(RINGS).cast("long"))
-    cells = riders.withColumns(tree.cells("_px", "_py", tree.first))
-    for c in CELL:
-        cells = cells.withColumn("_step", F.explode(steps)).withColumn(c, F.col(c) + F.col("_step")).drop("_step")
-    box = [(F.col(c) + i) * F.lit(side) for c in CELL for i in (0, 1)]
-    cells = cells.where(box_near(F.col("_px"), F.col("_py"), *box) <= F.col("_bound"))
-    held = tree.contents()
-    if crowds:
-        held = held.unionByName(tree.as_content(tree.node_entries(tree.crowded)))
-    pairs = _measured(task, _below(task, cells, held, check=check))
-    return _pruned(task, pairs)
-
-
-def _descend(
-    task: _Task, riders: DataFrame, tree: _Tree, crowds: bool, check: bool, odd: DataFrame | None = None
-) -> DataFrame:
-    """Go down from the top of the tree, one level per join. ``check`` says that a node may have too many clients."""
-    top, *levels = tree.upper_levels(crowds)
-    entries = _measured(task, _join_few(task, riders, tree.node_entries(top)))
-    for nodes in levels:
-        entries = _measured(task, _below(task, _pruned(task, entries), tree.children(nodes), check=check))
-    entries = entries.select(*_frontier_columns(task))
-    if odd is not None and task.radius is None:
-        others = _measured(task, _join_few(task, riders, odd))
-        entries = entries.unionByName(others.select(*_frontier_columns(task)))
-    # read twice, and its real size decides between a broadcast and a shuffle of the taxis
-    frontier = stage(_pruned(task, entries), "frontier")
-    final = F.col(task.taxi).isNotNull()
-    if crowds:
-        final = final | (F.col("_n") > task.leaf)
-    nodes = frontier.where(~final)
-    pairs = _below(task, nodes, tree.contents(), check=nodes.count() > task.piece)
-    pairs = _measured(task, pairs).select(*_frontier_columns(task))
-    return _pruned(task, pairs.unionByName(frontier.where(final)))
-
-
-def _join_few(task: _Task, riders: DataFrame, few: DataFrame) -> DataFrame:
-    """Give every client the few rows of its group: at most some dozen by construction, hence the broadcast.
-
-    Only with very many groups their number can be large; then the groups spread the rows, and a group with many
-    clients is cut into pieces.
-    """
-    keys = ["_root", *task.by]
-    if few.count() <= FEW_ROWS:
-        return riders.join(F.broadcast(few), keys)
-    return skew_join(riders, few, keys, [task.client], limit=task.piece)
-
-
-def _frontier_columns(task: _Task) -> list[str]:
-    return [*task.who, "_px", "_py", "_bound", task.taxi, "_n", "_lo", "_hi", *CELL]
-
-
-def _below(task: _Task, nodes: DataFrame, content: DataFrame, check: bool = False) -> DataFrame:
-    """The nodes of every client replaced by what they hold."""
-    nodes = nodes.select(*task.who, "_px", "_py", "_bound", *CELL)
-    pairs = skew_join(nodes, content, task.cell, [task.client], "inner", task.piece, check=check)
-    return pairs.drop(*CELL).withColumnsRenamed({f"_in{c}": c for c in CELL})
-
-
-def _odd_taxis(task: _Task, rows: DataFrame) -> DataFrame:
-    """The taxis at NaN that can fill up a list that is too short: the first k of each group."""
-    odd = rows.where(F.isnan("_x") | F.isnan("_y"))
-    if task.by:
-        first = Window.partitionBy(*task.by).orderBy(task.taxi)
-        odd = odd.withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= task.k)
+    counts = riders.groupBy(*task.key).agg(F.count("*").alias("_n"))
+    hot = hot_counts(counts, task.key, task.piece)
+    left, right = riders, taxis.select(*task.key, task.taxi, "_x", "_y")
+    if hot is None:
+        left, right = left.withColumn("_piece", F.lit(0)), right.withColumn("_piece", F.lit(0))
     else:
-        odd = odd.orderBy(task.taxi).limit(task.k)
-    boxes = {box: F.col(box[:2]) for box in BOX}
-    odd = odd.withColumns({**boxes, "_n": F.lit(1).cast("long"), "_root": F.lit(0)})
-    odd = odd.withColumns({c: F.lit(None).cast("long") for c in CELL})
-    return stage(odd.select("_root", *task.by, *CELL, "_n", *BOX, task.taxi), "odd")
-
-
-def _odd_clients(task: _Task, riders: DataFrame, rows: DataFrame) -> DataFrame:
-    """Candidates for clients at infinity or NaN.
-
-    Their distances depend only on whether a taxi coordinate is finite, infinite or NaN, so the first k taxis of each
-    of these kinds are all that can be listed.
+        # a fan is at most the number of clients by the size of a piece
+        fan = F.coalesce("_fan", F.lit(1))
+        piece = F.pmod(F.xxhash64(task.client, F.spark_partition_id()), fan).cast("int")
+        left = left.join(hot, task.key, "left").withColumn("_piece", piece).drop("_fan")
+        right = right.join(hot, task.key, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), fan - 1))).drop("_fan")
+    kind = taxis.schema[task.taxi].dataType
+    out = riders.select(*task.who, "_px", "_py", "_part").schema
+    hits = f"array<struct<dist:double,{task.taxi}:{kind.simpleString()}>>"
+    schema = riders.select(*task.who, "_px", "_py", "_part", F.lit(None).cast(hits).alias("_best")).schema
+    keys = [*task.key, "_piece"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_meeting(task, out.names), schema)
+
+
+def _meeting(task: _Task, names: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.take(pc.sort_indices(right[task.taxi])) if right.num_rows else right
+        px, py, bound = (left[c].to_numpy() for c in ("_px", "_py", "_bound"))
+        taxis = [right[c].to_numpy() for c in ("_x", "_y")]
+        found = np.zeros((len(px), 0))
+        if right.num_rows and len(px):
+            found, who = Leaves(*taxis, task.leaf).nearest(px, py, task.k, bound, task.radius)
+        held = found < INF
+        offsets = np.concatenate([[0], np.cumsum(held.sum(axis=1))]).astype(np.int32)
+        ids = right[task.taxi].combine_chunks()
+        ids = ids.take(pa.array(who[held])) if found.shape[1] else ids.slice(0, 0)
+        hits = pa.StructArray.from_arrays([pa.array(found[held]), ids], names=["dist", task.taxi])
+        best = pa.ListArray.from_arrays(pa.array(offsets), hits)
+        return pa.table([*(left[c] for c in names), best], names=[*names, "_best"])
+
+    return meet
+
+
+def _filled(task: _Task, lists: DataFrame, rows: DataFrame) -> DataFrame:
+    """Lists that are too short filled up with taxis at no finite distance.
+
+    Such a distance depends only on whether coordinates are finite, infinite or NaN, or is beyond the range of doubles;
+    the first k taxis of each kind are all that can be listed.
     """
 
     def kind(name: str) -> Column:
         value = F.col(name)
-        return F.when(F.isnan(value), 3).when(value == float("inf"), 2).when(value == -float("inf"), 1).otherwise(0)
+        return F.when(F.isnan(value), 3).when(value == INF, 2).when(value == -INF, 1).otherwise(0)
 
-    rows = rows.withColumns({"_kx": kind("_x"), "_ky": kind("_y")})
+    short = lists.where((F.size("_best") < task.k) & F.col("_px").isNotNull() & F.col("_py").isNotNull())
+    if short.isEmpty():
+        return lists
     first = Window.partitionBy(*task.by, "_kx", "_ky").orderBy(task.taxi)
-    rows = rows.withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= task.k)
-    rows = stage(rows.select(*task.by, task.taxi, "_x", "_y", F.lit(0).alias("_root")), "kinds")
+    kinds = rows.withColumns({"_kx": kind("_x"), "_ky": kind("_y")}).withColumn("_at", F.row_number().over(first))
+    kinds = stage(kinds.where(F.col("_at") <= task.k).withColumn("_root", F.lit(0)).select("_root", *task.by, task.taxi, "_x", "_y"), "kinds")
+    keys = ["_root", *task.by]
+    # 16 k rows per group at most: the side to copy, and the clients of a group are cut into pieces
+    short = short.withColumn("_root", F.lit(0)).drop("_best")
+    hot = hot_counts(short.groupBy(*keys).agg(F.count("*").alias("_n")), keys, task.piece)
     dist = distance(F.col("_px"), F.col("_py"), F.col("_x"), F.col("_y"))
-    pairs = _join_few(task, riders.select("_root", *task.who, "_px", "_py"), rows).withColumn("dist", dist)
-    if task.radius is not None:
-        pairs = pairs.where(F.col("dist") < F.lit(task.radius))
-    return pairs.select(*task.who, task.taxi, "dist")
+    pairs = fragment_join(short, kinds, keys, [task.client], [], hot, None).withColumn("dist", dist)
+    pairs = pairs.where(~(F.abs("dist") < F.lit(INF))).select(*task.who, F.array(F.struct("dist", task.taxi)).alias("_best"))
+    return _with_more(task, lists, pairs)

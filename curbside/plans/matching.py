@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from curbside.functions.grid import Grid
 from curbside.operators.movement import with_cell
-from curbside.operators.neighbours import nearest
+from curbside.operators.neighbours import merge_lists, nearest
+from curbside.operators.radius import near_groups
+from curbside.session import stage
 
 # fixed values: list length, number of taxi parts, search radius
 K = 4
@@ -41,6 +43,13 @@ def part_lists(
     return nearest(every_part, taxis, k=k, by=("part",), keep_empty=True, copy_inputs=copy_inputs)
 
 
+def merged_parts(
+    clients: DataFrame, taxis: DataFrame, *, k: int = K, parts: int = PARTS, copy_inputs: bool = True
+) -> DataFrame:
+    """``client_id, taxi_id, rk, dist``: the lists of all parts merged to one list per client."""
+    return merge_lists(part_lists(clients, taxis, k=k, parts=parts, copy_inputs=copy_inputs), k=k, keep_empty=True)
+
+
 def match_parts(clients: DataFrame, taxis: DataFrame, *, k: int = K, copy_inputs: bool = True) -> DataFrame:
     """``client_id, taxi_id, rk, dist`` as merged from the lists of the parts; a client without taxis has one row.
 
@@ -55,10 +64,15 @@ def match_cells(
 ) -> DataFrame:
     """``cell, client_id, taxi_id, rk, dist``: a list per client and cell, the overflow cell left out.
 
-    A client without a taxi within ``max_distance`` in a cell is one row of NULLs there.
+    A client without a taxi within ``max_distance`` in a cell is one row of NULLs there. Only clients near taxis of a
+    cell search it; the empty pairs, which are rows of the result but no work, are added at the end.
     """
-    every_cell = clients.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(grid.overflow - 1))))
-    inside = with_cell(taxis, grid, compat=compat).where(F.col("cell") < grid.overflow)
-    # most clients are far from most cells, so the block around them has nothing to offer
-    return nearest(every_cell, inside, k=k, max_distance=max_distance, by=("cell",), keep_empty=True, first_look=False,
-                   copy_inputs=copy_inputs)
+    inside = with_cell(taxis, grid, compat=compat).where(F.col("cell") < grid.overflow).select("cell", "taxi_id", "lon", "lat")
+    if copy_inputs:
+        clients, inside = stage(clients.select("client_id", "lon", "lat"), "clients"), stage(inside, "taxis")
+    searching = stage(near_groups(clients, inside, max_distance, "cell"), "searching")
+    found = stage(nearest(searching, inside, k=k, max_distance=max_distance, by=("cell",), copy_inputs=False), "found")
+    every = clients.select("client_id", F.explode(F.sequence(F.lit(0), F.lit(grid.overflow - 1))).alias("cell"))
+    empty = every.join(found.select("client_id", "cell").distinct(), ["client_id", "cell"], "left_anti")
+    nobody = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("taxi_id", "rk", "dist")]
+    return found.unionByName(empty.select("cell", "client_id", *nobody))

@@ -168,6 +168,8 @@ ORACLES = {
     "knn_broadcast": TABLES + _pairs() + "select c.client_id, r.taxi_id, r.rk, r.dist from clients c "
                                          "left join ranked r on r.client_id = c.client_id and r.rk <= 4",
     "knn_partial": TABLES + PART_LISTS,
+    "knn_merged": TABLES + _pairs() + "select c.client_id, r.taxi_id, r.rk, r.dist from clients c "
+                                      "left join ranked r on r.client_id = c.client_id and r.rk <= 4",
     "knn_per_cell": TABLES + CELL_LISTS,
     "knn_global": TABLES + _pairs(where="where dist < cast(0.5 as double)") + LIST,
     "knn_grid": TABLES + _pairs() + LIST,

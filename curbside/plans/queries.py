@@ -13,7 +13,7 @@ from curbside.operators.neighbours import nearest
 from curbside.operators.spread import skew_join
 from curbside.operators.state import latest
 from curbside.operators.radius import within
-from curbside.plans.matching import match_all, match_cells, match_parts, part_lists
+from curbside.plans.matching import match_all, match_cells, match_parts, merged_parts, part_lists
 from curbside.session import new_folder, tune
 from curbside.sources import tables as S
 from curbside.sources.feeds import read_feed, stream_feed
@@ -113,6 +113,11 @@ def knn_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_lists(S.clients(spark, sf_dir), S.taxis(spark, sf_dir)).select("client_id", "part", "taxi_id", "rk")
 
 
+def knn_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lists of the parts of ``knn_partial``, merged to one list per client."""
+    return merged_parts(S.clients(spark, sf_dir), S.taxis(spark, sf_dir)).select(*MATCH)
+
+
 def knn_per_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_cells(S.clients(spark, sf_dir), S.taxis(spark, sf_dir)).select("cell", *MATCH)
 
@@ -133,11 +138,11 @@ def knn_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def knn_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Most taxis in a small area or on few spots, clients there and far away."""
-    return nearest(S.crowded_riders(spark, sf_dir), S.crowded_fleet(spark, sf_dir)).select(*MATCH)
+    return nearest(S.crowded_riders(spark, sf_dir), S.crowded_fleet(spark, sf_dir), copy_inputs=False).select(*MATCH)
 
 
 def knn_within_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest(S.crowded_riders(spark, sf_dir), S.crowded_fleet(spark, sf_dir), max_distance=CLOSE).select(*MATCH)
+    return nearest(S.crowded_riders(spark, sf_dir), S.crowded_fleet(spark, sf_dir), max_distance=CLOSE, copy_inputs=False).select(*MATCH)
 
 
 def radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,7 +272,7 @@ QUERIES = {
     "latest_taxi": latest_taxi, "latest_client": latest_client,
     "distance": distance_to_last, "normalize_lon": normalized_lon,
     "grid_cell": grid_cell, "grid_cell_compat": grid_cell_compat, "grid_centers": grid_centers,
-    "knn_cross": knn_cross, "knn_broadcast": knn_broadcast, "knn_partial": knn_partial,
+    "knn_cross": knn_cross, "knn_broadcast": knn_broadcast, "knn_partial": knn_partial, "knn_merged": knn_merged,
     "knn_per_cell": knn_per_cell, "knn_global": knn_global, "knn_grid": knn_grid, "knn_fleet": knn_fleet,
     "knn_clustered": knn_clustered, "knn_within_clustered": knn_within_clustered,
     "radius_join": radius_join, "knn_within": knn_within,
