@@ -13,6 +13,7 @@ ever held in one place. Slices overlap by three words, which count in one of the
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -90,14 +91,14 @@ class Slice:
         known = len(self.index)
         self.parts.append(np.fromiter(map(self.index.__getitem__, words), np.int32, len(words)))
         self.size += len(words)
-        if len(self.index) > known:
-            self.bytes += sum(map(len, words)) if len(words) < 1000 else 8 * (len(self.index) - known) + max(map(len, words))
+        self.bytes += sum(map(len, itertools.islice(self.index, known, None)))
 
     def full(self, sizes: Sizes) -> bool:
         return self.size >= sizes.words or self.bytes >= sizes.word_bytes
 
     def row(self, number: int, lang: str, tail: int) -> tuple[dict, list[bytes]]:
         """The slice as a row, its last ``tail`` words being counted in the next one, and these words."""
+        self.index.default_factory = None  # a reference to the dictionary itself, which would outlive the slice
         ids, words = np.concatenate(self.parts), list(self.index)
         tail = min(tail, len(ids) - 1)
         counts = np.bincount(ids[:len(ids) - tail], minlength=len(words))
