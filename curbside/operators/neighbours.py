@@ -224,13 +224,17 @@ def nearest(
                  max(leaf_rows, 2 * k), max(part_rows, 2 * k), piece_rows)
 
     riders = clients.select(*task.who, F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py"))
-    riders = stage(riders, "clients") if copy_inputs else riders
     rows = taxis.select(*task.by, taxi_id, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     rows = rows.where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
     for name in task.by:
         rows = rows.where(F.col(name).isNotNull())
-    rows = stage(rows, "taxis") if copy_inputs else rows
-
+    hits = (F.posexplode_outer if keep_empty else F.posexplode)("_best").alias("_at", "_hit")
+    out = [*task.who, f"_hit.{taxi_id}", (F.col("_at") + 1).alias("rk"), "_hit.dist"]
+    few = rows.limit(task.part + 1).toArrow()
+    if few.num_rows <= task.part:
+        return _among_few(task, riders, few, rows.schema[taxi_id].dataType.simpleString()).select(*task.who, hits).select(*out)
+    if copy_inputs:
+        riders, rows = stage(riders, "clients"), stage(rows, "taxis")
     parts = _Parts(task, rows)
     ordinary = F.coalesce(_finite("_px") & _finite("_py"), F.lit(False))
     lists = _meet(task, parts.placed(riders.where(ordinary), "_px", "_py").withColumn("_bound", F.lit(INF)), parts.rows)
@@ -242,8 +246,74 @@ def nearest(
     lists = lists.select(*task.who, "_px", "_py", "_best").unionByName(riders.where(~ordinary).select(*task.who, "_px", "_py", nothing))
     if max_distance is None:
         lists = _filled(task, stage(lists, "lists"), rows)
-    hits = (F.posexplode_outer if keep_empty else F.posexplode)("_best").alias("_at", "_hit")
-    return lists.select(*task.who, hits).select(*task.who, f"_hit.{taxi_id}", (F.col("_at") + 1).alias("rk"), "_hit.dist")
+    return lists.select(*task.who, hits).select(*out)
+
+
+def _best_type(task: _Task, kind: str) -> str:
+    return f"array<struct<dist:double,`{task.taxi}`:{kind}>>"
+
+
+def _as_lists(task: _Task, dist: np.ndarray, who: np.ndarray, held: np.ndarray, ids: pa.Array) -> pa.Array:
+    """Lists of ``dist`` and taxi; ``held`` marks the places of a client's row that are used, the first ones."""
+    offsets = np.concatenate([[0], np.cumsum(held.sum(axis=1))]).astype(np.int32)
+    taken = ids.take(pa.array(who[held])) if held.any() else ids.slice(0, 0)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(dist[held]), taken], names=["dist", task.taxi]))
+
+
+def _among_few(task: _Task, riders: DataFrame, few: pa.Table, kind: str) -> DataFrame:
+    """``*who, _best`` of all clients, for taxis that fit in one part: they travel with the code, nothing is shuffled."""
+    few = few.take(pc.sort_indices(few[task.taxi])) if few.num_rows else few
+    ids = few[task.taxi].combine_chunks()
+    x, y = (few[c].to_numpy() for c in ("_x", "_y"))
+    keys = list(zip(*(few[c].to_pylist() for c in task.by))) if task.by else [()] * len(x)
+    groups: dict[tuple, list[int]] = {}
+    for row, key in enumerate(keys):
+        groups.setdefault(key, []).append(row)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # every taxi of a group may fill up a list, only those at finite positions are worth a search
+        held = {key: np.array(rows) for key, rows in groups.items()}
+        trees = {key: (rows[ok], Leaves(x[rows[ok]], y[rows[ok]], task.leaf) if ok.any() else None)
+                 for key, rows in held.items() for ok in [np.isfinite(x[rows]) & np.isfinite(y[rows])]}
+        for batch in batches:
+            px, py = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("_px", "_py"))
+            present = ~(np.array(batch.column("_px").is_null()) | np.array(batch.column("_py").is_null()))
+            own = list(zip(*(batch.column(c).to_pylist() for c in task.by))) if task.by else None
+            dist, who = np.full((len(px), task.k), INF), np.full((len(px), task.k), -1)
+            clients_of: dict[tuple, list[int]] = {}
+            if own is None:
+                clients_of[()] = np.flatnonzero(present)
+            else:
+                for row in np.flatnonzero(present).tolist():
+                    clients_of.setdefault(own[row], []).append(row)
+            for key, clients in clients_of.items():
+                if key not in trees:
+                    continue
+                clients = np.asarray(clients)
+                rows, tree = trees[key]
+                near_ones = clients[np.isfinite(px[clients]) & np.isfinite(py[clients])]
+                if tree is not None and len(near_ones):
+                    found, places = tree.nearest(px[near_ones], py[near_ones], task.k, np.full(len(near_ones), INF), task.radius)
+                    dist[near_ones], who[near_ones] = found, np.where(found < INF, rows[np.minimum(places, len(rows) - 1)], -1)
+                short = clients[(who[clients] < 0).any(axis=1)]
+                if task.radius == INF and len(short):
+                    _complete(task, dist, who, short, px, py, held[key], x, y)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in task.who), _as_lists(task, dist, who, who >= 0, ids)], names=[*task.who, "_best"])
+
+    hits = _best_type(task, kind)
+    return riders.mapInArrow(search, riders.select(*task.who, F.lit(None).cast(hits).alias("_best")).schema)
+
+
+def _complete(task: _Task, dist, who, short, px, py, rows, x, y) -> None:
+    """Lists that are too short, made of all taxis of the group: those at no finite distance come last, NaN after all."""
+    for at in range(0, len(short), BATCH_ROWS):
+        clients = short[at:at + BATCH_ROWS]
+        with np.errstate(invalid="ignore", over="ignore"):
+            dx, dy = x[rows] - px[clients, None], y[rows] - py[clients, None]
+            every = np.sqrt(dx * dx + dy * dy)
+        order = np.argsort(every, axis=1, kind="stable")[:, :task.k]  # NaN sorts last, equal ones by id
+        dist[clients, :order.shape[1]] = np.take_along_axis(every, order, 1)
+        who[clients, :order.shape[1]] = rows[order]
 
 
 def _with_more(task: _Task, lists: DataFrame, more: DataFrame) -> DataFrame:
@@ -410,7 +480,7 @@ def _meet(task: _Task, riders: DataFrame, taxis: DataFrame) -> DataFrame:
         right = right.join(hot, task.key, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), fan - 1))).drop("_fan")
     kind = taxis.schema[task.taxi].dataType
     out = riders.select(*task.who, "_px", "_py", "_part").schema
-    hits = f"array<struct<dist:double,{task.taxi}:{kind.simpleString()}>>"
+    hits = _best_type(task, kind.simpleString())
     schema = riders.select(*task.who, "_px", "_py", "_part", F.lit(None).cast(hits).alias("_best")).schema
     keys = [*task.key, "_piece"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_meeting(task, out.names), schema)
@@ -421,15 +491,10 @@ def _meeting(task: _Task, names: list[str]) -> Callable[[pa.Table, pa.Table], pa
         right = right.take(pc.sort_indices(right[task.taxi])) if right.num_rows else right
         px, py, bound = (left[c].to_numpy() for c in ("_px", "_py", "_bound"))
         taxis = [right[c].to_numpy() for c in ("_x", "_y")]
-        found = np.zeros((len(px), 0))
+        found = who = np.zeros((len(px), 0))
         if right.num_rows and len(px):
             found, who = Leaves(*taxis, task.leaf).nearest(px, py, task.k, bound, task.radius)
-        held = found < INF
-        offsets = np.concatenate([[0], np.cumsum(held.sum(axis=1))]).astype(np.int32)
-        ids = right[task.taxi].combine_chunks()
-        ids = ids.take(pa.array(who[held])) if found.shape[1] else ids.slice(0, 0)
-        hits = pa.StructArray.from_arrays([pa.array(found[held]), ids], names=["dist", task.taxi])
-        best = pa.ListArray.from_arrays(pa.array(offsets), hits)
+        best = _as_lists(task, found, who, found < INF, right[task.taxi].combine_chunks())
         return pa.table([*(left[c] for c in names), best], names=[*names, "_best"])
 
     return meet
