@@ -158,7 +158,15 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(text: Column, found: Column, mark: str = "[secret]") -> Column:
-    """``text`` with every span, or run of spans that overlap, replaced by ``mark``."""
+    """``text`` with every span, or run of spans that overlap, replaced by ``mark``.
+
+    Of an assignment only the value goes: its name and both quotes stay.
+    """
+
+    def secret(span: Column) -> Column:
+        # the value ends where the match does
+        start = F.when(span["kind_no"] == 0, span["end"] - F.length(span["value"])).otherwise(span["start"])
+        return F.struct(start.alias("start"), span["end"].alias("end"))
 
     def cut(state: Column, span: Column) -> Column:
         fresh = span["start"] >= state["at"]
@@ -166,7 +174,7 @@ def redact(text: Column, found: Column, mark: str = "[secret]") -> Column:
         return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.when(fresh, kept).otherwise(state["out"]).alias("out"))
 
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    rest = F.aggregate(found, start, cut, lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
+    rest = F.aggregate(F.array_sort(F.transform(found, secret)), start, cut, lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
     return F.when(F.size(found) > 0, rest).otherwise(text)
 
 

@@ -261,7 +261,8 @@ def test_pipeline_stages(spark, edges, tables, tmp_path):
     leaked = set(second) - set(third)
     wanted = decontaminate.leaks(docs.select("doc_id", "text"), tables("benchmark")).select("doc_id").distinct()
     assert 10**6 in leaked and leaked == {r.doc_id for r in wanted.collect()} & set(second)
-    assert set(fourth) == set(third) and fourth[10**6 + 1].text == "the end [secret] of the story" and fourth[10**6 + 1].n_chars == len(fourth[10**6 + 1].text)
+    # the value alone is a secret: what it is called stays, and so do both quotes, where the whole match has just the first
+    assert set(fourth) == set(third) and fourth[10**6 + 1].text == 'the end token = "[secret]" of the story' and fourth[10**6 + 1].n_chars == len(fourth[10**6 + 1].text)
     changed = {d for d in fourth if fourth[d].text != third[d].text}
     assert all("[secret]" in fourth[d].text for d in changed) and 0 < len(changed) < 0.1 * len(fourth)
     packed = steps["best-fit packing"](spark, now, str(tmp_path)).toPandas()
