@@ -192,4 +192,6 @@ ORACLES = {
     "stream_transitions": TABLES + MOVES + "select taxi_id, seq, prev, cell from moves where prev <> cell",
     "stream_deltas": TABLES + MOVES + DELTAS,
     "stream_cell_members": TABLES + MOVES + LAST_CELL,
+    "stream_member_changes": TABLES + MOVES + LAST_CELL,
+    "stream_knn_incremental": TABLES + _pairs() + LIST,
 }

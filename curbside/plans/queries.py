@@ -18,6 +18,8 @@ from curbside.session import new_folder, tune
 from curbside.sources import tables as S
 from curbside.sources.feeds import read_feed, stream_feed
 from curbside.streaming import jobs
+from curbside.streaming.incremental import current_matches, start_incremental
+from curbside.streaming.members import fold_members
 from curbside.streaming.sinks import all_batches, last_batch
 
 GRID = Grid()
@@ -242,6 +244,20 @@ def stream_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_batch(spark, f"{out}/matches").select(*MATCH)
 
 
+def stream_knn_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lists as kept up to date by circles, without matching all clients anew."""
+    out = new_folder(spark, "out")
+    _finish(start_incremental(*streams(spark, sf_dir), out, new_folder(spark, "log")))
+    return current_matches(spark, out).select(*MATCH)
+
+
+def stream_member_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who came into cells and left them, folded to the members of all cells."""
+    out = new_folder(spark, "out")
+    _finish(jobs.start_member_changes(_taxi_stream(spark, sf_dir), GRID, out, new_folder(spark, "log"), trigger=None))
+    return fold_members(all_batches(spark, out))
+
+
 def stream_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_folder(spark, "out")
     _finish(jobs.start_transitions(_taxi_stream(spark, sf_dir), GRID, out, new_folder(spark, "log"), trigger=None))
@@ -281,6 +297,7 @@ QUERIES = {
     "stream_latest": stream_latest, "stream_changes": stream_changes, "stream_knn": stream_knn,
     "stream_transitions": stream_transitions,
     "stream_deltas": stream_deltas, "stream_cell_members": stream_cell_members,
+    "stream_knn_incremental": stream_knn_incremental, "stream_member_changes": stream_member_changes,
 }
 
 

@@ -18,25 +18,30 @@ from curbside.operators.movement import with_cell
 from curbside.plans.matching import match
 from curbside.session import scratch_scope
 from curbside.streaming.current import current_table, split, tagged
+from curbside.streaming.members import BUCKETS, member_changes
 from curbside.streaming.movement import follow_cells
-from curbside.streaming.sinks import batch_path, drop_batches, write_batches
+from curbside.streaming.sinks import commit, drop_batches, write_batches
 
 # fixed value: the default micro-batch interval
 INTERVAL = "2 seconds"
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 
 
 @contextlib.contextmanager
 def rocksdb(spark: SparkSession):
-    """Queries started inside keep their state in RocksDB: off the heap, uploaded to the checkpoint folder."""
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    """Queries started inside keep their state in RocksDB: off the heap, its changes uploaded to the checkpoint folder."""
+    wanted = {_PROVIDER: _ROCKSDB, _CHANGELOG: "true"}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def start_matching(
@@ -52,14 +57,12 @@ def start_matching(
 
     def run(current: DataFrame, batch_id: int) -> None:
         spark = current.sparkSession
-        state = batch_path(f"{out}/state", batch_id)
         # written once and read back: the strategies read the tables several times
-        current.write.mode("overwrite").partitionBy("kind").parquet(state)
+        state = commit(current, f"{out}/state", batch_id)
         with scratch_scope(spark):
             table = spark.read.schema(current.schema).parquet(state)
             found = match(*split(table), method=method, copy_inputs=False, **options)
-            matches = batch_path(f"{out}/matches", batch_id)
-            found.write.mode("overwrite").parquet(matches)
+            matches = commit(found, f"{out}/matches", batch_id)
             if then:
                 then(spark.read.schema(found.schema).parquet(matches), batch_id)
         if keep:
@@ -71,7 +74,7 @@ def start_matching(
 
 def start_latest(
     rows: DataFrame, id_col: str, out: str, checkpoint: str, *, changes_only: bool = False,
-    trigger: str | None = INTERVAL,
+    trigger: str | None = INTERVAL, keep: int | None = None,
 ) -> StreamingQuery:
     """The whole current table of one feed (``id, lon, lat, seq``) with every micro-batch.
 
@@ -81,11 +84,12 @@ def start_latest(
     current = rows.groupBy(id_col).agg(
         F.max_by("lon", "seq").alias("lon"), F.max_by("lat", "seq").alias("lat"), F.max("seq").alias("seq")
     )
-    return _start(current, write_batches(out), checkpoint, "update" if changes_only else "complete", trigger)
+    return _start(current, write_batches(out, keep), checkpoint, "update" if changes_only else "complete", trigger)
 
 
 def start_cell_members(
-    pings: DataFrame, grid: Grid, out: str, checkpoint: str, *, compat: bool = True, trigger: str | None = INTERVAL
+    pings: DataFrame, grid: Grid, out: str, checkpoint: str, *, compat: bool = True, trigger: str | None = INTERVAL,
+    keep: int | None = None,
 ) -> StreamingQuery:
     """The members of every cell (``cell, taxi_id, seq``) with every micro-batch.
 
@@ -94,7 +98,16 @@ def start_cell_members(
     """
     cells = with_cell(pings, grid, compat=compat)
     members = cells.groupBy("taxi_id").agg(F.max_by("cell", "seq").alias("cell"), F.max("seq").alias("seq"))
-    return _start(members.select("cell", "taxi_id", "seq"), write_batches(out), checkpoint, "complete", trigger)
+    return _start(members.select("cell", "taxi_id", "seq"), write_batches(out, keep), checkpoint, "complete", trigger)
+
+
+def start_member_changes(
+    pings: DataFrame, grid: Grid, out: str, checkpoint: str, *, compat: bool = True, trigger: str | None = INTERVAL,
+    buckets: int = BUCKETS,
+) -> StreamingQuery:
+    """Who came into a cell or left it (``cell, taxi_id, seq, op``) with every micro-batch; see ``fold_members``."""
+    changes = member_changes(pings, grid, compat=compat, buckets=buckets)
+    return _start(changes, write_batches(out), checkpoint, "append", trigger)
 
 
 def start_transitions(

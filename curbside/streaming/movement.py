@@ -1,7 +1,7 @@
-"""Cell changes per micro-batch, by the batch operators and a table of last cells.
+"""Cell changes per micro-batch, by the batch operators and a ledger of last cells.
 
-Each micro-batch reads the last ``seq`` and cell of every taxi as the micro-batch before wrote them, puts them before
-its own pings, and writes them anew. A repeated micro-batch starts from the same table and so gives the same result.
+Each micro-batch looks up the last ``seq`` and cell of its taxis as the micro-batch before left them, puts them before its
+own pings, and adds what changed to the ledger. A repeated micro-batch finds the same and so gives the same result.
 """
 
 from __future__ import annotations
@@ -15,44 +15,47 @@ from curbside.functions.grid import Grid
 from curbside.operators.movement import as_deltas, with_cell
 from curbside.operators.state import ID_ROWS, with_previous
 from curbside.session import scratch_scope, stage
-from curbside.streaming.sinks import batch_path, drop_batches, finished_batches
+from curbside.streaming.ledger import COMPACT, Ledger
+from curbside.streaming.sinks import commit, drop_batches
 
 # side tables of a result folder; readers of the folder pass over names with an underscore
 LAST, LATE = "_last", "_late"
-LAST_SCHEMA = "taxi_id long, seq long, cell int"
+
+
+def last_cells(out: str, every: int = COMPACT) -> Ledger:
+    return Ledger(f"{out}/{LAST}", "taxi_id long, seq long, cell int", ("taxi_id",), every=every)
 
 
 def follow_cells(
-    grid: Grid, out: str, *, deltas: bool = False, compat: bool = True, keep: int | None = None, limit: int = ID_ROWS
+    grid: Grid, out: str, *, deltas: bool = False, compat: bool = True, keep: int | None = None, limit: int = ID_ROWS,
+    every: int = COMPACT,
 ) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function for pings ``taxi_id, seq, lon, lat``.
 
-    Writes the changes to ``out``, the last cells to ``out/_last`` and the pings that came too late to take part (older
+    Writes the changes to ``out``, the last cells of changed taxis to the ledger ``out/_last`` and the pings that came too late to take part (older
     than the last one of their taxi in an earlier micro-batch) to ``out/_late``. ``keep`` bounds the number of folders.
     """
 
+    ledger = last_cells(out, every)
+
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         with scratch_scope(spark):
-            before = [n for n in finished_batches(spark, f"{out}/{LAST}") if n < batch_id][-1:]
-            last = spark.createDataFrame([], LAST_SCHEMA)
-            if before:
-                last = spark.read.schema(LAST_SCHEMA).parquet(batch_path(f"{out}/{LAST}", before[0]))
             pings = stage(with_cell(batch, grid, compat=compat).select("taxi_id", "seq", "cell").distinct(), "pings")
-            known = last.select("taxi_id", F.col("seq").alias("_seq"))
+            seeds = stage(ledger.as_of(spark, batch_id - 1, pings.select("taxi_id").distinct()), "seeds")
+            known = seeds.select("taxi_id", F.col("seq").alias("_seq"))
             aged = stage(pings.join(known, "taxi_id", "left").withColumn("_late", F.coalesce(F.col("seq") <= F.col("_seq"), F.lit(False))), "aged")
             late = aged.where("_late and seq < _seq").select("taxi_id", "seq", "cell")
             fresh = aged.where("not _late").select("taxi_id", "seq", "cell")
-            # taxis that were not heard of take no part in the search for changes
-            seeds = last.join(fresh.select("taxi_id").distinct(), "taxi_id", "left_semi")
+            # taxis of which nothing new was heard take no part in the search for changes
+            seeds = seeds.join(fresh.select("taxi_id").distinct(), "taxi_id", "left_semi")
             moves = with_previous(fresh.unionByName(seeds), "taxi_id", "cell", limit=limit)
             moves = moves.join(seeds.select("taxi_id", "seq", F.lit(True).alias("_seed")), ["taxi_id", "seq"], "left").where("_seed is null")
             changes = as_deltas(moves, "taxi_id", "seq") if deltas else moves.where("prev <> cell").select("taxi_id", "seq", "prev", "cell")
-            now = last.unionByName(fresh).groupBy("taxi_id").agg(F.max("seq").alias("seq"), F.max_by("cell", "seq").alias("cell"))
-            changes.write.mode("overwrite").parquet(batch_path(out, batch_id))
-            late.write.mode("overwrite").parquet(batch_path(f"{out}/{LATE}", batch_id))
-            now.select("taxi_id", "seq", "cell").write.mode("overwrite").parquet(batch_path(f"{out}/{LAST}", batch_id))
-        drop_batches(spark, f"{out}/{LAST}", 2)
+            now = fresh.groupBy("taxi_id").agg(F.max("seq").alias("seq"), F.max_by("cell", "seq").alias("cell"))
+            commit(changes, out, batch_id)
+            commit(late, f"{out}/{LATE}", batch_id)
+            ledger.append(now, batch_id)
         if keep:
             drop_batches(spark, out, keep)
             drop_batches(spark, f"{out}/{LATE}", keep)

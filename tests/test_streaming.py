@@ -10,6 +10,7 @@ from curbside.plans import match
 from curbside.sources import stream_feed
 from curbside.streaming import all_batches, follow_cells, last_batch, print_batches
 from curbside.streaming import jobs
+from curbside.streaming.movement import last_cells
 from curbside.streaming.sinks import finished_batches
 
 GRID = Grid()
@@ -138,7 +139,8 @@ def test_one_taxi_with_most_pings_and_late_ones(spark, tmp_path, limit):
     run(table(spark, [parts[2], early], "taxi_id"), 2)
     assert got(all_batches(spark, out).select("taxi_id", "seq", "prev", "cell")) == got(transitions(table(spark, parts, "taxi_id"), GRID))
     assert got(all_batches(spark, out + "/_late").select("taxi_id", "seq")) == got(spark.createDataFrame([r[:2] for r in early], "taxi_id long, seq long"))
-    assert len(finished_batches(spark, out + "/_last")) == 2
+    last = last_cells(out).as_of(spark, 2)
+    assert got(last.select("cell", "taxi_id")) == got(cell_members(table(spark, parts, "taxi_id"), GRID))
 
 
 def test_files_older_than_a_week_are_read(spark, folders):
@@ -230,3 +232,128 @@ def test_scratch_tables_of_a_batch_go_away(spark, tmp_path):
         path = kept.inputFiles()[0].replace("file://", "")
         assert kept.count() == 3 and os.path.exists(path)
     assert not os.path.exists(path)
+
+
+def test_a_repeated_batch_is_replaced_at_once(spark, tmp_path):
+    """A run that ended before its manifest shows nothing; a repeated batch is never missing."""
+    import os
+
+    from curbside.streaming import commit
+    from curbside.streaming.sinks import MANIFESTS
+
+    out = str(tmp_path / "out")
+    first = commit(spark.range(3), out, 0)
+    spark.range(9).write.parquet(f"{out}/batch_id=1/run=lost")
+    assert finished_batches(spark, out) == [0] and all_batches(spark, out).count() == 3
+    before = last_batch(spark, out)
+    second = commit(spark.range(5), out, 0)
+    assert first != second and before.count() == 3 and last_batch(spark, out).count() == 5
+    assert not [n for n in os.listdir(f"{out}/{MANIFESTS}") if n.startswith(".0-")]
+
+
+def ledger_rows(spark, rows):
+    return spark.createDataFrame(rows, "id long, seq long, value string")
+
+
+def test_ledger(spark, tmp_path):
+    """What is written follows the changes; every earlier state can be read until it is too old; batches may repeat."""
+    from curbside.streaming import Ledger
+
+    rng = random.Random(8)
+    ledger = Ledger(str(tmp_path / "ledger"), "id long, seq long, value string", ("id",), every=3)
+    now, states = {}, []
+    assert ledger.as_of(spark, 5).collect() == []
+    for n in range(8):
+        rows = [(k, n * 10 - (3 if k == 2 else 0), f"{n}") for k in rng.sample(range(9), 3)]
+        for run in range(2 if n in (3, 4) else 1):
+            ledger.append(ledger_rows(spark, rows), n)
+            assert sorted(tuple(r) for r in ledger.changed(spark, n).collect()) == sorted(rows)
+        for k, seq, value in rows:
+            if k not in now or seq >= now[k][0]:
+                now[k] = (seq, value)
+        states.append(sorted((k, *v) for k, v in now.items()))
+        for back in (n, max(0, n - 1)):
+            assert sorted(tuple(r) for r in ledger.as_of(spark, back).collect()) == states[back]
+    some = spark.createDataFrame([(1,), (99,)], "id long")
+    assert [r.id for r in ledger.as_of(spark, 7, some).collect()] == [k for k in now if k == 1]
+    assert len(finished_batches(spark, ledger.path + "/changes")) <= 6 and len(finished_batches(spark, ledger.path + "/base")) <= 2
+
+
+@pytest.mark.parametrize("k, every", [(4, 10), (2, 2)])
+def test_incremental_matching(spark, tmp_path, k, every):
+    """After every micro-batch the lists are those of a new search; also with late messages, ties and a repeated batch."""
+    from brute import knn, same
+    from curbside.streaming import current_matches, follow_matches
+
+    rng, out, changed = random.Random(9), str(tmp_path / "out"), []
+    run = follow_matches(out, k=k, every=every, then=lambda rows, n: changed.append(rows.select("client_id").distinct().count()))
+    now = {"taxi": {}, "client": {}}
+    for n in range(6):
+        rows = []
+        if n == 1:  # clients before there are enough taxis
+            rows += [("taxi", 500, 1000, 0.5, 0.5)]
+        taxis = range(40) if n == 2 else rng.sample(range(45), 3) if n > 2 else []
+        rows += [("taxi", t, 2000 * n + t, rng.randint(0, 9) / 4, rng.randint(0, 9) / 4) for t in taxis]
+        clients = range(25) if n == 0 else rng.sample(range(30), 2)
+        rows += [("client", c, 2000 * n + c, rng.uniform(0, 2.5), rng.randint(0, 9) / 4) for c in clients]
+        rows += [("taxi", 7, -5, 99.0, 99.0), rows[0]]
+        if n == 4:
+            rows.append(("client", 600, 1, float("inf"), 1.0))
+        for kind, key, seq, x, y in rows:
+            if key not in now[kind] or seq > now[kind][key][0]:
+                now[kind][key] = (seq, x, y)
+        frame = spark.createDataFrame(rows, "kind string, id long, seq long, lon double, lat double")
+        for _ in range(2 if n in (2, 3) else 1):
+            run(frame, n)
+            found = [tuple(r) for r in current_matches(spark, out).collect()]
+            assert same(found, knn(*([(i, x, y) for i, (_, x, y) in now[kind].items()] for kind in ("client", "taxi")), k))
+    assert max(changed[-2:]) < 25
+
+
+def test_incremental_matching_with_a_restart(spark, folders):
+    from curbside.streaming import current_matches, start_incremental
+
+    rng = random.Random(10)
+    taxis, clients = batches(rng, 3), batches(rng, 3, 30)
+    for n in range(3):
+        feed(spark, folders, "taxis", taxis[n:n + 1], D.TAXI_FIELDS, n)
+        feed(spark, folders, "clients", clients[n:n + 1], D.CLIENT_FIELDS, n)
+        finish(start_incremental(taxi_stream(spark, folders), client_stream(spark, folders), folders["out"], folders["log"]))
+        current = (latest(table(spark, p[:n + 1], key), key) for p, key in ((clients, "client_id"), (taxis, "taxi_id")))
+        expected = match(*current)
+        assert got(current_matches(spark, folders["out"]).select(expected.columns)) == got(expected)
+
+
+def test_circles(spark):
+    """Circles of very different sizes against all pairs, the rim included."""
+    from curbside.operators.radius import covered
+
+    rng = random.Random(11)
+    circles = [(i, rng.uniform(-2, 2), rng.randint(-4, 4) / 4, rng.choice([0.0, 0.25, 1e-9, 0.03, 2.5, 1e6])) for i in range(60)]
+    circles += [(100, None, 0.0, 1.0), (101, 0.0, 0.0, float("inf")), (102, 0.0, float("nan"), 1.0), (103, 0.5, 0.5, None), (104, 1e300, 0.0, 1.0)]
+    points = [(i, rng.uniform(-2, 2), rng.randint(-8, 8) / 4) for i in range(80)] + [(200, circles[0][1], circles[0][2]), (201, None, 1.0), (202, 1e300, 0.0)]
+    c = spark.createDataFrame(circles, "client_id long, lon double, lat double, radius double")
+    p = spark.createDataFrame(points, "taxi_id long, lon double, lat double")
+    wanted = []
+    for i, x, y, r in circles:
+        for t, u, v in points:
+            if None not in (x, y, r, u, v) and r < float("inf") and x == x and y == y:
+                d = ((u - x) * (u - x) + (v - y) * (v - y)) ** 0.5
+                wanted += [(i, t, d)] if d <= r else []
+    for limit in (4096, 3):
+        assert sorted(tuple(r) for r in covered(c, p, limit=limit).collect()) == sorted(wanted)
+    assert covered(c.limit(0), p).count() == 0 and covered(c, p.limit(0)).count() == 0
+
+
+def test_member_changes_with_a_restart(spark, folders):
+    from curbside.streaming import fold_members
+
+    rng = random.Random(12)
+    parts = batches(rng, 4)
+    for n in (0, 2):
+        feed(spark, folders, "taxis", [parts[n], parts[0], parts[n + 1]], D.TAXI_FIELDS, 3 * n)
+        finish(jobs.start_member_changes(taxi_stream(spark, folders), GRID, folders["out"], folders["log"], trigger=None, buckets=3))
+        changes = all_batches(spark, folders["out"])
+        assert got(fold_members(changes)) == got(cell_members(table(spark, parts[:n + 2], "taxi_id"), GRID))
+    assert {r.op for r in changes.select("op").distinct().collect()} == {"in", "out"}
+    assert changes.groupBy("batch_id", "cell", "taxi_id").count().where("count > 1").count() == 0
