@@ -48,6 +48,8 @@ class Sizes:
     tile: int = 512
     head: int = 4
     fill: int = 8
+    #: Words of the corpus for each bucket of pairs.
+    bucket_pairs: int = 1 << 20
     #: Rows of one key that a task may take.
     key_rows: int = KEY_ROWS
 
@@ -64,18 +66,45 @@ SLICES = pa.schema([
     ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())),
 ])
 SLICES_DDL = "slice long, lang string, ids binary, tail int, n long, words array<string>, counts array<long>"
-LEVEL = pa.schema([(c, pa.binary() if c == "ids" else pa.int32() if c == "tail" else pa.int64()) for c in ("slice", "ids", "tail", "i", "j", "n")])
-LEVEL_DDL = "slice long, ids binary, tail int, i long, j long, n long"
+LEVEL = pa.schema([("slice", pa.int64()), ("ids", pa.binary()), ("tail", pa.int32()), ("bucket", pa.int32()), ("pairs", pa.binary())])
+LEVEL_DDL = "slice long, ids binary, tail int, bucket int, pairs binary"
+OFTEN = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("id", pa.int64()), ("f", pa.int64()), ("slice", pa.int64()), ("pairs", pa.binary())])
+OFTEN_DDL = "i long, j long, id long, f long, slice long, pairs binary"
 
 
-def pack(ids: np.ndarray) -> bytes:
-    """Numbers from -1 on, in as many bytes each as the largest one needs."""
-    size = next(s for s in (1, 2, 4, 8) if ids.max(initial=0) < 1 << (8 * s - 1))
-    return bytes([size]) + ids.astype(f"<i{size}").tobytes()
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of numbers from -1 on, of one length, in as many bytes each as the largest needs, compressed."""
+    head, parts = [], []
+    for column in columns:
+        size = next(s for s in (1, 2, 4, 8) if column.max(initial=0) < 1 << (8 * s - 1))
+        head.append(size)
+        parts.append(column.astype(f"<i{size}").tobytes())
+    return bytes(head) + len(columns[0]).to_bytes(4, "little") + pa.compress(b"".join(parts), "zstd", asbytes=True)
 
 
-def unpack(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<i{raw[0]}", offset=1).astype(np.int64)
+def unpack(raw: bytes, columns: int = 1) -> list[np.ndarray]:
+    sizes, count = list(raw[:columns]), int.from_bytes(raw[columns:columns + 4], "little")
+    data, at, out = pa.decompress(raw[columns + 4:], count * sum(sizes), "zstd", asbytes=True), 0, []
+    for size in sizes:
+        out.append(np.frombuffer(data, f"<i{size}", count, at).astype(np.int64))
+        at += count * size
+    return out
+
+
+def pack_pairs(i: np.ndarray, j: np.ndarray, *more: np.ndarray) -> bytes:
+    """Pairs in order of ``i``, and what belongs to them; ``i`` as steps, which are small."""
+    return pack(np.diff(i, prepend=0), j, *more)
+
+
+def unpack_pairs(raw: bytes) -> list[np.ndarray]:
+    steps, j, more = unpack(raw, 3)
+    return [np.cumsum(steps), j, more]
+
+
+def bucket_of(i: np.ndarray, j: np.ndarray, buckets: int) -> np.ndarray:
+    mixed = (i.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (j.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
 class Slice:
@@ -189,8 +218,8 @@ def tile_counts(i: np.ndarray, j: np.ndarray, sizes: Sizes = Sizes()) -> tuple[n
     return tuple(np.concatenate(column) for column in zip(*parts))
 
 
-def counted(number: int, ids: np.ndarray, tail: int, keep: bool, sizes: Sizes) -> pa.Table:
-    """A slice's row (with ``keep``) and its pairs of neighbours with counts. -1 is what takes no part.
+def counted(number: int, ids: np.ndarray, tail: int, keep: bool, buckets: int, sizes: Sizes) -> pa.Table:
+    """A slice's row (with ``keep``) and its pairs of neighbours with counts, by bucket. -1 is what takes no part.
 
     Pairs that begin in the tail are listed without being counted: phrases that begin before it may hold them.
     """
@@ -204,43 +233,75 @@ def counted(number: int, ids: np.ndarray, tail: int, keep: bool, sizes: Sizes) -
     i, j, n = tile_counts(ids[:-1][valid & own], ids[1:][valid & own], sizes)
     late = np.flatnonzero(valid & ~own)
     i, j, n = (np.concatenate(c) for c in ((i, ids[late]), (j, ids[late + 1]), (n, np.zeros(len(late), np.int64))))
-    pairs = pa.table({
-        "slice": np.full(len(i), number, np.int64), "ids": pa.nulls(len(i), pa.binary()), "tail": pa.nulls(len(i), pa.int32()),
-        "i": i, "j": j, "n": n,
-    }, schema=LEVEL)
-    if not keep or not len(i):
-        return pairs
-    row = pa.table({"slice": [number], "ids": [pack(ids)], "tail": [tail], "i": [None], "j": [None], "n": [None]}, schema=LEVEL)
-    return pa.concat_tables([row, pairs])
+    bucket = bucket_of(i, j, buckets)
+    order = np.lexsort((i, bucket))
+    i, j, n, bucket = i[order], j[order], n[order], bucket[order]
+    begins = np.flatnonzero(np.diff(bucket, prepend=-1))
+    ends = np.append(begins[1:], len(bucket))
+    rows = [(number, None, None, int(bucket[a]), pack_pairs(i[a:b], j[a:b], n[a:b])) for a, b in zip(begins, ends)]
+    if keep and rows:
+        rows.append((number, pack(ids), tail, None, None))
+    return pa.table([pa.array([row[k] for row in rows], f.type) for k, f in enumerate(LEVEL)], schema=LEVEL)
 
 
-def numbered_words(left: pa.Table, right: pa.Table, sizes: Sizes) -> pa.Table:
+def frequent(table: pa.Table, least: int, buckets: int) -> pa.Table:
+    """``OFTEN``: the frequent pairs of a bucket with their numbers, and for each slice those that it has.
+
+    Numbers go by frequency: the most frequent pairs of all buckets come first, then the next ones.
+    """
+    bucket, slices = table["bucket"][0].as_py(), table["slice"].to_numpy()
+    i, j, n, owner = [], [], [], []
+    for k, raw in enumerate(table["pairs"].to_pylist()):
+        for column, part in zip((i, j, n), unpack_pairs(raw)):
+            column.append(part)
+        owner.append(np.full(len(i[-1]), k))
+    i, j, n, owner = (np.concatenate(c) for c in (i, j, n, owner))
+    order = np.lexsort((owner, j, i))
+    i, j, n, owner = i[order], j[order], n[order], owner[order]
+    begins = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+    f = np.add.reduceat(n, begins)
+    often = np.flatnonzero(f >= least)
+    place = np.lexsort((j[begins[often]], i[begins[often]], -f[often]))
+    numbers = np.full(len(begins), -1)
+    numbers[often[place]] = np.arange(len(often)) * buckets + bucket
+    each = np.repeat(numbers, np.diff(np.append(begins, len(i))))
+    kept = np.flatnonzero(each >= 0)
+    kept = kept[np.lexsort((i[kept], owner[kept]))]
+    cuts = np.flatnonzero(np.diff(owner[kept], prepend=-1))
+    rows = [(slices[owner[kept[a]]], pack_pairs(i[kept[a:b]], j[kept[a:b]], each[kept[a:b]])) for a, b in zip(cuts, np.append(cuts[1:], len(kept)))]
+    pairs = pa.table([pa.array(c, pa.int64()) for c in (i[begins[often]], j[begins[often]], numbers[often], f[often])], names=["i", "j", "id", "f"])
+    lists = pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["slice", "pairs"])
+    return pa.concat_tables([pairs, lists], promote_options="default").select(OFTEN.names)
+
+
+def numbered_words(left: pa.Table, right: pa.Table, buckets: int, sizes: Sizes) -> pa.Table:
     """A slice with the numbers of its frequent words."""
     if not left.num_rows:
         return LEVEL.empty_table()
-    ids = unpack(left["ids"][0].as_py())
+    ids = unpack(left["ids"][0].as_py())[0]
     table = np.full(int(ids.max(initial=0)) + 1, -1, np.int64)
     table[right["place"].to_numpy()] = right["id"].to_numpy()
-    return counted(left["slice"][0].as_py(), table[ids], left["tail"][0].as_py(), True, sizes)
+    return counted(left["slice"][0].as_py(), table[ids], left["tail"][0].as_py(), True, buckets, sizes)
 
 
-def numbered_pairs(left: pa.Table, right: pa.Table, keep: bool, sizes: Sizes) -> pa.Table:
+def numbered_pairs(left: pa.Table, right: pa.Table, keep: bool, buckets: int, sizes: Sizes) -> pa.Table:
     """A slice one level up: at each place the number of the frequent pair that begins there."""
     if not left.num_rows or not right.num_rows:
         return LEVEL.empty_table()
-    ids, tail = unpack(left["ids"][0].as_py()), left["tail"][0].as_py()
+    ids, tail = unpack(left["ids"][0].as_py())[0], left["tail"][0].as_py()
+    i, j, numbers = (np.concatenate(c) for c in zip(*map(unpack_pairs, right["pairs"].to_pylist())))
     distinct, at = np.unique(ids, return_inverse=True)
-    keys = np.searchsorted(distinct, right["i"].to_numpy()) * len(distinct) + np.searchsorted(distinct, right["j"].to_numpy())
+    keys = np.searchsorted(distinct, i) * len(distinct) + np.searchsorted(distinct, j)
     order = np.argsort(keys)
-    keys, numbers = keys[order], right["id"].to_numpy()[order]
+    keys, numbers = keys[order], numbers[order]
     asked = at[:-1] * len(distinct) + at[1:]
     found = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
     up = np.where(keys[found] == asked, numbers[found], -1)
-    return counted(left["slice"][0].as_py(), up, max(tail - 1, 0), keep, sizes)
+    return counted(left["slice"][0].as_py(), up, max(tail - 1, 0), keep, buckets, sizes)
 
 
-def numbered_pairs_of(keep: bool, sizes: Sizes) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    return lambda left, right: numbered_pairs(left, right, keep, sizes)
+def numbered_pairs_of(keep: bool, buckets: int, sizes: Sizes) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    return lambda left, right: numbered_pairs(left, right, keep, buckets, sizes)
 
 
 def ranked(rows: DataFrame, order: list[str], label: str) -> DataFrame:
@@ -273,20 +334,20 @@ def phrases(docs: DataFrame, least: int = LEAST, sizes: Sizes = Sizes()) -> tupl
     words = ranked(words, ["lang", "word"], "words")
     known = fragment_join(entries.select("slice", "lang", "word", "place"), words.select("lang", "word", "id"), ["lang", "word"],
                           ["slice"], [], hot_counts(words.select("lang", "word", "_n"), ["lang", "word"], sizes.key_rows), None)
-    level = next_level(slices.select("slice", "ids", "tail"), known.select(F.col("slice").alias("owner"), "place", "id"), lambda left, right: numbered_words(left, right, sizes), "pairs")
+    # a bucket holds about so many pairs of all slices, however many words there are
+    buckets = max(8, -(-(totals.agg(F.sum("n")).first()[0] or 0) // sizes.bucket_pairs))
+    level = next_level(slices.select("slice", "ids", "tail"), known.select(F.col("slice").alias("owner"), "place", "id"),
+                       lambda left, right: numbered_words(left, right, buckets, sizes), "pairs")
     one = F.array("f")
     found = [words.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", one.alias("heads"), one.alias("tails"))]
     for length in range(2, LONGEST + 1):
-        pairs = level.where("i is not null").select("slice", "i", "j", "n")
-        often = pairs.groupBy("i", "j").agg(F.sum("n").alias("f"), F.count("*").alias("_n")).where(F.col("f") >= least)
-        often = ranked(often, ["i", "j"], f"phrases{length}")
-        found.append(_spelled(often, found[-1], length))
+        pairs = level.where("pairs is not null").select("slice", "bucket", "pairs").groupBy("bucket")
+        often = stage(pairs.applyInArrow(lambda table: frequent(table, least, buckets), OFTEN_DDL), f"often{length}")
+        found.append(_spelled(often.where("id is not null").select("i", "j", "id", "f"), found[-1], length))
         if length < LONGEST:
-            hot = hot_counts(often.select("i", "j", "_n"), ["i", "j"], sizes.key_rows)
-            known = fragment_join(pairs.select("slice", "i", "j"), often.select("i", "j", "id"), ["i", "j"], ["slice"], [], hot, None)
-            apply = numbered_pairs_of(length + 1 < LONGEST, sizes)
-            level = next_level(level.where("ids is not null").select("slice", "ids", "tail"), known.select(F.col("slice").alias("owner"), "i", "j", "id"),
-                               apply, f"phrases{length}")
+            known = often.where("slice is not null").select(F.col("slice").alias("owner"), "pairs")
+            payload = level.where("ids is not null").select("slice", "ids", "tail")
+            level = next_level(payload, known, numbered_pairs_of(length + 1 < LONGEST, buckets, sizes), f"phrases{length}")
     return found, totals
 
 

@@ -57,7 +57,7 @@ def test_against_brute_force(spark, small):
     assert len(wanted) > 300 and {len(r[2].split(" ")) for r in wanted} == {2, 3, 4}
     assert got(C.collocations(small, least=3, top=300)) == wanted
     # many short slices, small tiles, hot entries
-    sizes = C.Sizes(words=700, chunk=300, tile=8, fill=64, key_rows=3)
+    sizes = C.Sizes(words=700, chunk=300, tile=8, fill=64, key_rows=3, bucket_pairs=500)
     assert C.cut(small, sizes).count() > 20
     assert got(C.collocations(small.repartition(3), least=3, top=300, sizes=sizes)) == wanted
 
