@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from curbside.functions.plane import distance
 from curbside.operators.spread import fragment_join, hot_counts
-from curbside.session import stage
+from curbside.session import ship, stage
 
 # Taxis that a part should hold, and clients of a part that meet them in one task.
 PART_ROWS, PIECE_ROWS = 8_192, 8_192
@@ -223,6 +223,7 @@ def nearest(
     task = _Task(client_id, taxi_id, list(by), k, INF if max_distance is None else float(max_distance),
                  max(leaf_rows, 2 * k), max(part_rows, 2 * k), piece_rows)
 
+    ship(clients.sparkSession)
     riders = clients.select(*task.who, F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py"))
     rows = taxis.select(*task.by, taxi_id, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     rows = rows.where(F.col("_x").isNotNull() & F.col("_y").isNotNull())

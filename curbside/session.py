@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import contextvars
+import os
 import re
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +23,7 @@ RUNTIME_CONF = {
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
+_shipped: set[str] = set()
 _tables: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("tables", default=None)
 
 
@@ -39,6 +44,25 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors once per application, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        _shipped.add(context.applicationId)
+        package = os.path.dirname(os.path.abspath(__file__))
+        folder = tempfile.mkdtemp(prefix="curbside-")
+        # the driver serves the file as long as it runs
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        with zipfile.ZipFile(os.path.join(folder, "curbside.zip"), "w") as archive:
+            for place, _, names in os.walk(package):
+                for name in names:
+                    if name.endswith(".py"):
+                        path = os.path.join(place, name)
+                        archive.write(path, os.path.relpath(path, os.path.dirname(package)))
+        context.addPyFile(os.path.join(folder, "curbside.zip"))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 

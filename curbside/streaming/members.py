@@ -7,9 +7,11 @@ over buckets. A taxi is in the cell of its last message; late and repeated messa
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -20,6 +22,9 @@ from curbside.operators.movement import with_cell
 
 BUCKETS = 64
 
+# the process that asks a handler for its state runs beside the driver and has no files of the application
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _SEEN = StructType([StructField("seq", LongType()), StructField("cell", IntegerType())])
 _MEMBER = StructType([StructField("taxi_id", LongType())])
 _SINCE = StructType([StructField("seq", LongType())])
