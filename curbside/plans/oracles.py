@@ -190,6 +190,8 @@ ORACLES = {
     "stream_changes": TABLES + "select taxi_id, lon, lat from taxis",
     "stream_knn": TABLES + _pairs() + LIST,
     "stream_transitions": TABLES + MOVES + "select taxi_id, seq, prev, cell from moves where prev <> cell",
+    "stream_late_transitions": TABLES + MOVES + "select taxi_id, seq, prev, cell from moves where prev <> cell",
+    "stream_appended": TABLES + "select taxi_id, lon, lat from taxis",
     "stream_deltas": TABLES + MOVES + DELTAS,
     "stream_cell_members": TABLES + MOVES + LAST_CELL,
     "stream_member_changes": TABLES + MOVES + LAST_CELL,

@@ -17,9 +17,11 @@ from curbside.plans.matching import match_all, match_cells, match_parts, merged_
 from curbside.session import new_folder, tune
 from curbside.sources import tables as S
 from curbside.sources.feeds import read_feed, stream_feed
+from curbside.sources.tail import growing_feed
 from curbside.streaming import jobs
 from curbside.streaming.incremental import current_matches, start_incremental
 from curbside.streaming.members import fold_members
+from curbside.streaming.movement import fold_transitions
 from curbside.streaming.sinks import all_batches, last_batch
 
 GRID = Grid()
@@ -27,6 +29,7 @@ MATCH = ["client_id", "taxi_id", "rk", "dist"]
 CLOSE = 0.02  # radius of the range search
 SLICES = 3  # micro-batches the streaming queries run through
 FILE_ROWS = 1_000_000  # messages of a file
+HISTORY = 10_000  # pings of a taxi among which a late one finds its place
 
 
 # decoding
@@ -184,18 +187,19 @@ def cell_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # streaming: the tables as message files, worked off one slice per micro-batch
 
-def write_feed(df: DataFrame, fields: dict[str, str], slices: int = SLICES) -> tuple[str, int]:
+def write_feed(df: DataFrame, fields: dict[str, str], slices: int = SLICES, late: int | None = None) -> tuple[str, int]:
     """Write all rows as JSON message files, one folder per slice in the order of ``seq``: folder, files per slice.
 
     Every slice has the same number of files, as many as its rows ask for, so that a stream that takes so many files at
-    a time works off a slice per micro-batch whatever the size.
+    a time works off a slice per micro-batch whatever the size. With ``late`` every so many messages come a slice late.
     """
     folder = new_folder(df.sparkSession, "feed")
     first, last = df.agg(F.min("seq"), F.max("seq")).first()
     width = (last - first) // slices + 1
     files = -(-width // FILE_ROWS)
     for i in range(slices):
-        rows = df.where((F.col("seq") >= first + i * width) & (F.col("seq") < first + (i + 1) * width))
+        at = F.col("seq") if late is None else F.when(F.col("seq") % late == 0, F.least(F.col("seq") + width, F.lit(last))).otherwise(F.col("seq"))
+        rows = df.where((at >= first + i * width) & (at < first + (i + 1) * width))
         # neighbouring seq go to different files, so none is empty unless seq has wide gaps
         dealt = rows.withColumn("file", F.pmod("seq", F.lit(files)))
         told = D.encode(dealt, fields, keep=["file"])
@@ -203,13 +207,13 @@ def write_feed(df: DataFrame, fields: dict[str, str], slices: int = SLICES) -> t
     return folder, files
 
 
-def _stream(spark: SparkSession, rows: DataFrame, fields: dict[str, str]) -> DataFrame:
-    folder, files = write_feed(rows, fields)
+def _stream(spark: SparkSession, rows: DataFrame, fields: dict[str, str], late: int | None = None) -> DataFrame:
+    folder, files = write_feed(rows, fields, late=late)
     return stream_feed(spark, folder, max_files=files)
 
 
-def _taxi_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.decode_taxis(_stream(spark, S.pings(spark, sf_dir), D.TAXI_FIELDS))
+def _taxi_stream(spark: SparkSession, sf_dir: str, late: int | None = None) -> DataFrame:
+    return D.decode_taxis(_stream(spark, S.pings(spark, sf_dir), D.TAXI_FIELDS, late))
 
 
 def _client_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,6 +268,24 @@ def stream_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_batches(spark, out).select("taxi_id", "seq", "prev", "cell")
 
 
+def stream_late_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth ping comes a micro-batch late; what was told too early is taken back."""
+    out, log = new_folder(spark, "out"), new_folder(spark, "log")
+    _finish(jobs.start_transitions(_taxi_stream(spark, sf_dir, late=5), GRID, out, log, history=HISTORY, trigger=None))
+    return fold_transitions(all_batches(spark, out))
+
+
+def stream_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that grow: the source remembers bytes, not files."""
+    feed, out, log = (new_folder(spark, name) for name in ("feed", "out", "log"))
+    folder, _ = write_feed(S.pings(spark, sf_dir), D.TAXI_FIELDS)
+    for i in range(SLICES):
+        read_feed(spark, f"{folder}/slice={i}").write.mode("append").text(feed)
+        stream = D.decode_taxis(growing_feed(spark, feed))
+        _finish(jobs.start_latest(stream, "taxi_id", out, log, trigger=None))
+    return last_batch(spark, out).select("taxi_id", "lon", "lat")
+
+
 def stream_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, log = new_folder(spark, "out"), new_folder(spark, "log")
     _finish(jobs.start_transitions(_taxi_stream(spark, sf_dir), GRID, out, log, deltas=True, trigger=None))
@@ -297,6 +319,7 @@ QUERIES = {
     "stream_latest": stream_latest, "stream_changes": stream_changes, "stream_knn": stream_knn,
     "stream_transitions": stream_transitions,
     "stream_deltas": stream_deltas, "stream_cell_members": stream_cell_members,
+    "stream_late_transitions": stream_late_transitions, "stream_appended": stream_appended,
     "stream_knn_incremental": stream_knn_incremental, "stream_member_changes": stream_member_changes,
 }
 

@@ -19,7 +19,7 @@ from curbside.plans.matching import match
 from curbside.session import scratch_scope
 from curbside.streaming.current import current_table, split, tagged
 from curbside.streaming.members import BUCKETS, member_changes
-from curbside.streaming.movement import follow_cells
+from curbside.streaming.movement import correct_cells, follow_cells
 from curbside.streaming.sinks import commit, drop_batches, write_batches
 
 # fixed value: the default micro-batch interval
@@ -112,12 +112,15 @@ def start_member_changes(
 
 def start_transitions(
     pings: DataFrame, grid: Grid, out: str, checkpoint: str, *, deltas: bool = False, compat: bool = True,
-    trigger: str | None = INTERVAL, keep: int | None = None,
+    trigger: str | None = INTERVAL, keep: int | None = None, history: int | None = None,
 ) -> StreamingQuery:
     """The cell changes of each micro-batch, or with ``deltas`` the ``add`` and ``del`` rows they stand for.
 
-    Pings older than the last one of their taxi can't change what was already written; they go to ``out/_late``.
+    Pings older than the last one of their taxi can't change what was already written; they go to ``out/_late``. With
+    ``history`` they can, among so many last pings of each taxi: see ``correct_cells``.
     """
+    if history:
+        return _start(pings, correct_cells(grid, out, depth=history, compat=compat), checkpoint, "append", trigger)
     return _start(pings, follow_cells(grid, out, deltas=deltas, compat=compat, keep=keep), checkpoint, "append", trigger)
 
 

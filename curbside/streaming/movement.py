@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curbside.functions.grid import Grid
@@ -61,3 +61,57 @@ def follow_cells(
             drop_batches(spark, f"{out}/{LATE}", keep)
 
     return run
+
+
+def history(out: str, every: int = COMPACT) -> Ledger:
+    """The last messages of each taxi, oldest first, and whether there were more."""
+    schema = "taxi_id long, batch long, pings array<struct<seq:bigint,cell:int>>, more boolean"
+    return Ledger(f"{out}/_history", schema, ("taxi_id",), "batch", every)
+
+
+def correct_cells(
+    grid: Grid, out: str, *, depth: int, compat: bool = True, limit: int = ID_ROWS, every: int = COMPACT
+) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function for pings that may come late: ``taxi_id, seq, prev, cell, op`` of changed changes.
+
+    A late ping takes its place among the last ``depth`` ones of its taxi. What this makes of the cell changes around it is
+    told as ``retract`` of the old and ``insert`` of the new ones; see ``fold_transitions``. Pings older than all that is
+    known of a taxi that had more go to ``out/_late``. Repeated pings change nothing.
+    """
+    ledger = history(out, every)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        with scratch_scope(spark):
+            pings = stage(with_cell(batch, grid, compat=compat).select("taxi_id", "seq", "cell").distinct(), "pings")
+            old = stage(ledger.as_of(spark, batch_id - 1, pings.select("taxi_id").distinct()), "old")
+            known = stage(old.select("taxi_id", F.inline("pings")).select("taxi_id", "seq", "cell"), "known")
+            first = old.where("more").select("taxi_id", F.element_at("pings", 1)["seq"].alias("_first"))
+            told = pings.join(first, "taxi_id", "left").withColumn("_late", F.coalesce(F.col("seq") < F.col("_first"), F.lit(False)))
+            fresh = told.where("not _late").select("taxi_id", "seq", "cell").join(known.select("taxi_id", "seq"), ["taxi_id", "seq"], "left_anti")
+            fresh = stage(fresh, "fresh")
+            # taxis of which nothing new was heard stay as they are
+            known = known.join(fresh.select("taxi_id").distinct(), "taxi_id", "left_semi")
+            every_ping = stage(known.unionByName(fresh), "all")
+            change = ["taxi_id", "seq", "prev", "cell"]
+            after, before = (stage(with_previous(rows, "taxi_id", "cell", limit=limit).where("prev <> cell").select(*change), "moves")
+                             for rows in (every_ping, known))
+            changes = after.join(before, change, "left_anti").withColumn("op", F.lit("insert")).unionByName(
+                before.join(after, change, "left_anti").withColumn("op", F.lit("retract")))
+            commit(changes, out, batch_id)
+            commit(told.where("_late").select("taxi_id", "seq", "cell"), f"{out}/{LATE}", batch_id)
+            newest = Window.partitionBy("taxi_id").orderBy(F.desc("seq"))
+            kept = every_ping.withColumn("_at", F.row_number().over(newest)).where(F.col("_at") <= depth)
+            kept = kept.groupBy("taxi_id").agg(F.sort_array(F.collect_list(F.struct("seq", "cell"))).alias("pings"))
+            sizes = every_ping.groupBy("taxi_id").agg(F.count("*").alias("_n")).join(old.select("taxi_id", "more"), "taxi_id", "left")
+            sizes = sizes.select("taxi_id", (F.coalesce("more", F.lit(False)) | (F.col("_n") > depth)).alias("more"))
+            ledger.append(kept.join(sizes, "taxi_id").withColumn("batch", F.lit(batch_id).cast("long")), batch_id)
+
+    return run
+
+
+def fold_transitions(changes: DataFrame) -> DataFrame:
+    """``taxi_id, seq, prev, cell``: the cell changes that stand after all ``insert`` and ``retract`` rows."""
+    sign = F.when(F.col("op") == "insert", 1).otherwise(-1)
+    standing = changes.groupBy("taxi_id", "seq", "prev", "cell").agg(F.sum(sign).alias("_n")).where("_n > 0")
+    return standing.select("taxi_id", "seq", "prev", "cell")

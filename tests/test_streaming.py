@@ -357,3 +357,72 @@ def test_member_changes_with_a_restart(spark, folders):
         assert got(fold_members(changes)) == got(cell_members(table(spark, parts[:n + 2], "taxi_id"), GRID))
     assert {r.op for r in changes.select("op").distinct().collect()} == {"in", "out"}
     assert changes.groupBy("batch_id", "cell", "taxi_id").count().where("count > 1").count() == 0
+
+
+def test_files_that_grow(spark, tmp_path):
+    """Appended lines arrive once, also after a restart; a line without its end waits; pieces cut no line."""
+    from curbside.sources import growing_feed
+
+    feed, out, log = (str(tmp_path / name) for name in ("feed", "out", "log"))
+    (tmp_path / "feed" / "deep").mkdir(parents=True)
+    one, two = tmp_path / "feed" / "one.log", tmp_path / "feed" / "deep" / "two.log"
+    (tmp_path / "feed" / "_hidden").write_text("no\n")
+
+    def seen():
+        query = growing_feed(spark, feed, piece_bytes=7).writeStream.format("parquet").option("path", out).option("checkpointLocation", log)
+        finish(query.trigger(availableNow=True).start())
+        return sorted(r.value for r in spark.read.parquet(out).collect())
+
+    one.write_text("a\nlonger than a piece\nhalf")
+    assert seen() == ["a", "longer than a piece"]
+    with one.open("a") as file:
+        file.write(" a line\n\n")
+    two.write_text("\u00fcber\n" + "x" * 40 + "\n")
+    assert seen() == ["", "a", "half a line", "longer than a piece", "x" * 40, "\u00fcber"]
+    assert seen() == ["", "a", "half a line", "longer than a piece", "x" * 40, "\u00fcber"]
+
+
+@pytest.mark.parametrize("depth, limit", [(1000, 10**6), (1000, 20), (5, 10**6)])
+def test_late_pings_correct_what_was_told(spark, tmp_path, depth, limit):
+    """Folded, the stream is the batch result with pings late over batches; beyond the history they are reported."""
+    from curbside.streaming import correct_cells, fold_transitions
+    from curbside.streaming.movement import history
+
+    rng, out = random.Random(13), str(tmp_path / "out")
+    parts = [[(0 if rng.random() < 0.4 else t, s, x, y) for t, s, x, y in part] for part in batches(rng, 3, 100, 9)]
+    rows = [r for part in parts for r in part]
+    order = sorted(rows, key=lambda r: r[1] + (90 if r[1] % 4 == 0 else 0))
+    run = correct_cells(GRID, out, depth=depth, limit=limit, every=2)
+    for n in range(3):
+        told = order[100 * n:100 * (n + 1)]
+        for _ in range(2 if n == 1 else 1):
+            run(table(spark, [told, told[:5], order[:5]], "taxi_id"), n)
+    late = {(r.taxi_id, r.seq) for r in all_batches(spark, out + "/_late").collect()}
+    found = fold_transitions(all_batches(spark, out))
+    if depth == 1000:
+        assert not late and got(found) == got(transitions(table(spark, [rows], "taxi_id"), GRID))
+        assert all_batches(spark, out).where("op = 'retract'").count() > 0
+    else:
+        assert late and max(len(r.pings) for r in history(out).as_of(spark, 2).collect()) == depth
+
+
+def test_silent_ids_leave_and_come_back(spark, tmp_path):
+    from brute import knn, same
+    from curbside.streaming import current_matches, follow_matches
+
+    rng, out, silent = random.Random(14), str(tmp_path / "out"), 100
+    run, now = follow_matches(out, k=3, every=2, silent=silent), {"taxi": {}, "client": {}}
+    left = []
+    for n in range(7):
+        ids = {0: range(20), 1: range(10), 2: range(8), 3: [], 4: range(5), 5: range(3, 12), 6: range(12)}[n]
+        rows = [("taxi", t, 60 * n + t, rng.uniform(0, 1), rng.uniform(0, 1)) for t in ids]
+        rows += [("client", c, 60 * n + c, rng.uniform(0, 1), rng.uniform(0, 1)) for c in ids if c % 2]
+        for _ in range(2 if n in (2, 4) else 1):
+            run(spark.createDataFrame(rows, "kind string, id long, seq long, lon double, lat double"), n)
+        for kind, key, seq, x, y in rows:
+            now[kind][key] = (seq, x, y)
+        clock = max(v[0] for of in now.values() for v in of.values())
+        clients, taxis = ([(i, x, y) for i, (s, x, y) in now[kind].items() if s > clock - silent] for kind in ("client", "taxi"))
+        assert same([tuple(r) for r in current_matches(spark, out).collect()], knn(clients, taxis, 3))
+        left.append(len(taxis))
+    assert min(left) < 12 == left[-1]
