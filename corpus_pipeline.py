@@ -55,9 +55,12 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing: every kept document in sequences of 4096 tokens."""
+    """Best-fit packing: every kept document in sequences of 4096 tokens.
+
+    The workers have served other stages before, so this one holds less than ``op4`` does.
+    """
     small_batches(ship(spark))
-    pieces = stage(packing.cut_pieces(docs, tokens.vocabulary("word_bpe_49k.json")), "pieces")
+    pieces = stage(packing.cut_pieces(docs, tokens.vocabulary("word_bpe_49k.json"), memory=200_000, slice_bytes=4 << 20), "pieces")
     return packing.pack(pieces)
 
 

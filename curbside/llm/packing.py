@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbside.llm.tables import read, texts
-from curbside.llm.tokens import encoder, slices, vocabulary
+from curbside.llm.tokens import MEMORY, SLICE, encoder, slices, vocabulary
 from curbside.session import stage
 
 END = 1
@@ -23,16 +23,20 @@ GROUP = 40_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def cut_pieces(docs: DataFrame, path: str, end: int = END, size: int = SIZE) -> DataFrame:
+def cut_pieces(
+    docs: DataFrame, path: str, end: int = END, size: int = SIZE, memory: int = MEMORY, slice_bytes: int = SLICE
+) -> DataFrame:
     """A row per piece of at most ``size`` ids of every document, the id ``end`` behind its last one.
 
+    ``memory`` and ``slice_bytes`` bound what a worker holds (see ``tokens``).
+
     A null or empty text gives one piece with the end id. Repeated rows are cut one by one.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(path, memory).encode
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", slice_bytes):
                 ids, counts = encode(part.column("text"))
                 ids = np.insert(ids, np.cumsum(counts), end).astype("<u4")
                 counts = counts + 1

@@ -55,7 +55,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end: int = END, s
 
         held = 0
         for batch in batches:
-            for part in slices(batch, "text", shard):
+            for part in slices(batch, "text", 4 * shard):
                 found, counts = encode(part.column("text"))
                 at = np.cumsum(counts)
                 ids.append(np.insert(found, at, end))

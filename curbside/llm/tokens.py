@@ -21,17 +21,19 @@ SEPARATORS = {"byte_bpe_50k.json": "\x00", "word_bpe_49k.json": "²"}
 #: Texts with white space after white space, or with what Python or RE2 and the library may class differently, aren't cut.
 DOUBTFUL = r"[\s\v\x{85}\x{180e}\p{Z}][\s\v\x{85}\x{180e}\p{Z}]|[\x1c-\x1f]|<\|"
 LETTER_STOP = r"([a-zA-Z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}])([!-/:-@\[-`{-~])"
-#: Bytes of text that are cut at a time, and distinct chunks that a worker remembers. They bound memory, not the result.
+#: Bytes of text that are cut at a time, and distinct chunks that a worker remembers. They bound memory, not the result:
+#: callers whose workers serve other operators as well pass less.
 SLICE = 12 << 20
-MEMORY = 600_000
+MEMORY = 1_000_000
 
 
 class Encoder:
     """One per worker and vocabulary file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMORY):
         from tokenizers import Tokenizer
 
+        self.memory = memory
         self.tokenizer = Tokenizer.from_file(path)
         self.separator = SEPARATORS[os.path.basename(path)]
         [self.separator_id] = self._library([self.separator])[0]
@@ -76,7 +78,7 @@ class Encoder:
         marked = pc.replace_substring_regex(marked, LETTER_STOP, "\\1" + MARK + "\\2")
         lists = pc.split_pattern(marked, MARK)
         coded = lists.flatten().dictionary_encode()
-        if len(self.known) > MEMORY:
+        if len(self.known) > self.memory:
             self._forget()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False)
         if new := [chunk for chunk in distinct if chunk not in self.known]:
@@ -109,9 +111,9 @@ class Encoder:
 
 
 @functools.cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memory: int = MEMORY) -> Encoder:
     """The encoder of this worker, kept between batches and tasks."""
-    return Encoder(path)
+    return Encoder(path, memory)
 
 
 def slices(batch: pa.RecordBatch, column: str, size: int = SLICE):

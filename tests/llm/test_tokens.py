@@ -28,11 +28,8 @@ def test_ids_are_the_librarys(name, tables):
     assert encoder.encode(pa.array([], pa.string()))[0].size == 0
 
 
-def test_a_full_memory_changes_nothing(monkeypatch):
-    from curbside.llm import tokens
-
-    monkeypatch.setattr(tokens, "MEMORY", 3)
-    encoder = Encoder(vocabulary("byte_bpe_50k.json"))
+def test_a_full_memory_changes_nothing():
+    encoder = Encoder(vocabulary("byte_bpe_50k.json"), memory=3)
     for text in ("one two three four", "five six one two", "one seven"):
         assert encoder.encode(pa.array([text]))[0].tolist() == encoder.tokenizer.encode(text).ids
 
