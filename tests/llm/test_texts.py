@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -112,6 +113,19 @@ def test_privacy_edges(edges, no_docs):
     assert privacy.train(none) is None and privacy.decide(none, None).count() == 0
 
 
+def test_long_runs_of_digits():
+    """The anchored address pattern finds what the contract's does, in linear time."""
+    plain = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        text = "".join(rng.choice(list("0123456789...  a"), rng.integers(0, 60)))
+        assert [m.span() for m in privacy.BASE["ip"].finditer(text)] == [m.span() for m in plain.finditer(text)]
+    start = time.perf_counter()
+    for text in ("7" * 10**6, "1." * 500_000, "12 " * 300_000, "+1(" * 300_000):
+        privacy.base_spans(text)
+    assert time.perf_counter() - start < 8
+
+
 def test_reliabilities_tell_good_labelers_from_bad():
     rng = np.random.default_rng(1)
     truth = rng.random(5000) < 0.4
