@@ -276,11 +276,11 @@ def stream_late_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files that grow: the source remembers bytes, not files."""
+    """A folder that grows while the stream is restarted, read by a source that remembers bytes, not files."""
     feed, out, log = (new_folder(spark, name) for name in ("feed", "out", "log"))
     folder, _ = write_feed(S.pings(spark, sf_dir), D.TAXI_FIELDS)
     for i in range(SLICES):
-        read_feed(spark, f"{folder}/slice={i}").write.mode("append").text(feed)
+        read_feed(spark, f"{folder}/slice={i}").select("value").write.mode("append").text(feed)
         stream = D.decode_taxis(growing_feed(spark, feed))
         _finish(jobs.start_latest(stream, "taxi_id", out, log, trigger=None))
     return last_batch(spark, out).select("taxi_id", "lon", "lat")

@@ -80,3 +80,23 @@ def test_lists_per_cell(spark):
 def test_unknown_strategy(spark):
     with pytest.raises(ValueError):
         match(*frames(spark, [], []), "guess")
+
+
+@pytest.mark.parametrize("cells, limit", [(100, 32_768), (100, 5), (2, 32_768)])
+def test_cells_are_searched_by_near_clients_only(spark, cells, limit):
+    """The pairs that are searched follow the pairs that are near, not clients x cells."""
+    from curbside.operators.movement import with_cell
+    from curbside.operators.radius import near_groups
+
+    rng = random.Random(6)
+    grid = Grid(0, 10, 10, 0, cells, cells)
+    clients = [(i, rng.uniform(0, 10), rng.uniform(0, 10)) for i in range(50)] + [(90, None, 1.0), (91, float("nan"), 1.0), (92, 1e300, 1.0)]
+    taxis = [(i, rng.uniform(0, 10), rng.uniform(0, 10)) for i in range(400)]
+    c, t = frames(spark, clients, taxis)
+    inside = with_cell(t, grid, compat=False)
+    pairs = [(r.client_id, r.cell) for r in near_groups(c, inside, 0.15, "cell", limit=limit).collect()]
+    needed = set()
+    cell_of = {r.taxi_id: r.cell for r in inside.collect()}
+    for i, x, y in clients[:50]:
+        needed |= {(i, cell_of[j]) for j, u, v in taxis if ((x - u) ** 2 + (y - v) ** 2) ** 0.5 < 0.15}
+    assert len(pairs) == len(set(pairs)) and needed <= set(pairs) and len(pairs) <= 4 * len(needed) + 60
