@@ -190,6 +190,10 @@ ORACLES = {
     "stream_changes": TABLES + "select taxi_id, lon, lat from taxis",
     "stream_knn": TABLES + _pairs() + LIST,
     "stream_transitions": TABLES + MOVES + "select taxi_id, seq, prev, cell from moves where prev <> cell",
+    "stream_cell_counts": TABLES + MOVES + """
+        select g.cell, coalesce(u.n, 0) as n_updates, coalesce(h.n, 0) as n_held from (select cast(range as int) as cell from range(5)) g
+        left join (select cell, count(*) as n from cells group by 1) u on u.cell = g.cell
+        left join (select cell, count(*) as n from moves where back = 1 group by 1) h on h.cell = g.cell""",
     "stream_late_transitions": TABLES + MOVES + "select taxi_id, seq, prev, cell from moves where prev <> cell",
     "stream_appended": TABLES + "select taxi_id, lon, lat from taxis",
     "stream_deltas": TABLES + MOVES + DELTAS,

@@ -21,7 +21,7 @@ from curbside.sources.tail import growing_feed
 from curbside.streaming import jobs
 from curbside.streaming.incremental import current_matches, start_incremental
 from curbside.streaming.members import fold_members
-from curbside.streaming.movement import fold_transitions
+from curbside.streaming.movement import fold_transitions, live_counts
 from curbside.streaming.sinks import all_batches, last_batch
 
 GRID = Grid()
@@ -268,6 +268,13 @@ def stream_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_batches(spark, out).select("taxi_id", "seq", "prev", "cell")
 
 
+def stream_cell_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pings and taxis per cell, as counted while the cell changes are written."""
+    out, log = new_folder(spark, "out"), new_folder(spark, "log")
+    _finish(jobs.start_transitions(_taxi_stream(spark, sf_dir), GRID, out, log, counts=True, trigger=None))
+    return live_counts(spark, out).select("cell", "n_updates", "n_held")
+
+
 def stream_late_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth ping comes a micro-batch late; what was told too early is taken back."""
     out, log = new_folder(spark, "out"), new_folder(spark, "log")
@@ -319,7 +326,7 @@ QUERIES = {
     "stream_latest": stream_latest, "stream_changes": stream_changes, "stream_knn": stream_knn,
     "stream_transitions": stream_transitions,
     "stream_deltas": stream_deltas, "stream_cell_members": stream_cell_members,
-    "stream_late_transitions": stream_late_transitions, "stream_appended": stream_appended,
+    "stream_cell_counts": stream_cell_counts, "stream_late_transitions": stream_late_transitions, "stream_appended": stream_appended,
     "stream_knn_incremental": stream_knn_incremental, "stream_member_changes": stream_member_changes,
 }
 

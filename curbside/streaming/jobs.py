@@ -112,16 +112,17 @@ def start_member_changes(
 
 def start_transitions(
     pings: DataFrame, grid: Grid, out: str, checkpoint: str, *, deltas: bool = False, compat: bool = True,
-    trigger: str | None = INTERVAL, keep: int | None = None, history: int | None = None,
+    trigger: str | None = INTERVAL, keep: int | None = None, history: int | None = None, counts: bool = False,
 ) -> StreamingQuery:
     """The cell changes of each micro-batch, or with ``deltas`` the ``add`` and ``del`` rows they stand for.
 
     Pings older than the last one of their taxi can't change what was already written; they go to ``out/_late``. With
-    ``history`` they can, among so many last pings of each taxi: see ``correct_cells``.
+    ``history`` they can, among so many last pings of each taxi: see ``correct_cells``. With ``counts`` every micro-batch also
+    has its counts per cell, see ``live_counts``.
     """
     if history:
         return _start(pings, correct_cells(grid, out, depth=history, compat=compat), checkpoint, "append", trigger)
-    return _start(pings, follow_cells(grid, out, deltas=deltas, compat=compat, keep=keep), checkpoint, "append", trigger)
+    return _start(pings, follow_cells(grid, out, deltas=deltas, compat=compat, keep=keep, counts=counts), checkpoint, "append", trigger)
 
 
 def _start(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curbside.functions.grid import Grid
@@ -16,10 +16,13 @@ from curbside.operators.movement import as_deltas, with_cell
 from curbside.operators.state import ID_ROWS, with_previous
 from curbside.session import scratch_scope, stage
 from curbside.streaming.ledger import COMPACT, Ledger
-from curbside.streaming.sinks import commit, drop_batches
+from curbside.streaming.sinks import all_batches, commit, drop_batches
 
 # side tables of a result folder; readers of the folder pass over names with an underscore
-LAST, LATE = "_last", "_late"
+LAST, LATE, COUNTS = "_last", "_late", "_counts"
+COUNTED, COUNTS_SCHEMA = ("updates", "came", "left"), "cell int, updates long, came long, left long"
+# Cells that are counted side by side.
+MOST_CELLS = 1_000
 
 
 def last_cells(out: str, every: int = COMPACT) -> Ledger:
@@ -28,20 +31,27 @@ def last_cells(out: str, every: int = COMPACT) -> Ledger:
 
 def follow_cells(
     grid: Grid, out: str, *, deltas: bool = False, compat: bool = True, keep: int | None = None, limit: int = ID_ROWS,
-    every: int = COMPACT,
+    every: int = COMPACT, counts: bool = False,
 ) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function for pings ``taxi_id, seq, lon, lat``.
 
     Writes the changes to ``out``, the last cells of changed taxis to the ledger ``out/_last`` and the pings that came too late to take part (older
     than the last one of their taxi in an earlier micro-batch) to ``out/_late``. ``keep`` bounds the number of folders.
+    With ``counts`` the counts per cell (see ``live_counts``) are taken while these are written, without another pass.
     """
+    if counts and grid.count > MOST_CELLS:
+        raise ValueError(f"counts are for grids of at most {MOST_CELLS} cells")
 
     ledger = last_cells(out, every)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         with scratch_scope(spark):
-            pings = stage(with_cell(batch, grid, compat=compat).select("taxi_id", "seq", "cell").distinct(), "pings")
+            told, moved = Observation(), Observation()
+            pings = with_cell(batch, grid, compat=compat).select("taxi_id", "seq", "cell")
+            if counts:
+                pings = pings.observe(told, *_per_cell(grid, "updates", F.col("cell"), F.lit(True)))
+            pings = stage(pings.distinct(), "pings")
             seeds = stage(ledger.as_of(spark, batch_id - 1, pings.select("taxi_id").distinct()), "seeds")
             known = seeds.select("taxi_id", F.col("seq").alias("_seq"))
             aged = stage(pings.join(known, "taxi_id", "left").withColumn("_late", F.coalesce(F.col("seq") <= F.col("_seq"), F.lit(False))), "aged")
@@ -51,11 +61,19 @@ def follow_cells(
             seeds = seeds.join(fresh.select("taxi_id").distinct(), "taxi_id", "left_semi")
             moves = with_previous(fresh.unionByName(seeds), "taxi_id", "cell", limit=limit)
             moves = moves.join(seeds.select("taxi_id", "seq", F.lit(True).alias("_seed")), ["taxi_id", "seq"], "left").where("_seed is null")
+            if counts:
+                came = F.col("prev").isNull() | (F.col("prev") != F.col("cell"))
+                moves = moves.observe(moved, *_per_cell(grid, "came", F.col("cell"), came),
+                                      *_per_cell(grid, "left", F.col("prev"), F.col("prev") != F.col("cell")))
             changes = as_deltas(moves, "taxi_id", "seq") if deltas else moves.where("prev <> cell").select("taxi_id", "seq", "prev", "cell")
             now = fresh.groupBy("taxi_id").agg(F.max("seq").alias("seq"), F.max_by("cell", "seq").alias("cell"))
             commit(changes, out, batch_id)
             commit(late, f"{out}/{LATE}", batch_id)
             ledger.append(now, batch_id)
+            if counts:
+                seen = {**told.get, **moved.get}
+                rows = [(cell, *(seen[f"{name}_{cell}"] for name in COUNTED)) for cell in range(grid.count)]
+                commit(spark.createDataFrame(rows, COUNTS_SCHEMA), f"{out}/{COUNTS}", batch_id)
         if keep:
             drop_batches(spark, out, keep)
             drop_batches(spark, f"{out}/{LATE}", keep)
@@ -63,6 +81,20 @@ def follow_cells(
     return run
 
 
+def _per_cell(grid: Grid, name: str, cell: Column, counts: Column) -> list[Column]:
+    return [F.count_if((cell == number) & counts).alias(f"{name}_{number}") for number in range(grid.count)]
+
+
+def live_counts(spark: SparkSession, out: str) -> DataFrame:
+    """``cell, n_updates, n_held, n_left`` after the newest micro-batch: pings, taxis now in the cell, departures from it.
+
+    For a stream of ``follow_cells`` with ``counts``; a micro-batch has one small row per cell.
+    """
+    per_batch = all_batches(spark, f"{out}/{COUNTS}")
+    return per_batch.groupBy("cell").agg(
+        F.sum("updates").alias("n_updates"), F.sum(F.col("came") - F.col("left")).alias("n_held"), F.sum("left").alias("n_left"))
+
+
 def history(out: str, every: int = COMPACT) -> Ledger:
     """The last messages of each taxi, oldest first, and whether there were more."""
     schema = "taxi_id long, batch long, pings array<struct<seq:bigint,cell:int>>, more boolean"

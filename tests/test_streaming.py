@@ -426,3 +426,22 @@ def test_silent_ids_leave_and_come_back(spark, tmp_path):
         assert same([tuple(r) for r in current_matches(spark, out).collect()], knn(clients, taxis, 3))
         left.append(len(taxis))
     assert min(left) < 12 == left[-1]
+
+
+def test_counts_per_cell_follow_the_stream(spark, tmp_path):
+    """After every micro-batch, also a repeated one, the counts are those of the batch operator."""
+    from curbside.operators import cell_stats
+    from curbside.streaming import live_counts
+
+    rng, out = random.Random(15), str(tmp_path / "out")
+    parts = batches(rng, 3, 100, 9)
+    run = follow_cells(GRID, out, counts=True)
+    nobody = spark.createDataFrame([], "client_id long, lon double, lat double")
+    for n, part in enumerate(parts):
+        for _ in range(2 if n == 1 else 1):
+            run(table(spark, [part], "taxi_id"), n)
+        stats = {r.cell: (r.n_updates, r.n_held) for r in cell_stats(table(spark, parts[:n + 1], "taxi_id"), nobody, GRID).collect()}
+        found = live_counts(spark, out).collect()
+        assert len(found) == GRID.count and all((r.n_updates, r.n_held) == stats.get(r.cell, (0, 0)) for r in found)
+    with pytest.raises(ValueError):
+        follow_cells(Grid(0, 1, 1, 0, 50, 50), out, counts=True)
