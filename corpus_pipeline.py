@@ -45,7 +45,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     rows = numbered(docs).select(F.struct("*").alias("row"))
     old = F.col("row").getField(numbered_name(docs, "text"))
     found = secrets.with_secrets(rows.select("row", F.coalesce(old, F.lit("")).alias("text")), ratios)
-    clean = found.select("row", F.when(old.isNotNull(), secrets.redact(F.col("text"), F.col("_spans"))).alias("clean"))
+    clean = found.select("row", F.when(old.isNotNull(), secrets.redact(F.col("text"), F.col("_spans"), values=True)).alias("clean"))
     changed = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
         length = F.length("clean").cast(docs.schema["n_chars"].dataType)

@@ -157,15 +157,15 @@ def scan(docs: DataFrame) -> DataFrame:
     return with_secrets(rows, train(rows))
 
 
-def redact(text: Column, found: Column, mark: str = "[secret]") -> Column:
+def redact(text: Column, found: Column, mark: str = "[secret]", values: bool = False) -> Column:
     """``text`` with every span, or run of spans that overlap, replaced by ``mark``.
 
-    Of an assignment only the value goes: its name and both quotes stay.
+    With ``values`` only the value of an assignment goes: its name and both quotes stay.
     """
 
     def secret(span: Column) -> Column:
         # the value ends where the match does
-        start = F.when(span["kind_no"] == 0, span["end"] - F.length(span["value"])).otherwise(span["start"])
+        start = F.when(F.lit(values) & (span["kind_no"] == 0), span["end"] - F.length(span["value"])).otherwise(span["start"])
         return F.struct(start.alias("start"), span["end"].alias("end"))
 
     def cut(state: Column, span: Column) -> Column:
