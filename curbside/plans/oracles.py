@@ -107,18 +107,20 @@ from clients c cross join parts p
 left join ranked r on r.client_id = c.client_id and r.part = p.part and r.rk <= 4
 """
 
-CELL_LISTS = f""",
-held as (select taxi_id, lon, lat, {_cell()} as cell from taxis),
+def _cell_lists(clients: str = "clients", taxis: str = "taxis") -> str:
+    return f""",
+held as (select taxi_id, lon, lat, {_cell()} as cell from {taxis}),
 ranked as (
   select c.client_id, h.taxi_id, h.cell, {_dist("c", "h")} as dist,
     cast(row_number() over (partition by c.client_id, h.cell order by {_dist("c", "h")}, h.taxi_id) as int) as rk
-  from clients c, held h where {_dist("c", "h")} < cast(0.5 as double)),
+  from {clients} c, held h where {_dist("c", "h")} < cast(0.5 as double)),
 grid as (select cast(range as int) as cell from range(4))
 select g.cell, c.client_id, r.taxi_id, r.rk, r.dist
-from clients c cross join grid g
+from {clients} c cross join grid g
 left join ranked r on r.client_id = c.client_id and r.cell = g.cell and r.rk <= 4
 """
 
+
 CENTERS = f""",
 cells as (select lon, lat, {_cell()} as cell from pings),
 grid as (
@@ -170,10 +172,13 @@ ORACLES = {
     "knn_partial": TABLES + PART_LISTS,
     "knn_merged": TABLES + _pairs() + "select c.client_id, r.taxi_id, r.rk, r.dist from clients c "
                                       "left join ranked r on r.client_id = c.client_id and r.rk <= 4",
-    "knn_per_cell": TABLES + CELL_LISTS,
+    "knn_per_cell": TABLES + _cell_lists(),
     "knn_global": TABLES + _pairs(where="where dist < cast(0.5 as double)") + LIST,
     "knn_grid": TABLES + _pairs() + LIST,
     "knn_fleet": TABLES + _pairs("riders", "fleet") + LIST,
+    "knn_fleet_parts": TABLES + _pairs("riders", "fleet") + "select c.client_id, r.taxi_id, r.rk, r.dist from riders c "
+                                                            "left join ranked r on r.client_id = c.client_id and r.rk <= 4",
+    "knn_fleet_cells": TABLES + _cell_lists("riders", "fleet"),
     "knn_clustered": TABLES + CROWDS + _pairs("crowded_riders", "crowded_fleet") + LIST,
     "knn_within_clustered": TABLES + CROWDS
                             + _pairs("crowded_riders", "crowded_fleet", "where dist < cast(0.02 as double)") + LIST,

@@ -141,6 +141,16 @@ def knn_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(S.riders(spark, sf_dir), S.fleet(spark, sf_dir), copy_inputs=False).select(*MATCH)
 
 
+def knn_fleet_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The large case by the strategy ``parts``."""
+    return match_parts(S.riders(spark, sf_dir), S.fleet(spark, sf_dir), copy_inputs=False).select(*MATCH)
+
+
+def knn_fleet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The large case by the strategy ``cells``."""
+    return match_cells(S.riders(spark, sf_dir), S.fleet(spark, sf_dir)).select("cell", *MATCH)
+
+
 def knn_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Most taxis in a small area or on few spots, clients there and far away."""
     return nearest(S.crowded_riders(spark, sf_dir), S.crowded_fleet(spark, sf_dir), copy_inputs=False).select(*MATCH)
@@ -319,6 +329,7 @@ QUERIES = {
     "grid_cell": grid_cell, "grid_cell_compat": grid_cell_compat, "grid_centers": grid_centers,
     "knn_cross": knn_cross, "knn_broadcast": knn_broadcast, "knn_partial": knn_partial, "knn_merged": knn_merged,
     "knn_per_cell": knn_per_cell, "knn_global": knn_global, "knn_grid": knn_grid, "knn_fleet": knn_fleet,
+    "knn_fleet_parts": knn_fleet_parts, "knn_fleet_cells": knn_fleet_cells,
     "knn_clustered": knn_clustered, "knn_within_clustered": knn_within_clustered,
     "radius_join": radius_join, "knn_within": knn_within,
     "transitions": transitions, "moved_taxis": moved_taxis, "moved_flag_join": moved_flag_join,
