@@ -44,7 +44,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end: int = END, s
 
         def close() -> pa.RecordBatch:
             nonlocal number
-            name = f"{context.partitionId():06d}-{number:06d}.wvm"
+            name = f"{context.partitionId():09d}-{number:09d}.wvm"
             lengths = np.concatenate(sizes)
             _write(folder, name, dump(np.concatenate(ids), names, lengths, BITS), context.taskAttemptId())
             done = pa.RecordBatch.from_pydict({"shard": [name], "documents": [len(names)], "tokens": [int(lengths.sum())]})
@@ -106,9 +106,15 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def token_index(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """Documents of the shards in ``folder`` with their start among all ids: ids of the shards before, plus the place."""
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = manifest.select("shard", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("before"))
-    return read_token_files(spark, folder).join(F.broadcast(shards), "shard").select(
+    runs = manifest.select("shard", "tokens").repartitionByRange("shard").withColumn("run", F.spark_partition_id())
+    runs = stage(runs, "shards")
+    earlier = Window.unboundedPreceding, -1
+    # one row per task of the range partitioning
+    totals = runs.groupBy("run").agg(F.sum("tokens").alias("total"))
+    totals = totals.select("run", F.coalesce(F.sum("total").over(Window.orderBy("run").rowsBetween(*earlier)), F.lit(0)).alias("first"))
+    inside = F.coalesce(F.sum("tokens").over(Window.partitionBy("run").orderBy("shard").rowsBetween(*earlier)), F.lit(0))
+    shards = runs.join(totals, "run").select("shard", (F.col("first") + inside).alias("before"))
+    return read_token_files(spark, folder).join(shards, "shard").select(
         "doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32"
     )
 
