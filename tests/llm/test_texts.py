@@ -293,3 +293,37 @@ def test_named_wrappers_keep_what_they_hold(wrapper):
     assert pages.blocks(f"<{wrapper}><p>Text</p>{end}") == (["Text"], 0)
     assert pages.blocks("<article><p>Text</p></article><div class=related><article>Teaser</article></div>") == (["Text"], 2)
     assert pages.blocks("<article><p>Text</p><div class=related><article>Teaser</article></div></article>") == (["Text"], 2)
+
+
+@pytest.mark.parametrize("size", [400, 5])
+@pytest.mark.parametrize("beside", ["footer", "nav", "div class='cookie notice'", "div role=contentinfo", "header"])
+def test_articles_go_through_the_suffix_array(spark, monkeypatch, beside, size):
+    """What other pages of the host carry as furniture is none of an article's text either, but only as a whole block."""
+    monkeypatch.setattr(pages, "PAGES", size)
+    line = "all prices without warranty and subject to change at any time of the year"
+    end = beside.split()[0]
+    rows = [(k, f"http://h/{k}", f"<article><p>{tale(k, 20)}</p></article><{beside}><p>{line}</p></{end}>") for k in range(3)]
+    rows += [(10 + k, f"http://h/{10 + k}", f"<article><p>{tale(10 + k, 20)}</p><p>{line}</p><p>They wrote: {line}</p></article>") for k in range(20)]
+    rows += [(40, "http://other/", f"<article><p>{line}</p></article>")]
+    found = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found.pop(40) == line
+    assert found == {k: tale(k, 20) + (f"\nThey wrote: {line}" if k >= 10 else "") for k in [0, 1, 2, *range(10, 30)]}
+
+
+@pytest.mark.parametrize("beside", ["aside", "div class=related", "div class=ad", "div class=comments", "nav><a href=/1", "div class=related><footer", "div class=text"])
+def test_what_pages_quote_stays_in_the_article(spark, beside):
+    """Teasers, comments and menus of links repeat an article's own words; so do two footers and copies of one page."""
+    line = "all prices without warranty and subject to change at any time of the year"
+    rows = [(k, f"http://h/{k}", f"<article><p>{tale(k, 20)}</p></article><{beside}><p>{line}</p>") for k in range(4)]
+    rows += [(10 + k, f"http://h/{10 + k}", f"<article><p>{tale(10, 20)}</p></article><footer>{line}</footer>") for k in range(2)]
+    rows += [(20, "http://h/20", f"<article><p>{line}</p><p>{tale(20, 20)}</p></article><footer>{line}</footer>")]
+    found = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[20] == f"{line}\n{tale(20, 20)}"
+
+
+def test_repeated_rows_fill_no_part(spark):
+    """A row that is there a thousand times meets the suffix array once a batch and comes back as often."""
+    rows = [(1, "http://h/", "<article><p>one story</p></article>")] * 1000
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    batch = frame.selectExpr("*", "'h' as host", "0 as part").mapInArrow(pages.parse, pages.PARSED)
+    assert [r.n for r in batch.collect()] == [1000] and pages.extract(frame).where("text = 'one story'").count() == 1000
