@@ -327,3 +327,78 @@ def test_repeated_rows_fill_no_part(spark):
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
     batch = frame.selectExpr("*", "'h' as host", "0 as part").mapInArrow(pages.parse, pages.PARSED)
     assert [r.n for r in batch.collect()] == [1000] and pages.extract(frame).where("text = 'one story'").count() == 1000
+
+
+@pytest.mark.parametrize("size", [400, 3])
+def test_short_blocks_count_with_their_neighbours(spark, monkeypatch, size):
+    """A menu of words goes where no markup names it; a heading between unique blocks stays, however often it comes."""
+    monkeypatch.setattr(pages, "PAGES", size)
+    menu = "".join(f"<div>{word}</div>" for word in "Home News Sport Weather Jobs Cars Travel Letters Help".split())
+    rows = [(k, f"http://h/{k}", f"{menu}<h1>Title {k}</h1><p>{tale(k, 20)}</p><h2>Comments on this</h2><p>{tale(k + 50, 9)}</p><div>All rights reserved by us.</div><div>Write to the editor</div>") for k in range(9)]
+    rows += [(20, "http://h/20", f"<p>Home</p><p>{tale(20, 20)}</p><p>Weather</p><p>Write to the editor</p>")]
+    found = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found.pop(20) == f"Home\n{tale(20, 20)}\nWeather\nWrite to the editor"
+    assert found == {k: f"Title {k}\n{tale(k, 20)}\nComments on this\n{tale(k + 50, 9)}" for k in range(9)}
+
+
+def test_short_furniture_in_articles_and_pages_without(spark):
+    """Short blocks of footers go from an article only all together, and from pages without one as well."""
+    address = ["The Daily Letter", "12 Main Street", "Open from nine to five"]
+    marked = "".join(f"<p>{text}</p>" for text in address)
+    rows = [(k, f"http://h/{k}", f"<article><p>{tale(k, 20)}</p></article><footer>{marked}</footer>") for k in range(3)]
+    rows += [(10, "http://h/10", f"<article><p>{tale(10, 20)}</p>{marked}</article>"), (11, "http://h/11", f"<p>{tale(11, 20)}</p>{marked}")]
+    rows += [(12, "http://h/12", f"<article><p>12 Main Street</p><p>{tale(12, 20)}</p><p>The Daily Letter</p></article>")]
+    found = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found.pop(12) == f"12 Main Street\n{tale(12, 20)}\nThe Daily Letter"
+    assert found == {k: tale(k, 20) for k in (0, 1, 2, 10, 11)}
+
+
+def test_runs_of_blocks_against_brute_force(spark, monkeypatch):
+    """Blocks of any length, with furniture, on one host of several parts, by a plain search of every run in every page."""
+    monkeypatch.setattr(pages, "PAGES", 6)
+    rng = np.random.default_rng(5)
+    stock = [" ".join(f"w{v}" for v in rng.integers(0, 9, rng.choice([1, 2, 3, 5, 9]))) for _ in range(9)]
+    made = []
+    for k in range(70):
+        own, foot = ([stock[i] for i in rng.integers(0, 9, rng.integers(0, 9))] for _ in range(2))
+        made.append((k, ("article", "div")[k % 2], own + [f"own {k}"], foot))
+    plain, beside = {}, {}
+
+    def runs(texts):
+        """A run is as short as it can be, seen from a short block at one of its ends; a long block is one."""
+        found = set()
+        for a in range(len(texts)):
+            for b in range(a, len(texts)):
+                sizes = [len(text.split(" ")) for text in texts[a:b + 1]]
+                first = sizes[0] < pages.LONG and sum(sizes[:-1]) < pages.LONG
+                last = sizes[-1] < pages.LONG and sum(sizes[1:]) < pages.LONG
+                if sum(sizes) >= pages.LONG and (a == b or first or last):
+                    found.add(tuple(texts[a:b + 1]))
+        return found
+
+    def common(seen):
+        return [run for run, on in seen.items() if len(on) >= pages.COMMON]
+
+    for k, tag, own, foot in made:
+        for run in runs(own) if tag == "div" else []:
+            plain.setdefault(run, set()).add(k)
+        for run in runs(foot) - runs(own):
+            beside.setdefault(run, set()).add(k)
+    wanted = {}
+    for k, tag, own, _ in made:
+        gone = [[False] * len(text.split(" ")) for text in own]
+        for run in [*common(beside), *(common(plain) if tag == "div" else [])]:
+            for a in range(len(own) - len(run) + 1):
+                if tuple(own[a:a + len(run)]) == run:
+                    gone[a:a + len(run)] = [[True] * len(mask) for mask in gone[a:a + len(run)]]
+        for run in (run[0].split(" ") for run in common(plain) if tag == "div" and len(run) == 1):
+            for text, mask in zip(own, gone):
+                for at in range(len(mask) - len(run) + 1):
+                    if text.split(" ")[at:at + len(run)] == run:
+                        mask[at:at + len(run)] = [True] * len(run)
+        left = (" ".join(w for w, out in zip(text.split(" "), mask) if not out) for text, mask in zip(own, gone))
+        wanted[k] = "\n".join(text for text in left if text)
+    rows = [(k, f"http://h/{k}", f"<{tag}>" + "".join(f"<p>{t}</p>" for t in own) + f"</{tag}><footer>" + "".join(f"<p>{t}</p>" for t in foot) + "</footer>") for k, tag, own, foot in made]
+    found = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert any(len(run) > 1 for run in common(plain)) and any(len(run) > 1 for run in common(beside))
+    assert found == wanted
